@@ -31,7 +31,9 @@ SKETCH_BITS = 18
 HOT = 50_000
 POSTING = np.dtype([("h", "<u4"), ("n", "<u4"), ("key", "<i8")])
 FLUSH, BUCKET_BYTES = 1_000_000, 24 << 20
-CHUNK_ROWS, CHUNK_SHINGLES, GROUP_SHINGLES = 512, 1_000_000, 2_000_000
+CHUNK_ROWS, CHUNK_SHINGLES, GROUP_SHINGLES = 512, 1_000_000, 4_000_000
+#: Largest bitmap (in bits) by which documents are told apart before their texts move.
+BITMAP_BITS = 1 << 29
 
 
 def _prefix(n: int, threshold: int) -> int:
@@ -157,7 +159,11 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     cols = np.concatenate([np.full(len(s), i) for i, s in enumerate(right)])
     grams, out = np.concatenate(left), np.zeros((len(left), len(right)), np.int64)
     others = np.concatenate(right)
-    shared = np.intersect1d(np.unique(grams), np.unique(others), assume_unique=True)
+    if left is right:
+        kinds, often = np.unique(grams, return_counts=True)
+        shared = kinds[often > 1]
+    else:
+        shared = np.intersect1d(np.unique(grams), np.unique(others), assume_unique=True)
 
     def placed(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(shared, h)
@@ -194,8 +200,12 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def _links(left: pd.DataFrame, right: pd.DataFrame, threshold: int) -> Iterator[tuple[int, int]]:
-    """Pairs of classes that reach the threshold; overlaps below the size-derived bound are discarded at once."""
-    a, b = ([np.frombuffer(x, np.uint64) for x in side["data"]] for side in (left, right))
+    """Pairs of classes that reach the threshold; overlaps below the size-derived bound are discarded at once.
+
+    A set alone on the diagonal overlaps with nothing and its link to itself is of no account.
+    """
+    a = [np.frombuffer(x, np.uint64) for x in left["data"]]
+    b = a if left is right else [np.frombuffer(x, np.uint64) for x in right["data"]]
     na, nb = (np.array([len(x) for x in side], np.int64) for side in (a, b))
     inter = overlaps(a, b)
     # 100 I >= t (na + nb - I)
@@ -224,17 +234,23 @@ def multiply_blocks(sets: DataFrame, threshold: int) -> DataFrame:
     return sets.groupBy("task").applyInPandas(task, "a long, b long")
 
 
-def multiply_cells(cells: DataFrame, threshold: int) -> DataFrame:
-    """(a, b): links found in cells of two chunks.  ``cells`` has cell (array), side (0 left, 1 right, 2 both), set, data."""
+def multiply_cells(cells: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): links found in cells.  ``cells`` has cell (array), side and set; ``sets`` has set and data.
+
+    Side 2 meets itself, side 0 meets side 1.
+    """
 
     def task(group: pd.DataFrame) -> pd.DataFrame:
-        left, right = group[group["side"] != 1].drop_duplicates("set"), group[group["side"] != 0].drop_duplicates("set")
+        group = group.drop_duplicates(["set", "side"])
+        left, right = group[group["side"] != 1], group[group["side"] == 1]
+        if group["side"].iloc[0] == 2:
+            right = left
         if not len(left) or not len(right):
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         out = _rooted([], _links(left, right, threshold))
         return out[out["a"] != out["b"]]
 
-    return cells.groupBy("cell").applyInPandas(lambda g: task(g), "a long, b long")
+    return cells.join(sets.select("set", "data"), "set").groupBy("cell").applyInPandas(lambda g: task(g), "a long, b long")
 
 
 def _with_chunks(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
@@ -243,40 +259,59 @@ def _with_chunks(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     return rows.join(count, ["block", "band"]).withColumn("chunk", F.pmod(F.xxhash64("set"), F.col(name)).cast("int")), count
 
 
-def _large_blocks(large: DataFrame, threshold: int) -> DataFrame:
-    """(a, b): links that join the components of blocks too large for one task."""
-    spark = large.sparkSession
-    rows, count = _with_chunks(large, "c")
+def _large_blocks(sets: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): links that join the components of blocks too large for one task.
+
+    Cells are dealt on narrow rows; the sets themselves join last.
+    """
+    spark = sets.sparkSession
+    rows, count = _with_chunks(sets.select("set", "block", "band", "n").distinct(), "c")
+    rows, count = materialize(rows, "chunks"), materialize(count, "counts")
     beside = lambda by, name: count.select("block", (F.col("band") + by).alias("band"), F.col("c").alias(name))
-    rows = rows.join(beside(1, "below"), ["block", "band"], "left").join(beside(-1, "above"), ["block", "band"], "left")
-    cell = lambda side, a, i, b, j: F.struct(F.array(F.col("block"), a.cast("long"), i.cast("long"), b.cast("long"), j.cast("long")).alias("cell"), F.lit(side).alias("side"))
+    around = rows.join(beside(1, "below"), ["block", "band"], "left")
     band, chunk = F.col("band"), F.col("chunk")
-    first = F.array_compact(F.array(
-        cell(2, band, chunk, band, chunk),
-        F.when(F.col("c") > 1, cell(0, band, chunk, band, F.pmod(chunk + 1, F.col("c")))),
-        F.when(F.col("c") > 1, cell(1, band, F.pmod(chunk - 1, F.col("c")), band, chunk)),
-        F.when(F.col("above").isNotNull(), cell(0, band, chunk, band + 1, F.pmod(chunk, F.col("above")))),
-    ))
-    from_below = F.when(F.col("below") > chunk, F.transform(F.sequence(chunk, F.col("below") - 1, F.col("c")), lambda j: cell(1, band - 1, j, band, chunk))).otherwise(F.array().cast("array<struct<cell:array<bigint>,side:int>>"))
-    cells = rows.select("set", "data", F.explode(F.concat(first, from_below)).alias("x")).select("x.cell", "x.side", "set", "data")
-    near = materialize(multiply_cells(cells, threshold), "links")
+    # Cell (band, i) holds chunk i, the next chunk of the band, and one of the band above.
+    own = F.array(F.struct(band.alias("band"), chunk.alias("i")), F.struct(band.alias("band"), F.pmod(chunk - 1, F.col("c")).alias("i")))
+    from_below = F.when(F.col("below") > chunk, F.transform(F.sequence(chunk, F.col("below") - 1, F.col("c")), lambda j: F.struct((band - 1).alias("band"), j.alias("i")))).otherwise(F.array().cast("array<struct<band:bigint,i:int>>"))
+    cells = around.select("set", "block", F.explode(F.array_distinct(F.concat(own, from_below))).alias("x")).select("set", F.array("block", "x.band", F.col("x.i").cast("long")).alias("cell"), F.lit(2).alias("side"))
+    near = materialize(multiply_cells(cells, sets, threshold), "links")
     labels = materialize(connected_components(near), "labels")
     # Whatever is apart from the largest component of its block meets all chunks of similar sizes.
     named = rows.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
     largest = named.groupBy("block", "label").agg(F.count("*").alias("m")).groupBy("block").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
-    few, few_count = _with_chunks(named.join(largest, "block").where("label <> main").select("block", "band", "set", "n", "data"), "k")
-    around = F.explode(F.array(*[F.struct((F.col("band") + d).alias("other")) for d in (-1, 0, 1)])).alias("o")
-    cell2 = lambda a, i, b, j: F.array(F.col("block"), a.cast("long"), i.cast("long"), b.cast("long"), j.cast("long")).alias("cell")
-    left = few.select("block", "band", "chunk", "set", "data", around).join(count.select("block", F.col("band").alias("b2"), "c"), ["block"]).where("b2 = o.other")
-    left = left.select("band", "chunk", "block", "b2", "set", "data", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("j")).select(cell2(F.col("band"), F.col("chunk"), F.col("b2"), F.col("j")), F.lit(0).alias("side"), "set", "data")
-    right = rows.select("block", "band", "chunk", "set", "data", around).select("block", "band", "chunk", "set", "data", F.col("o.other").alias("b1")).join(few_count.select("block", F.col("band").alias("b1"), "k"), ["block", "b1"])
-    right = right.select("block", "b1", "band", "chunk", "set", "data", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i")).select(cell2(F.col("b1"), F.col("i"), F.col("band"), F.col("chunk")), F.lit(1).alias("side"), "set", "data")
-    far = materialize(multiply_cells(left.unionByName(right), threshold), "links")
+    few, few_count = _with_chunks(named.join(largest, "block").where("label <> main").select("block", "band", "set", "n"), "k")
+    beside_it = F.explode(F.array(band - 1, band, band + 1)).alias("other")
+    number = lambda *xs: F.array(*[x.cast("long") for x in xs]).alias("cell")
+    left = few.select("set", "block", band, chunk, beside_it).join(count.select("block", F.col("band").alias("other"), "c"), ["block", "other"])
+    left = left.select("*", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("j")).select("set", number(F.col("block"), band, chunk, F.col("other"), F.col("j")), F.lit(0).alias("side"))
+    right = rows.select("set", "block", band, chunk, beside_it).join(few_count.select("block", F.col("band").alias("other"), "k"), ["block", "other"])
+    right = right.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i")).select("set", number(F.col("block"), F.col("other"), F.col("i"), band, chunk), F.lit(1).alias("side"))
+    far = materialize(multiply_cells(left.unionByName(right), sets, threshold), "links")
     out = materialize(connected_components(near.unionByName(far)), "labels").select(F.col("node").alias("a"), F.col("label").alias("b"))
-    forget(spark, labels)
+    forget(spark, labels, rows, count)
     return out
 
 
+def _bitmap(ids: DataFrame, members: int):
+    """A filter of ids: true for all of ``ids`` and, while the bitmap has room, for few others.
+
+    Its size is bounded; where ids are many it lets more pass, which the join after it sorts out.
+    """
+    bits = min(BITMAP_BITS, 1 << max(16, (16 * members).bit_length()))
+    at = F.pmod(F.xxhash64("rep"), F.lit(bits))
+    words = ids.select(F.floor(at / 64).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int")).alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
+    table = np.zeros(bits // 64, np.int64)
+    table[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64)
+    shipped = ids.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def has(place: pd.Series) -> pd.Series:
+        p = place.to_numpy(np.int64)
+        return pd.Series((shipped.value[p >> 6] >> (p & 63)) & 1 == 1)
+
+    return lambda column: has(F.pmod(F.xxhash64(column), F.lit(bits)))
+
+
 def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: int = THRESHOLD) -> DataFrame:
     """(key, n_shingles, component_id): groups of documents linked by a Jaccard similarity of ``threshold`` hundredths.
 
@@ -306,14 +341,15 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
             batch = batch.drop(columns="text").assign(data=[s.tobytes() for s in data], n=[len(s) for s in data])
             yield batch[np.array([set_key(s) for s in data], np.int64) == batch["set"].to_numpy()] if len(batch) else batch
 
-    wanted = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(member, F.col("id").eqNullSafe(F.col("rep"))).select("set", "block", "rows", "shingles", "text")
+    members = size.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n"), F.coalesce(F.sum("shingles"), F.lit(0)).alias("s")).first()
+    there = _bitmap(member, int(members.n))
+    wanted = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(there(F.col("id"))).join(member, F.col("id").eqNullSafe(F.col("rep"))).select("set", "block", "rows", "shingles", "text")
     sets = materialize(wanted.mapInPandas(shingle, "set long, block long, rows long, shingles long, data binary, n long").withColumn("band", F.floor(F.log("n") / float(np.log(100 / threshold)) + 1e-9)), "incidence")
     fits = (F.col("rows") <= CHUNK_ROWS) & (F.col("shingles") <= GROUP_SHINGLES)
-    mass = size.agg(F.coalesce(F.sum("shingles"), F.lit(0)).alias("s")).first().s
-    tasks = max(8, -(-int(mass) // GROUP_SHINGLES))
+    tasks = max(8, -(-int(members.s) // (GROUP_SHINGLES // 2)))
     roots = multiply_blocks(sets.where(fits).withColumn("task", F.pmod(F.xxhash64("block"), F.lit(tasks))), threshold)
     if member.where(~fits).limit(1).count():
-        roots = roots.unionByName(_large_blocks(sets.where(~fits).select("block", "band", "set", "n", "data").dropDuplicates(["set"]), threshold))
+        roots = roots.unionByName(_large_blocks(sets.where(~fits), threshold))
     roots = materialize(roots, "roots")
     forget(spark, sets, edges, blocks)
     label = classes.join(roots.select(F.col("a").alias("set"), "b"), "set", "left").select("set", "id", F.coalesce("b", "set").alias("label"))
