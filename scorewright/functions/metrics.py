@@ -41,29 +41,27 @@ def substring_match(labels: Column, prediction: Column) -> Column:
     return best(labels, lambda x: fenced(prediction).contains(fenced(x)).cast("double"))
 
 
-def token_prf(label_tokens: Column, got: Column) -> tuple[Column, Column, Column]:
-    """(precision, recall, F1) of token arrays, each the best over the labels by itself.
-
-    Takes columns that hold the tokens already, so that no text is normalised anew inside a lambda.
-    """
+def token_prf(label_tokens: Column, got: Column) -> Column:
+    """Array of (p, r, f) of token arrays, one for each label; :func:`best_field` takes the best of each by itself."""
 
     def each(want: Column) -> Column:
-        shared = multiset_overlap(got, want)
-        none_got, none_wanted = F.size(got) == 0, F.size(want) == 0
-        p = F.when(none_got, F.lit(0.0)).otherwise(shared / F.size(got))
-        r = F.when(none_wanted, F.lit(1.0)).otherwise(shared / F.size(want))
-        f = F.when(none_got & none_wanted, F.lit(1.0)).when(shared == 0, F.lit(0.0)).otherwise(2.0 * shared / (F.size(got) + F.size(want)))
+        return F.struct(multiset_overlap(got, want).alias("n"), F.size(want).alias("w"))
+
+    def score(s: Column) -> Column:
+        n, w, g = s["n"], s["w"], F.size(got)
+        p = F.when(g == 0, F.lit(0.0)).otherwise(n / g)
+        r = F.when(w == 0, F.lit(1.0)).otherwise(n / w)
+        f = F.when((g == 0) & (w == 0), F.lit(1.0)).when(n == 0, F.lit(0.0)).otherwise(2.0 * n / (g + w))
         return F.struct(p.alias("p"), r.alias("r"), f.alias("f"))
 
-    all_ = F.transform(label_tokens, each)
-    return tuple(_field_max(all_, k) for k in "prf")
+    return F.transform(F.transform(label_tokens, each), score)
 
 
 def squad_tokens(text: Column) -> Column:
     return tokens(squad_normalize(text))
 
 
-def _field_max(structs: Column, field: str) -> Column:
+def best_field(structs: Column, field: str) -> Column:
     return F.array_max(F.transform(structs, lambda s: s[field]))
 
 

@@ -54,9 +54,16 @@ def count_in(items: Column, item: Column) -> Column:
     return F.size(F.filter(items, lambda x: x == item))
 
 
+def occurrences(items: Column) -> Column:
+    """Items tagged with how often they stood before, so that a set intersection counts repeats."""
+    # The inner array binds the sorted items to a name, which keeps the sort out of the lambda.
+    tag = lambda s: F.transform(s, lambda x, i: F.concat(x, F.lit(" "), (i - F.array_position(s, x)).cast("string")))
+    return F.transform(F.array(F.sort_array(items)), tag)[0]
+
+
 def multiset_overlap(a: Column, b: Column) -> Column:
     """Size of the multiset intersection."""
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda n, t: n + F.least(count_in(a, t), count_in(b, t)))
+    return F.size(F.array_intersect(occurrences(a), occurrences(b)))
 
 
 def ned(label: Column, prediction: Column, uncased: bool = True) -> Column:

@@ -89,9 +89,8 @@ SELECT category, count(*) AS num_samples, round(avg(pr), 6) AS "precision", roun
 @query(_F1)
 def token_f1_by_category(spark, sf_dir):
     df = records(spark, sf_dir).withColumns({"got": m.squad_tokens(F.col("prediction")), "wanted": F.transform("labels", m.squad_tokens)})
-    p, r, f = m.token_prf(F.col("wanted"), F.col("got"))
-    scored = df.withColumn("s", F.struct(p.alias("precision"), r.alias("recall"), f.alias("f1")))
-    return by_category(scored, precision=F.col("s.precision"), recall=F.col("s.recall"), f1=F.col("s.f1"))
+    scored = df.withColumn("s", m.token_prf(F.col("wanted"), F.col("got")))
+    return by_category(scored, precision=m.best_field(F.col("s"), "p"), recall=m.best_field(F.col("s"), "r"), f1=m.best_field(F.col("s"), "f"))
 
 
 _NED = "list_min(list_transform(labels, lambda l: CASE WHEN greatest(length(l), length(prediction)) = 0 THEN 0.0 ELSE levenshtein(lower(l), lower(prediction)) / CAST(greatest(length(l), length(prediction)) AS DOUBLE) END))"
