@@ -23,7 +23,7 @@ def bare_words(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences with their closing mark."""
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"[^.!?]+[.!?]*"), F.lit(0)), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"[^.!?]+[.!?]*"), F.lit(0)), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def paragraphs(text: Column) -> Column:
@@ -112,7 +112,7 @@ CHECKS: dict[str, Callable[..., Column]] = {
     "print_multiples": lambda t: F.regexp_extract_all(t, F.lit(r"\d+"), F.lit(0)) == F.array(*[F.lit(str(7 * k)) for k in range(2, 8)]),
     "sentence_alphabet": lambda t: (F.size(sentences(t)) == 26) & F.forall(F.transform(sentences(t), lambda s, i: first_letter(s) == letter(i)), lambda x: x),
     "city_csv": lambda t, header="ID,Country,City,Year,Count": (F.size(lines(t)) == 8) & (F.trim(lines(t)[0]) == header) & F.forall(lines(t), lambda x: F.size(F.split(x, ",", -1)) == 5),
-    "date_list": lambda t: F.forall(F.transform(F.split(t, ","), F.trim), lambda d: F.coalesce(d.rlike(r"^\d{4}-\d\d-\d\d$") & F.year(F.try_to_timestamp(d, F.lit("yyyy-MM-dd"))).between(1769, 1821), F.lit(False))),
+    "date_list": lambda t: F.forall(F.transform(F.split(t, ","), lambda d: F.trim(d)), lambda d: F.coalesce(d.rlike(r"^\d{4}-\d\d-\d\d$") & F.year(F.try_to_timestamp(d, F.lit("yyyy-MM-dd"))).between(1769, 1821), F.lit(False))),
     "keyword_counts": lambda t, words=("the", "of", "and", "in", "to"): reduce(lambda a, x: a & (F.regexp_count(F.lower(t), F.lit(rf"\b{x[0]}\b")) == x[1]), zip(words, (1, 2, 3, 5, 7)), F.lit(True)),
     "keyword_position": lambda t, word="the", sentence=1, place=1: F.coalesce(F.try_element_at(bare_words(F.try_element_at(sentences(t), F.lit(sentence))), F.lit(place)) == word, F.lit(False)),
     "words_position": lambda t, word="the": F.coalesce((F.try_element_at(bare_words(t), F.lit(2)) == word) & (F.try_element_at(bare_words(t), F.lit(-2)) == word), F.lit(False)),
