@@ -218,6 +218,34 @@ def cider_by_category(spark, sf_dir):
     return df.join(scores, "doc_id").groupBy("category").agg(F.round(F.avg("cider"), 6).alias("cider"))
 
 
+def _rouge_sql(n: int) -> str:
+    p, r = f"p{n}", f"r{n}"
+    shared = f"coalesce(list_sum(list_transform(list_distinct({p}), lambda x: least(len(list_filter({p}, lambda y: y = x)), len(list_filter({r}, lambda y: y = x))))), 0)"
+    return f"round(avg(CASE WHEN len({p}) + len({r}) = 0 THEN 0.0 ELSE 2.0 * {shared} / (len({p}) + len({r})) END), 6) AS rouge_{n}"
+
+
+@query(f"WITH {REC}, tk AS (SELECT category, {_toks(_squad('prediction'))} AS p, {_toks(_squad('labels[2]'))} AS r FROM rec), g AS (SELECT category, " + ", ".join(f"{_gram_sql('p', n)} AS p{n}, {_gram_sql('r', n)} AS r{n}" for n in (1, 2)) + f" FROM tk) SELECT category, {_rouge_sql(1)}, {_rouge_sql(2)} FROM g GROUP BY category")
+def rouge_1_2(spark, sf_dir):
+    """F-measures of unigram and bigram overlap with the second label."""
+    df = records(spark, sf_dir).select("category", m.squad_tokens(F.col("prediction")).alias("p"), m.squad_tokens(F.col("labels")[1]).alias("r"))
+    df = df.select("category", *[t.ngrams(F.col(x), n).alias(f"{x}{n}") for x in "pr" for n in (1, 2)])
+
+    def rouge(n: int) -> Column:
+        both = F.size(f"p{n}") + F.size(f"r{n}")
+        return F.round(F.avg(F.when(both == 0, 0.0).otherwise(2.0 * t.multiset_overlap(F.col(f"p{n}"), F.col(f"r{n}")) / both)), 6).alias(f"rouge_{n}")
+
+    return df.groupBy("category").agg(rouge(1), rouge(2))
+
+
+@query()
+def mixed_error_rate(spark, sf_dir):
+    """Word error rate in percent after Hangul syllables are set apart, at most 100."""
+    spaced = lambda x: F.regexp_replace(x, r"([\x{AC00}-\x{D7A3}])", " $1 ")
+    df = records(spark, sf_dir).select("category", spaced(F.col("labels")[1]).alias("l"), spaced(F.col("prediction")).alias("p"))
+    df = df.select("category", t.word_edits("l", "p").alias("e"), F.size(t.tokens(F.col("l"))).alias("n"))
+    return df.groupBy("category").agg(F.round(F.avg(F.least(F.lit(100.0), F.when(F.col("n") > 0, 100 * F.col("e") / F.col("n")).otherwise(100.0))), 6).alias("mer"))
+
+
 @query(f"WITH {JUDGED}, c AS (SELECT count(*) FILTER (n_chars > 1000 AND quality = 1) AS tp, count(*) FILTER (n_chars > 1000 AND quality = 0) AS fp, count(*) FILTER (n_chars <= 1000 AND quality = 1) AS fn, count(*) FILTER (n_chars <= 1000 AND quality = 0) AS tn FROM judged) SELECT tp, fp, fn, tn, round(tp / CAST(tp + fp AS DOUBLE), 6) AS \"precision\", round(tp / CAST(tp + fn AS DOUBLE), 6) AS recall, round((tp + tn) / CAST(tp + tn + fp + fn AS DOUBLE), 6) AS accuracy, round(2.0 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c")
 def binary_confusion(spark, sf_dir):
     out = agg.confusion(judged(spark, sf_dir), F.col("n_chars") > 1000, F.col("quality") == 1)
@@ -454,6 +482,23 @@ def model_counts_by_modality(spark, sf_dir):
     return runs(spark, sf_dir).groupBy("model", lb.modality(F.col("benchmark")).alias("modality")).agg(F.countDistinct("benchmark").alias("benchmarks"))
 
 
+@query(_MERGED + " SELECT model, round(sum(value), 6) AS total_time FROM b WHERE metric = 'latency' GROUP BY model")
+def leaderboard_time_sum(spark, sf_dir):
+    return lb.best_merge(runs(spark, sf_dir)).where(lb.lower_better(F.col("metric"))).groupBy("model").agg(F.round(F.sum("value"), 6).alias("total_time"))
+
+
+@query(f"WITH {RUNS} SELECT model, round(count(DISTINCT benchmark) / CAST((SELECT count(DISTINCT benchmark) FROM runs) AS DOUBLE), 6) AS coverage FROM runs WHERE value > 99 GROUP BY model")
+def leaderboard_coverage(spark, sf_dir):
+    df = runs(spark, sf_dir)
+    every = df.agg(F.countDistinct("benchmark").alias("n")).first().n
+    return df.where("value > 99").groupBy("model").agg(F.round(F.countDistinct("benchmark") / F.lit(every), 6).alias("coverage"))
+
+
+@query(_MERGED + " SELECT model, checkpoint, max(CASE WHEN benchmark = 'click' THEN value END) AS click, max(CASE WHEN benchmark = 'view' THEN value END) AS view, max(CASE WHEN benchmark = 'error' THEN value END) AS error FROM b WHERE metric = 'score' GROUP BY model, checkpoint")
+def leaderboard_pivot(spark, sf_dir):
+    return lb.best_merge(runs(spark, sf_dir)).where("metric = 'score'").groupBy("model", "checkpoint").pivot("benchmark", ["click", "view", "error"]).agg(F.max("value"))
+
+
 # --- submissions
 
 
@@ -472,6 +517,11 @@ def submission_vizwiz(spark, sf_dir):
     return sub.vizwiz(records(spark, sf_dir), "doc_id")
 
 
+@query(f"WITH {REC} SELECT CAST(doc_id AS VARCHAR) AS \"questionId\", prediction, labels[1] AS gt FROM rec")
+def submission_chart(spark, sf_dir):
+    return sub.chart(records(spark, sf_dir), "doc_id")
+
+
 @query(f"WITH {REC} SELECT l.doc_id, l.quality, coalesce(r.prediction, '') AS prediction FROM labels l LEFT JOIN (SELECT * FROM rec WHERE category = 'en') r ON r.doc_id = l.doc_id")
 def submission_template_left_join(spark, sf_dir):
     template = table(spark, sf_dir, "labels").select("doc_id", "quality")
