@@ -26,7 +26,8 @@ from scorewright.llm._shingles import mix, set_key, shingle_sets
 
 #: Least Jaccard similarity in hundredths.
 THRESHOLD = 75
-SKETCH_BITS = 18
+#: Cells of the sketch: about one for SKETCH_LOAD bytes of input, within these powers of two; it is dealt in SLICES.
+SKETCH_BITS, SKETCH_MOST_BITS, SKETCH_LOAD, SLICES = 16, 24, 256, 64
 #: A shingle counted more often than this (and than 4 times the mean) links through a node of its own, not through a group.
 HOT = 50_000
 POSTING = np.dtype([("h", "<u4"), ("n", "<u4"), ("key", "<i8")])
@@ -63,26 +64,54 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
 
 
-def document_sets(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(id, n, set): size and digest of each document's shingle set; rows with counts carry a task's sketch instead."""
+def sketch_bits(docs: DataFrame) -> int:
+    """Bits of the sketch from the planner's estimate of the input; any number gives the same result."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max((max(size, 1) // SKETCH_LOAD).bit_length(), SKETCH_BITS), SKETCH_MOST_BITS)
+
+
+def document_sets(docs: DataFrame, text: str, key: str, bits: int) -> DataFrame:
+    """(id, n, set): size and digest of each document's shingle set; rows with counts carry a slice of a task's sketch."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        from pyspark import TaskContext
+
+        sketch = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             n, keys = [], []
             for s in shingle_sets(batch["text"].tolist()):
-                sketch += np.bincount((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
+                cells, often = np.unique(s >> np.uint64(64 - bits), return_counts=True)
+                sketch[cells.astype(np.int64)] += often.astype(np.uint32)
                 n.append(len(s))
                 keys.append(set_key(s))
-            yield pd.DataFrame({"id": batch["id"], "n": n, "set": keys, "counts": None})
+            yield pd.DataFrame({"id": batch["id"], "n": n, "set": keys, "slice": None, "part": None, "counts": None})
         if sketch.any():
-            yield pd.DataFrame({"id": [None], "n": [None], "set": [None], "counts": [sketch]})
+            yield pd.DataFrame({"id": None, "n": None, "set": None, "slice": range(SLICES), "part": TaskContext.get().partitionId(), "counts": [x.tobytes() for x in np.split(sketch, SLICES)]})
 
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return source.mapInPandas(task, "id long, n long, set long, counts array<long>")
+    return source.mapInPandas(task, "id long, n long, set long, slice int, part int, counts binary")
+
+
+def merged_sketch(found: DataFrame, bits: int) -> np.ndarray:
+    """The sum of all tasks' sketches, 64 to one in each step; what reaches the driver has a fixed size."""
+    parts = found.where("counts is not null").select("slice", "part", "counts")
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros((1 << bits) // SLICES, np.uint64)
+        for x in group["counts"]:
+            total += np.frombuffer(x, np.uint32)
+        return group.iloc[:1].assign(counts=[np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()])
+
+    most = parts.agg(F.max("part").alias("m")).first().m
+    while most:
+        parts = parts.withColumn("part", F.floor(F.col("part") / 64).cast("int")).groupBy("slice", "part").applyInPandas(add, "slice int, part int, counts binary")
+        most //= 64
+    rows = {r["slice"]: r["counts"] for r in parts.collect()}
+    empty = bytes(4 * (1 << bits) // SLICES)
+    return np.concatenate([np.frombuffer(rows.get(i, empty), np.uint32) for i in range(SLICES)])
 
 
-def candidate_edges(docs: DataFrame, sketch: np.ndarray, postings: int, text: str, threshold: int) -> DataFrame:
+def candidate_edges(docs: DataFrame, sketch: np.ndarray, bits: int, postings: int, text: str, threshold: int) -> DataFrame:
     """(a, b): chains through the classes that share a shingle of their prefixes and have close sizes."""
     buckets = max(8, -(-postings * POSTING.itemsize // BUCKET_BYTES))
     hot = max(HOT, 4 * int(sketch.mean()) + 1)
@@ -113,7 +142,7 @@ def candidate_edges(docs: DataFrame, sketch: np.ndarray, postings: int, text: st
                     continue
                 seen.add(key)
                 k = _prefix(n, threshold)
-                often = counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                often = counts[(s >> np.uint64(64 - bits)).astype(np.int64)]
                 rank = (np.minimum(often, (1 << 18) - 1).astype(np.uint64) << np.uint64(46)) | (s & np.uint64((1 << 46) - 1))
                 pick = np.argpartition(rank, k - 1)[:k] if k < n else np.arange(n)
                 common = often[pick] > hot
@@ -223,15 +252,28 @@ def _rooted(keys, links) -> pd.DataFrame:
     return pd.DataFrame([(k, forest.root(k)) for k in list(forest.up)], columns=["a", "b"], dtype="int64")
 
 
-def multiply_blocks(sets: DataFrame, threshold: int) -> DataFrame:
-    """(a, b): root of every class, from blocks that fit one task.  ``sets`` has task, block, set, n, data."""
+def _sets_of(frame: pd.DataFrame) -> pd.DataFrame:
+    """Rows with their sets in place of texts; rows whose text is not that of the class go (ids can repeat)."""
+    sets = list(shingle_sets(frame["text"].tolist()))
+    keep = np.array([set_key(s) for s in sets], np.int64) == frame["set"].to_numpy() if len(frame) else []
+    return frame.drop(columns="text").assign(data=[s.tobytes() for s in sets], n=[len(s) for s in sets])[keep]
+
+
+def multiply_blocks(texts: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): root of every class, from blocks that fit one task.  ``texts`` has task, block, set, text.
+
+    Texts move rather than sets of hashes, as they are smaller.
+    """
 
     def task(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates(["block", "set"])
-        out = [_rooted(g["set"].tolist(), _links(g, g, threshold)) for _, g in group.groupby("block")]
+        out = [pd.DataFrame({"a": [], "b": []}, dtype="int64")]
+        for _, g in group.groupby("block"):
+            g = _sets_of(g).drop_duplicates("set")
+            if len(g):
+                out.append(_rooted(g["set"].tolist(), _links(g, g, threshold)))
         return pd.concat(out)
 
-    return sets.groupBy("task").applyInPandas(task, "a long, b long")
+    return texts.groupBy("task").applyInPandas(lambda g: task(g), "a long, b long")
 
 
 def multiply_cells(cells: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -321,37 +363,29 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     group without any key has a null component.  Sets are compared by 64-bit hashes of their shingles.
     """
     spark = docs.sparkSession
-    found = materialize(document_sets(docs, text, key), "sets")
+    bits = sketch_bits(docs.select(text))
+    found = materialize(document_sets(docs, text, key, bits), "sets")
     each = found.where("counts is null").select("id", "n", "set")
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    summed = found.where("counts is not null").select(F.posexplode("counts").alias("i", "c")).groupBy("i").agg(F.sum("c").alias("c")).where("c > 0")
-    got = summed.toPandas()  # a fixed number of counters
-    sketch[got["i"].to_numpy(np.int64)] = got["c"].to_numpy(np.int64)
     total = each.agg(F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1), F.lit(0)).alias("p")).first().p
-    edges = materialize(candidate_edges(docs, sketch, int(total), text, threshold), "chains")
+    edges = materialize(candidate_edges(docs, merged_sketch(found, bits), bits, int(total), text, threshold), "chains")
     blocks = materialize(connected_components(edges), "blocks")
     classes = each.where("n > 0").groupBy("set").agg(F.min("id").alias("id"), F.max("n").alias("n"))
     member = classes.join(blocks.select(F.col("node").alias("set"), F.col("label").alias("block")), "set")
     size = member.groupBy("block").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).where("rows > 1")
     member = materialize(member.join(size, "block").select("set", F.col("id").alias("rep"), "block", "rows", "shingles"), "members")
-
-    def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            data = list(shingle_sets(batch["text"].tolist()))
-            batch = batch.drop(columns="text").assign(data=[s.tobytes() for s in data], n=[len(s) for s in data])
-            yield batch[np.array([set_key(s) for s in data], np.int64) == batch["set"].to_numpy()] if len(batch) else batch
-
-    members = size.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n"), F.coalesce(F.sum("shingles"), F.lit(0)).alias("s")).first()
+    members = member.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("rows") > 0, F.col("shingles") / F.col("rows"))), F.lit(0)).alias("s"), F.max((F.col("rows") > CHUNK_ROWS) | (F.col("shingles") > GROUP_SHINGLES)).alias("large")).first()
     there = _bitmap(member, int(members.n))
-    wanted = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(there(F.col("id"))).join(member, F.col("id").eqNullSafe(F.col("rep"))).select("set", "block", "rows", "shingles", "text")
-    sets = materialize(wanted.mapInPandas(shingle, "set long, block long, rows long, shingles long, data binary, n long").withColumn("band", F.floor(F.log("n") / float(np.log(100 / threshold)) + 1e-9)), "incidence")
+    source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(there(F.col("id")))
+    of = lambda some: source.join(some, F.col("id").eqNullSafe(F.col("rep"))).select("set", "block", "text")
     fits = (F.col("rows") <= CHUNK_ROWS) & (F.col("shingles") <= GROUP_SHINGLES)
     tasks = max(8, -(-int(members.s) // (GROUP_SHINGLES // 2)))
-    roots = multiply_blocks(sets.where(fits).withColumn("task", F.pmod(F.xxhash64("block"), F.lit(tasks))), threshold)
-    if member.where(~fits).limit(1).count():
-        roots = roots.unionByName(_large_blocks(sets.where(~fits), threshold))
+    roots = multiply_blocks(of(member.where(fits)).withColumn("task", F.pmod(F.xxhash64("block"), F.lit(tasks))), threshold)
+    if members.large:
+        sets = of(member.where(~fits)).mapInPandas(lambda batches: map(_sets_of, batches), "set long, block long, data binary, n long")
+        sets = materialize(sets.withColumn("band", F.floor(F.log("n") / float(np.log(100 / threshold)) + 1e-9)), "incidence")
+        roots = roots.unionByName(_large_blocks(sets, threshold))
     roots = materialize(roots, "roots")
-    forget(spark, sets, edges, blocks)
+    forget(spark, edges, blocks)
     label = classes.join(roots.select(F.col("a").alias("set"), "b"), "set", "left").select("set", "id", F.coalesce("b", "set").alias("label"))
     least = label.groupBy("label").agg(F.min("id").alias("component_id"))
     named = label.join(least, "label").select("set", "component_id")

@@ -14,7 +14,7 @@ from scorewright.llm._shared import text_or_empty
 
 BUCKETS = 1 << 16
 SMOOTHING = 20.0
-THRESHOLD = -0.25
+THRESHOLD = -0.1
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 WINDOW = 5
 _SPACES = " \t\n\x0b\x0c\r"
