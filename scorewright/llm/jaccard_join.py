@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from scorewright.llm._graph import connected_components
 from scorewright.llm._shared import forget, materialize
 from scorewright.llm._shingles import mix, set_key, shingle_sets
+from scorewright.llm.tokens import text_slices
 
 #: Least Jaccard similarity in hundredths.
 THRESHOLD = 75
@@ -31,8 +32,10 @@ SKETCH_BITS, SKETCH_MOST_BITS, SKETCH_LOAD, SLICES = 16, 24, 256, 64
 #: A shingle counted more often than this (and than 4 times the mean) links through a node of its own, not through a group.
 HOT = 50_000
 POSTING = np.dtype([("h", "<u4"), ("n", "<u4"), ("key", "<i8")])
-FLUSH, BUCKET_BYTES = 1_000_000, 24 << 20
-CHUNK_ROWS, CHUNK_SHINGLES, GROUP_SHINGLES = 512, 1_000_000, 4_000_000
+FLUSH, BUCKET_BYTES = 500_000, 12 << 20
+CHUNK_ROWS, CHUNK_SHINGLES, GROUP_SHINGLES = 512, 400_000, 1_500_000
+#: Products that one step of a sparse multiplication holds, and bytes of text of which sets are made at a time.
+STEP, SET_BYTES = 1_000_000, 4 << 20
 #: Largest bitmap (in bits) by which documents are told apart before their texts move.
 BITMAP_BITS = 1 << 29
 
@@ -216,7 +219,7 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
             out += np.rint(a @ b.T).astype(np.int64)
         return out
     fl, fr = np.cumsum(nl) - nl, np.cumsum(nr) - nr
-    edge = [0, *(np.searchsorted(work, np.arange(4_000_000, work[-1], 4_000_000)) + 1).tolist(), len(shared)]
+    edge = [0, *(np.searchsorted(work, np.arange(STEP, work[-1], STEP)) + 1).tolist(), len(shared)]
     for lo, hi in zip(edge, edge[1:]):  # every posting on the left meets the postings of its column on the right
         if hi <= lo:
             continue
@@ -259,6 +262,12 @@ def _sets_of(frame: pd.DataFrame) -> pd.DataFrame:
     return frame.drop(columns="text").assign(data=[s.tobytes() for s in sets], n=[len(s) for s in sets])[keep]
 
 
+def _sets_in_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in batches:
+        for lo, hi in text_slices([t or "" for t in frame["text"]], SET_BYTES):
+            yield _sets_of(frame.iloc[lo:hi])
+
+
 def multiply_blocks(texts: DataFrame, threshold: int) -> DataFrame:
     """(a, b): root of every class, from blocks that fit one task.  ``texts`` has task, block, set, text.
 
@@ -381,7 +390,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     tasks = max(8, -(-int(members.s) // (GROUP_SHINGLES // 2)))
     roots = multiply_blocks(of(member.where(fits)).withColumn("task", F.pmod(F.xxhash64("block"), F.lit(tasks))), threshold)
     if members.large:
-        sets = of(member.where(~fits)).mapInPandas(lambda batches: map(_sets_of, batches), "set long, block long, data binary, n long")
+        sets = of(member.where(~fits)).mapInPandas(lambda batches: _sets_in_parts(batches), "set long, block long, data binary, n long")
         sets = materialize(sets.withColumn("band", F.floor(F.log("n") / float(np.log(100 / threshold)) + 1e-9)), "incidence")
         roots = roots.unionByName(_large_blocks(sets, threshold))
     roots = materialize(roots, "roots")
