@@ -33,7 +33,9 @@ SKETCH_BITS, SKETCH_MOST_BITS, SKETCH_LOAD, SLICES = 16, 24, 256, 64
 HOT = 50_000
 POSTING = np.dtype([("h", "<u4"), ("n", "<u4"), ("key", "<i8")])
 FLUSH, BUCKET_BYTES = 500_000, 12 << 20
-CHUNK_ROWS, CHUNK_SHINGLES, GROUP_SHINGLES = 512, 400_000, 1_500_000
+CHUNK_ROWS, CHUNK_SHINGLES, GROUP_SHINGLES = 512, 400_000, 2_500_000
+#: Sets of a chunk, about, that also meet a neighbouring chunk in the first round.
+VISITORS = 64
 #: Products that one step of a sparse multiplication holds, and bytes of text of which sets are made at a time.
 STEP, SET_BYTES = 1_000_000, 4 << 20
 #: Largest bitmap (in bits) by which documents are told apart before their texts move.
@@ -306,8 +308,8 @@ def multiply_cells(cells: DataFrame, sets: DataFrame, threshold: int) -> DataFra
 
 def _with_chunks(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """Rows with a chunk number within (block, band), and the number of chunks of each (block, band)."""
-    count = rows.groupBy("block", "band").agg(F.greatest(F.ceil(F.count("*") / CHUNK_ROWS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias(name))
-    return rows.join(count, ["block", "band"]).withColumn("chunk", F.pmod(F.xxhash64("set"), F.col(name)).cast("int")), count
+    count = rows.groupBy("block", "band").agg(F.greatest(F.ceil(F.count("*") / CHUNK_ROWS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias(name), F.count("*").alias("m"))
+    return rows.join(count.drop("m"), ["block", "band"]).withColumn("chunk", F.pmod(F.xxhash64("set"), F.col(name)).cast("int")), count
 
 
 def _large_blocks(sets: DataFrame, threshold: int) -> DataFrame:
@@ -319,12 +321,16 @@ def _large_blocks(sets: DataFrame, threshold: int) -> DataFrame:
     rows, count = _with_chunks(sets.select("set", "block", "band", "n").distinct(), "c")
     rows, count = materialize(rows, "chunks"), materialize(count, "counts")
     beside = lambda by, name: count.select("block", (F.col("band") + by).alias("band"), F.col("c").alias(name))
-    around = rows.join(beside(1, "below"), ["block", "band"], "left")
+    around = rows.join(count.select("block", "band", "m"), ["block", "band"]).join(beside(1, "below"), ["block", "band"], "left")
     band, chunk = F.col("band"), F.col("chunk")
     # Cell (band, i) holds chunk i, the next chunk of the band, and one of the band above.
-    own = F.array(F.struct(band.alias("band"), chunk.alias("i")), F.struct(band.alias("band"), F.pmod(chunk - 1, F.col("c")).alias("i")))
+    # A part of each chunk does for the neighbours: near copies link through any of them, and the second round is exact.
+    own = F.array(F.struct(band.alias("band"), chunk.alias("i")))
+    beside_own = F.array(F.struct(band.alias("band"), F.pmod(chunk - 1, F.col("c")).alias("i")))
+    visits = F.pmod(F.xxhash64(F.lit(VISITORS), "set"), F.greatest(F.lit(1), F.floor(F.col("m") / F.col("c") / VISITORS))) == 0
     from_below = F.when(F.col("below") > chunk, F.transform(F.sequence(chunk, F.col("below") - 1, F.col("c")), lambda j: F.struct((band - 1).alias("band"), j.alias("i")))).otherwise(F.array().cast("array<struct<band:bigint,i:int>>"))
-    cells = around.select("set", "block", F.explode(F.array_distinct(F.concat(own, from_below))).alias("x")).select("set", F.array("block", "x.band", F.col("x.i").cast("long")).alias("cell"), F.lit(2).alias("side"))
+    away = F.when(visits, F.concat(beside_own, from_below)).otherwise(F.array().cast("array<struct<band:bigint,i:int>>"))
+    cells = around.select("set", "block", F.explode(F.array_distinct(F.concat(own, away))).alias("x")).select("set", F.array("block", "x.band", F.col("x.i").cast("long")).alias("cell"), F.lit(2).alias("side"))
     near = materialize(multiply_cells(cells, sets, threshold), "links")
     labels = materialize(connected_components(near), "labels")
     # Whatever is apart from the largest component of its block meets all chunks of similar sizes.
@@ -339,7 +345,7 @@ def _large_blocks(sets: DataFrame, threshold: int) -> DataFrame:
     right = right.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i")).select("set", number(F.col("block"), F.col("other"), F.col("i"), band, chunk), F.lit(1).alias("side"))
     far = materialize(multiply_cells(left.unionByName(right), sets, threshold), "links")
     out = materialize(connected_components(near.unionByName(far)), "labels").select(F.col("node").alias("a"), F.col("label").alias("b"))
-    forget(spark, labels, rows, count)
+    forget(spark, near, labels, rows, count, far)
     return out
 
 
@@ -374,14 +380,18 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     spark = docs.sparkSession
     bits = sketch_bits(docs.select(text))
     found = materialize(document_sets(docs, text, key, bits), "sets")
-    each = found.where("counts is null").select("id", "n", "set")
+    sketch = merged_sketch(found, bits)
+    each = materialize(found.where("counts is null").select("id", "n", "set"), "digests")
+    forget(spark, found)
     total = each.agg(F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1), F.lit(0)).alias("p")).first().p
-    edges = materialize(candidate_edges(docs, merged_sketch(found, bits), bits, int(total), text, threshold), "chains")
+    edges = materialize(candidate_edges(docs, sketch, bits, int(total), text, threshold), "chains")
     blocks = materialize(connected_components(edges), "blocks")
+    forget(spark, edges)
     classes = each.where("n > 0").groupBy("set").agg(F.min("id").alias("id"), F.max("n").alias("n"))
     member = classes.join(blocks.select(F.col("node").alias("set"), F.col("label").alias("block")), "set")
     size = member.groupBy("block").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).where("rows > 1")
     member = materialize(member.join(size, "block").select("set", F.col("id").alias("rep"), "block", "rows", "shingles"), "members")
+    forget(spark, blocks)
     members = member.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("rows") > 0, F.col("shingles") / F.col("rows"))), F.lit(0)).alias("s"), F.max((F.col("rows") > CHUNK_ROWS) | (F.col("shingles") > GROUP_SHINGLES)).alias("large")).first()
     there = _bitmap(member, int(members.n))
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(there(F.col("id")))
@@ -394,7 +404,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
         sets = materialize(sets.withColumn("band", F.floor(F.log("n") / float(np.log(100 / threshold)) + 1e-9)), "incidence")
         roots = roots.unionByName(_large_blocks(sets, threshold))
     roots = materialize(roots, "roots")
-    forget(spark, edges, blocks)
+    forget(spark, member, *([sets] if members.large else []))
     label = classes.join(roots.select(F.col("a").alias("set"), "b"), "set", "left").select("set", "id", F.coalesce("b", "set").alias("label"))
     least = label.groupBy("label").agg(F.min("id").alias("component_id"))
     named = label.join(least, "label").select("set", "component_id")
