@@ -14,7 +14,7 @@ multiplied with all chunks of similar sizes, so no link is lost and no group is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame, functions as F
 from scorewright.llm._graph import connected_components
 from scorewright.llm._shared import forget, materialize
 from scorewright.llm._shingles import mix, set_key, shingle_sets
-from scorewright.llm.tokens import text_slices
 
 #: Least Jaccard similarity in hundredths.
 THRESHOLD = 75
@@ -35,9 +34,9 @@ POSTING = np.dtype([("h", "<u4"), ("n", "<u4"), ("key", "<i8")])
 FLUSH, BUCKET_BYTES = 500_000, 12 << 20
 CHUNK_ROWS, CHUNK_SHINGLES, GROUP_SHINGLES = 512, 400_000, 2_500_000
 #: Sets of a chunk, about, that also meet a neighbouring chunk in the first round.
-VISITORS = 64
-#: Products that one step of a sparse multiplication holds, and bytes of text of which sets are made at a time.
-STEP, SET_BYTES = 1_000_000, 4 << 20
+VISITORS = 8
+#: Products that one step of a sparse multiplication holds.
+STEP = 1_000_000
 #: Largest bitmap (in bits) by which documents are told apart before their texts move.
 BITMAP_BITS = 1 << 29
 
@@ -264,12 +263,6 @@ def _sets_of(frame: pd.DataFrame) -> pd.DataFrame:
     return frame.drop(columns="text").assign(data=[s.tobytes() for s in sets], n=[len(s) for s in sets])[keep]
 
 
-def _sets_in_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in batches:
-        for lo, hi in text_slices([t or "" for t in frame["text"]], SET_BYTES):
-            yield _sets_of(frame.iloc[lo:hi])
-
-
 def multiply_blocks(texts: DataFrame, threshold: int) -> DataFrame:
     """(a, b): root of every class, from blocks that fit one task.  ``texts`` has task, block, set, text.
 
@@ -287,23 +280,23 @@ def multiply_blocks(texts: DataFrame, threshold: int) -> DataFrame:
     return texts.groupBy("task").applyInPandas(lambda g: task(g), "a long, b long")
 
 
-def multiply_cells(cells: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """(a, b): links found in cells.  ``cells`` has cell (array), side and set; ``sets`` has set and data.
+def multiply_cells(cells: DataFrame, texts_of: Callable[..., DataFrame], threshold: int) -> DataFrame:
+    """(a, b): links found in cells.  ``cells`` has cell (array), side, set and rep; ``texts_of`` joins the texts.
 
-    Side 2 meets itself, side 0 meets side 1.
+    Side 2 meets itself, side 0 meets side 1.  Texts move rather than sets of hashes, as they are smaller.
     """
 
     def task(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates(["set", "side"])
+        group = _sets_of(group.drop_duplicates(["set", "side", "text"])).drop_duplicates(["set", "side"])
         left, right = group[group["side"] != 1], group[group["side"] == 1]
-        if group["side"].iloc[0] == 2:
+        if (group["side"] == 2).any():
             right = left
         if not len(left) or not len(right):
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         out = _rooted([], _links(left, right, threshold))
         return out[out["a"] != out["b"]]
 
-    return cells.join(sets.select("set", "data"), "set").groupBy("cell").applyInPandas(lambda g: task(g), "a long, b long")
+    return texts_of(cells, "cell", "side", "set").groupBy("cell").applyInPandas(lambda g: task(g), "a long, b long")
 
 
 def _with_chunks(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
@@ -312,13 +305,14 @@ def _with_chunks(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     return rows.join(count.drop("m"), ["block", "band"]).withColumn("chunk", F.pmod(F.xxhash64("set"), F.col(name)).cast("int")), count
 
 
-def _large_blocks(sets: DataFrame, threshold: int) -> DataFrame:
+def _large_blocks(members: DataFrame, texts_of: Callable[..., DataFrame], threshold: int) -> DataFrame:
     """(a, b): links that join the components of blocks too large for one task.
 
-    Cells are dealt on narrow rows; the sets themselves join last.
+    Cells are dealt on narrow rows; the texts join last.
     """
-    spark = sets.sparkSession
-    rows, count = _with_chunks(sets.select("set", "block", "band", "n").distinct(), "c")
+    spark = members.sparkSession
+    band = F.floor(F.log("n") / float(np.log(100 / threshold)) + 1e-9)
+    rows, count = _with_chunks(members.select("set", "rep", "block", band.alias("band"), "n"), "c")
     rows, count = materialize(rows, "chunks"), materialize(count, "counts")
     beside = lambda by, name: count.select("block", (F.col("band") + by).alias("band"), F.col("c").alias(name))
     around = rows.join(count.select("block", "band", "m"), ["block", "band"]).join(beside(1, "below"), ["block", "band"], "left")
@@ -330,20 +324,20 @@ def _large_blocks(sets: DataFrame, threshold: int) -> DataFrame:
     visits = F.pmod(F.xxhash64(F.lit(VISITORS), "set"), F.greatest(F.lit(1), F.floor(F.col("m") / F.col("c") / VISITORS))) == 0
     from_below = F.when(F.col("below") > chunk, F.transform(F.sequence(chunk, F.col("below") - 1, F.col("c")), lambda j: F.struct((band - 1).alias("band"), j.alias("i")))).otherwise(F.array().cast("array<struct<band:bigint,i:int>>"))
     away = F.when(visits, F.concat(beside_own, from_below)).otherwise(F.array().cast("array<struct<band:bigint,i:int>>"))
-    cells = around.select("set", "block", F.explode(F.array_distinct(F.concat(own, away))).alias("x")).select("set", F.array("block", "x.band", F.col("x.i").cast("long")).alias("cell"), F.lit(2).alias("side"))
-    near = materialize(multiply_cells(cells, sets, threshold), "links")
+    cells = around.select("set", "rep", "block", F.explode(F.array_distinct(F.concat(own, away))).alias("x")).select("set", "rep", F.array("block", "x.band", F.col("x.i").cast("long")).alias("cell"), F.lit(2).alias("side"))
+    near = materialize(multiply_cells(cells, texts_of, threshold), "links")
     labels = materialize(connected_components(near), "labels")
     # Whatever is apart from the largest component of its block meets all chunks of similar sizes.
     named = rows.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
     largest = named.groupBy("block", "label").agg(F.count("*").alias("m")).groupBy("block").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
-    few, few_count = _with_chunks(named.join(largest, "block").where("label <> main").select("block", "band", "set", "n"), "k")
+    few, few_count = _with_chunks(named.join(largest, "block").where("label <> main").select("block", "band", "set", "rep", "n"), "k")
     beside_it = F.explode(F.array(band - 1, band, band + 1)).alias("other")
     number = lambda *xs: F.array(*[x.cast("long") for x in xs]).alias("cell")
-    left = few.select("set", "block", band, chunk, beside_it).join(count.select("block", F.col("band").alias("other"), "c"), ["block", "other"])
-    left = left.select("*", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("j")).select("set", number(F.col("block"), band, chunk, F.col("other"), F.col("j")), F.lit(0).alias("side"))
-    right = rows.select("set", "block", band, chunk, beside_it).join(few_count.select("block", F.col("band").alias("other"), "k"), ["block", "other"])
-    right = right.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i")).select("set", number(F.col("block"), F.col("other"), F.col("i"), band, chunk), F.lit(1).alias("side"))
-    far = materialize(multiply_cells(left.unionByName(right), sets, threshold), "links")
+    left = few.select("set", "rep", "block", band, chunk, beside_it).join(count.select("block", F.col("band").alias("other"), "c"), ["block", "other"])
+    left = left.select("*", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("j")).select("set", "rep", number(F.col("block"), band, chunk, F.col("other"), F.col("j")), F.lit(0).alias("side"))
+    right = rows.select("set", "rep", "block", band, chunk, beside_it).join(few_count.select("block", F.col("band").alias("other"), "k"), ["block", "other"])
+    right = right.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i")).select("set", "rep", number(F.col("block"), F.col("other"), F.col("i"), band, chunk), F.lit(1).alias("side"))
+    far = materialize(multiply_cells(left.unionByName(right), texts_of, threshold), "links")
     out = materialize(connected_components(near.unionByName(far)), "labels").select(F.col("node").alias("a"), F.col("label").alias("b"))
     forget(spark, near, labels, rows, count, far)
     return out
@@ -390,21 +384,19 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     classes = each.where("n > 0").groupBy("set").agg(F.min("id").alias("id"), F.max("n").alias("n"))
     member = classes.join(blocks.select(F.col("node").alias("set"), F.col("label").alias("block")), "set")
     size = member.groupBy("block").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).where("rows > 1")
-    member = materialize(member.join(size, "block").select("set", F.col("id").alias("rep"), "block", "rows", "shingles"), "members")
+    member = materialize(member.join(size, "block").select("set", F.col("id").alias("rep"), "block", "n", "rows", "shingles"), "members")
     forget(spark, blocks)
     members = member.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("rows") > 0, F.col("shingles") / F.col("rows"))), F.lit(0)).alias("s"), F.max((F.col("rows") > CHUNK_ROWS) | (F.col("shingles") > GROUP_SHINGLES)).alias("large")).first()
     there = _bitmap(member, int(members.n))
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(there(F.col("id")))
-    of = lambda some: source.join(some, F.col("id").eqNullSafe(F.col("rep"))).select("set", "block", "text")
+    of = lambda some, *columns: source.join(some, F.col("id").eqNullSafe(F.col("rep"))).select(*columns, "text")
     fits = (F.col("rows") <= CHUNK_ROWS) & (F.col("shingles") <= GROUP_SHINGLES)
     tasks = max(8, -(-int(members.s) // (GROUP_SHINGLES // 2)))
-    roots = multiply_blocks(of(member.where(fits)).withColumn("task", F.pmod(F.xxhash64("block"), F.lit(tasks))), threshold)
+    roots = multiply_blocks(of(member.where(fits), "set", "block").withColumn("task", F.pmod(F.xxhash64("block"), F.lit(tasks))), threshold)
     if members.large:
-        sets = of(member.where(~fits)).mapInPandas(lambda batches: _sets_in_parts(batches), "set long, block long, data binary, n long")
-        sets = materialize(sets.withColumn("band", F.floor(F.log("n") / float(np.log(100 / threshold)) + 1e-9)), "incidence")
-        roots = roots.unionByName(_large_blocks(sets, threshold))
+        roots = roots.unionByName(_large_blocks(member.where(~fits), of, threshold))
     roots = materialize(roots, "roots")
-    forget(spark, member, *([sets] if members.large else []))
+    forget(spark, member)
     label = classes.join(roots.select(F.col("a").alias("set"), "b"), "set", "left").select("set", "id", F.coalesce("b", "set").alias("label"))
     least = label.groupBy("label").agg(F.min("id").alias("component_id"))
     named = label.join(least, "label").select("set", "component_id")
