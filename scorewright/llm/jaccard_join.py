@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from scorewright.llm._graph import connected_components
-from scorewright.llm._shared import forget, materialize
+from scorewright.llm._shared import forget, materialize, tidy, tidy_group
 from scorewright.llm._shingles import mix, set_key, shingle_sets
 
 #: Least Jaccard similarity in hundredths.
@@ -93,7 +93,7 @@ def document_sets(docs: DataFrame, text: str, key: str, bits: int) -> DataFrame:
             yield pd.DataFrame({"id": None, "n": None, "set": None, "slice": range(SLICES), "part": TaskContext.get().partitionId(), "counts": [x.tobytes() for x in np.split(sketch, SLICES)]})
 
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return source.mapInPandas(task, "id long, n long, set long, slice int, part int, counts binary")
+    return source.mapInPandas(tidy(task), "id long, n long, set long, slice int, part int, counts binary")
 
 
 def merged_sketch(found: DataFrame, bits: int) -> np.ndarray:
@@ -181,9 +181,9 @@ def candidate_edges(docs: DataFrame, sketch: np.ndarray, bits: int, postings: in
         rows = [(x, r) for x in list(forest.up) if (r := forest.root(x)) != x]
         return pd.DataFrame(rows, columns=["a", "b"], dtype="int64")
 
-    packed = docs.select(F.col(text).alias("text")).mapInPandas(task, "bucket int, data binary")
+    packed = docs.select(F.col(text).alias("text")).mapInPandas(tidy(task), "bucket int, data binary")
     # Rows of bucket -1 are edges already; they are spread over groups by a salt.
-    return packed.withColumn("salt", F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("data"), F.lit(16))).otherwise(0)).groupBy("bucket", "salt").applyInPandas(lambda g: chain(g), "a long, b long")
+    return packed.withColumn("salt", F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("data"), F.lit(16))).otherwise(0)).groupBy("bucket", "salt").applyInPandas(tidy_group(chain), "a long, b long")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -277,7 +277,7 @@ def multiply_blocks(texts: DataFrame, threshold: int) -> DataFrame:
                 out.append(_rooted(g["set"].tolist(), _links(g, g, threshold)))
         return pd.concat(out)
 
-    return texts.groupBy("task").applyInPandas(lambda g: task(g), "a long, b long")
+    return texts.groupBy("task").applyInPandas(tidy_group(task), "a long, b long")
 
 
 def multiply_cells(cells: DataFrame, texts_of: Callable[..., DataFrame], threshold: int) -> DataFrame:
@@ -296,7 +296,7 @@ def multiply_cells(cells: DataFrame, texts_of: Callable[..., DataFrame], thresho
         out = _rooted([], _links(left, right, threshold))
         return out[out["a"] != out["b"]]
 
-    return texts_of(cells, "cell", "side", "set").groupBy("cell").applyInPandas(lambda g: task(g), "a long, b long")
+    return texts_of(cells, "cell", "side", "set").groupBy("cell").applyInPandas(tidy_group(task), "a long, b long")
 
 
 def _with_chunks(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:

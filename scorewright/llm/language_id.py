@@ -16,6 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from scorewright.llm._shared import give_back
+
 #: The bounded sample: documents of each language, and characters of each that count.
 SAMPLE_ROWS, SAMPLE_CHARS = 48, 1500
 MAX_LANGUAGES, MAX_SYMBOLS = 1000, 1024
@@ -204,6 +206,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             a, b = built.predict(part)
             langs, scores = langs + a, np.concatenate([*scores, b])
             yield pd.DataFrame({"lang_pred": langs[:-1], "score": scores[:-1]})
+        give_back()
 
     judge = F.pandas_udf(one, "lang_pred string, score double")
     return docs.drop("lang_pred", "score").withColumn("_judged", judge(F.col(text))).select("*", "_judged.*").drop("_judged")

@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from scorewright.llm._shared import materialize, text_or_empty
+from scorewright.llm._shared import materialize, text_or_empty, tidy
 from scorewright.llm.tokens import encoder, text_slices
 
 CAPACITY, END_ID, BLOCK_ROWS = 2048, 0, 50_000
@@ -112,7 +112,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
                 yield pd.DataFrame({key: keys.iloc[list(at_)].array, "piece": piece, "start": start, "length": length, "ids_crc32": crc})
 
     source = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text"))
-    return source.mapInPandas(cut, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
+    return source.mapInPandas(tidy(cut), f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length") -> DataFrame:

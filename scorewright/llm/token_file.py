@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from scorewright.llm._shared import materialize, scratch_path, text_or_empty
+from scorewright.llm._shared import materialize, scratch_path, text_or_empty, tidy
 from scorewright.llm.tokens import encoder, text_slices
 
 MAGIC = b"BITPACK1"
@@ -154,7 +154,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2, folder: str | None
 
     source = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("key"), text_or_empty(text).alias("text")).withColumn("h", F.xxhash64("text"))
     ordered = source.repartitionByRange("key", "h").sortWithinPartitions("key", "h").select("key", "text")
-    return materialize(ordered.mapInPandas(write, "shard int, file string, n_docs long, n_ids long"), "manifest")
+    return materialize(ordered.mapInPandas(tidy(write), "shard int, file string, n_docs long, n_ids long"), "manifest")
 
 
 def read_documents(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -186,7 +186,7 @@ def read_documents(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
 
     shards = manifest.count()
     based = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row for each shard
-    return based.repartition(max(1, shards)).mapInPandas(read, f"`{key}` long, start long, n_tokens long, ids_crc32 long")
+    return based.repartition(max(1, shards)).mapInPandas(tidy(read), f"`{key}` long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_ids(spark: SparkSession, file: str, start: int, n: int) -> np.ndarray:

@@ -21,7 +21,7 @@ _LETTERS, _MARKS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+"), re.compile(r"[!-/:-@
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_CHARS = [chr(b) if b in _PRINTABLE else chr(256 + sum(x not in _PRINTABLE for x in range(b))) for b in range(256)]
 #: Pieces encoded in one call, and pieces kept per worker (about 200 bytes each).
-_RUN, _KEPT = 2048, 700_000
+_RUN, _KEPT = 2048, 400_000
 
 
 def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
