@@ -197,10 +197,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         built = shipped.value.build()
         for batch in texts:
             langs, scores, part, size = [], [], [], 0
-            for t in [*batch.tolist(), None]:  # about 4 million characters at a time
+            for t in [*batch.tolist(), None]:  # about 2 million characters at a time
                 part.append(t)
                 size += len(t or "")
-                if size > 4_000_000:
+                if size > 2_000_000:
                     a, b = built.predict(part)
                     langs, scores, part, size = langs + a, [*scores, b], [], 0
             a, b = built.predict(part)

@@ -159,7 +159,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def text_slices(texts: list[str], most: int = 8 << 20) -> list[tuple[int, int]]:
+def text_slices(texts: list[str], most: int = 2 << 20) -> list[tuple[int, int]]:
     """Ranges of texts of about ``most`` characters at most (a single longer text stands alone), to bound memory."""
     out, lo, n = [], 0, 0
     for i, t in enumerate(texts):
