@@ -607,3 +607,6 @@ def stream_throughput_window(spark, sf_dir):
     stream = live.event_stream(spark, f"{source}*", spark.read.parquet(source).schema)
     out = live.drain(live.throughput(stream, "ts", "1 hour", keys=["event_type"]), "live_windows")
     return out.select(F.col("w.start").cast("timestamp_ntz").alias("start_ts"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+from scorewright.plans import rollups  # noqa: E402, F401  (adds its queries to this registry)
