@@ -34,7 +34,7 @@ POSTING = np.dtype([("h", "<u4"), ("n", "<u4"), ("key", "<i8")])
 FLUSH, BUCKET_BYTES = 500_000, 12 << 20
 CHUNK_ROWS, CHUNK_SHINGLES, GROUP_SHINGLES = 512, 400_000, 2_500_000
 #: Sets of a chunk, about, that also meet a neighbouring chunk in the first round.
-VISITORS = 8
+VISITORS = 16
 #: Products that one step of a sparse multiplication holds.
 STEP = 1_000_000
 #: Largest bitmap (in bits) by which documents are told apart before their texts move.
@@ -330,13 +330,13 @@ def _large_blocks(members: DataFrame, texts_of: Callable[..., DataFrame], thresh
     # Whatever is apart from the largest component of its block meets all chunks of similar sizes.
     named = rows.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
     largest = named.groupBy("block", "label").agg(F.count("*").alias("m")).groupBy("block").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
-    few, few_count = _with_chunks(named.join(largest, "block").where("label <> main").select("block", "band", "set", "rep", "n"), "k")
-    beside_it = F.explode(F.array(band - 1, band, band + 1)).alias("other")
+    # They are dealt by the band that they meet, so that a set of that band stands in few cells.
+    apart = named.join(largest, "block").where("label <> main").select("block", F.explode(F.array(band - 1, band, band + 1)).alias("band"), "set", "rep", "n")
+    few, few_count = _with_chunks(apart.join(count, ["block", "band"], "left_semi"), "k")
     number = lambda *xs: F.array(*[x.cast("long") for x in xs]).alias("cell")
-    left = few.select("set", "rep", "block", band, chunk, beside_it).join(count.select("block", F.col("band").alias("other"), "c"), ["block", "other"])
-    left = left.select("*", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("j")).select("set", "rep", number(F.col("block"), band, chunk, F.col("other"), F.col("j")), F.lit(0).alias("side"))
-    right = rows.select("set", "rep", "block", band, chunk, beside_it).join(few_count.select("block", F.col("band").alias("other"), "k"), ["block", "other"])
-    right = right.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i")).select("set", "rep", number(F.col("block"), F.col("other"), F.col("i"), band, chunk), F.lit(1).alias("side"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("other")
+    left = few.join(count.select("block", "band", "c"), ["block", "band"]).select("*", every("c")).select("set", "rep", number(F.col("block"), band, chunk, F.col("other")), F.lit(0).alias("side"))
+    right = rows.join(few_count.select("block", "band", "k"), ["block", "band"]).select("*", every("k")).select("set", "rep", number(F.col("block"), band, F.col("other"), chunk), F.lit(1).alias("side"))
     far = materialize(multiply_cells(left.unionByName(right), texts_of, threshold), "links")
     out = materialize(connected_components(near.unionByName(far)), "labels").select(F.col("node").alias("a"), F.col("label").alias("b"))
     forget(spark, near, labels, rows, count, far)
