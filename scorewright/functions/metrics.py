@@ -151,9 +151,13 @@ def repetition_n(text: Column, n: int) -> Column:
 
 def repetition_window(text: Column, window: int = 16) -> Column:
     """Share of tokens seen among the ``window`` tokens before them."""
-    t = tokens(text)
-    seen = F.filter(F.transform(t, lambda x, i: F.array_contains(F.slice(t, F.greatest(i - window + 1, F.lit(1)), F.least(i, F.lit(window))), x)), lambda x: x)
-    return F.when(F.size(t) > 0, F.size(seen) / F.size(t)).otherwise(F.lit(0.0))
+
+    def share(t: Column) -> Column:
+        seen = F.filter(F.transform(t, lambda x, i: F.array_contains(F.slice(t, F.greatest(i - window + 1, F.lit(1)), F.least(i, F.lit(window))), x)), lambda x: x)
+        return F.when(F.size(t) > 0, F.size(seen) / F.size(t)).otherwise(F.lit(0.0))
+
+    # Bound as a variable, the tokens are made once for a text and not once for each token.
+    return F.transform(F.array(tokens(text)), share)[0]
 
 
 def eligible(labels: Column, metric: Column) -> Column:

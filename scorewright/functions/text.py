@@ -46,8 +46,13 @@ def circled_digits(text: Column) -> Column:
 
 def ngrams(words: Column, n: int) -> Column:
     """Space-joined n-grams, repeats kept; none for fewer than n words."""
-    last = F.size(words) - (n - 1)
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    def grams(words: Column) -> Column:
+        last = F.size(words) - (n - 1)
+        return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    # The outer array binds the words to a name, so that they are made once for a text and not once for each n-gram.
+    return F.transform(F.array(words), grams)[0]
 
 
 def count_in(items: Column, item: Column) -> Column:
@@ -78,7 +83,16 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def _trimmed(a: list, b: list) -> tuple[list, list, int]:
+    """Both lists without their common start and end, and the words that went: a best alignment always keeps those."""
+    most = min(len(a), len(b))
+    start = next((i for i in range(most) if a[i] != b[i]), most)
+    end = next((i for i in range(most - start) if a[-1 - i] != b[-1 - i]), most - start)
+    return a[start : len(a) - end], b[start : len(b) - end], start + end
+
+
 def _edits(a: list, b: list) -> int:
+    a, b, _ = _trimmed(a, b)
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         diagonal, row[0] = row[0], i
@@ -98,11 +112,12 @@ def common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
     """Words of the longest common subsequence of two texts."""
 
     def length(x: list, y: list) -> int:
+        x, y, same = _trimmed(x, y)
         row = [0] * (len(y) + 1)
         for u in x:
             diagonal = 0
             for j, v in enumerate(y, 1):
                 diagonal, row[j] = row[j], diagonal + 1 if u == v else max(row[j], row[j - 1])
-        return row[-1]
+        return row[-1] + same
 
     return pd.Series([length((x or "").split(), (y or "").split()) for x, y in zip(a, b)])

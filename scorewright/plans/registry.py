@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from scorewright.functions import checks, extract, metrics as m, text as t
 from scorewright.operators import aggregate as agg, dataset as ds, leaderboard as lb, submission as sub
-from scorewright.plans.views import CHOICES, JUDGED, REC, RUNS, choices, judged, records, runs, table
+from scorewright.plans.views import CHOICES, JUDGED, REC, RUNS, choices, judged, records, runs, table, whole_records
 from scorewright.streaming import live
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,7 +137,7 @@ def repetition_bigrams(spark, sf_dir):
 
 @query()
 def repetition_window_share(spark, sf_dir):
-    df = records(spark, sf_dir).withColumn("w", m.repetition_window(F.col("prediction")))
+    df = whole_records(spark, sf_dir).withColumn("w", m.repetition_window(F.col("prediction")))
     return by_category(df, rep_w=F.col("w"))
 
 
@@ -184,14 +184,14 @@ def option_words(spark, sf_dir):
 
 @query()
 def word_error_rate(spark, sf_dir):
-    df = records(spark, sf_dir).select("category", F.col("labels")[1].alias("l"), "prediction")
+    df = whole_records(spark, sf_dir).select("category", F.col("labels")[1].alias("l"), "prediction")
     edits = df.select("category", t.word_edits("l", "prediction").alias("e"), F.size(t.tokens(F.col("l"))).alias("n"))
     return edits.groupBy("category").agg(F.sum("e").alias("edits"), F.sum("n").alias("words")).withColumn("wer", F.round(F.col("edits") / F.col("words"), 6))
 
 
 @query()
 def rouge_l_by_category(spark, sf_dir):
-    df = records(spark, sf_dir).select("category", t.squad_normalize(F.col("labels")[0]).alias("l"), t.squad_normalize(F.col("prediction")).alias("p"))
+    df = whole_records(spark, sf_dir).select("category", t.squad_normalize(F.col("labels")[0]).alias("l"), t.squad_normalize(F.col("prediction")).alias("p"))
     df = df.withColumn("c", t.common_subsequence("l", "p"))
     both = F.size(t.tokens(F.col("l"))) + F.size(t.tokens(F.col("p")))
     return df.groupBy("category").agg(F.round(F.avg(F.when(both > 0, 2 * F.col("c") / both).otherwise(0.0)), 6).alias("rouge_l"))
@@ -213,7 +213,7 @@ def bleu_corpus(spark, sf_dir):
 
 @query()
 def cider_by_category(spark, sf_dir):
-    df = records(spark, sf_dir)
+    df = whole_records(spark, sf_dir)
     scores = agg.cider(df, "doc_id", F.col("prediction"), F.col("labels")[1])
     return df.join(scores, "doc_id").groupBy("category").agg(F.round(F.avg("cider"), 6).alias("cider"))
 
@@ -241,7 +241,7 @@ def rouge_1_2(spark, sf_dir):
 def mixed_error_rate(spark, sf_dir):
     """Word error rate in percent after Hangul syllables are set apart, at most 100."""
     spaced = lambda x: F.regexp_replace(x, r"([\x{AC00}-\x{D7A3}])", " $1 ")
-    df = records(spark, sf_dir).select("category", spaced(F.col("labels")[1]).alias("l"), spaced(F.col("prediction")).alias("p"))
+    df = whole_records(spark, sf_dir).select("category", spaced(F.col("labels")[1]).alias("l"), spaced(F.col("prediction")).alias("p"))
     df = df.select("category", t.word_edits("l", "p").alias("e"), F.size(t.tokens(F.col("l"))).alias("n"))
     return df.groupBy("category").agg(F.round(F.avg(F.least(F.lit(100.0), F.when(F.col("n") > 0, 100 * F.col("e") / F.col("n")).otherwise(100.0))), 6).alias("mer"))
 
@@ -559,8 +559,7 @@ def yes_no_accuracy(spark, sf_dir):
 _INSTRUCTIONS = {"word_count_range": {"low": 5, "high": 40}, "number_count": {"n": 0}, "no_whitespace": {}, "contains_phrase": {"phrase": "the"}, "reversed_phrase": {"phrase": "the"}}
 
 
-def _instructed(spark, sf_dir, how):
-    df = records(spark, sf_dir)
+def _instructed(df, how):
     return df.select("doc_id", "category", *[how(F.col("prediction"), k, **v).alias(k) for k, v in _INSTRUCTIONS.items()])
 
 
@@ -569,24 +568,24 @@ _STRICT = f"WITH {REC}, s AS (SELECT doc_id, category, prediction <> '' AND len(
 
 @query(_STRICT + " SELECT category, round(avg(CASE WHEN a AND b AND d THEN 1.0 ELSE 0 END), 6) AS prompt_acc FROM s GROUP BY category")
 def if_strict_prompt(spark, sf_dir):
-    return _instructed(spark, sf_dir, checks.strict).groupBy("category").agg(F.round(F.avg((F.col("word_count_range") & F.col("number_count") & F.col("contains_phrase")).cast("double")), 6).alias("prompt_acc"))
+    return _instructed(records(spark, sf_dir), checks.strict).groupBy("category").agg(F.round(F.avg((F.col("word_count_range") & F.col("number_count") & F.col("contains_phrase")).cast("double")), 6).alias("prompt_acc"))
 
 
 @query(_STRICT + " SELECT round((sum(CAST(a AS INT)) + sum(CAST(b AS INT)) + sum(CAST(c AS INT)) + sum(CAST(d AS INT)) + sum(CAST(e AS INT))) / CAST(5 * count(*) AS DOUBLE), 6) AS inst_acc FROM s")
 def if_instruction_level(spark, sf_dir):
-    flat = _instructed(spark, sf_dir, checks.strict).select(F.explode(F.array(*_INSTRUCTIONS)).alias("ok"))
+    flat = _instructed(records(spark, sf_dir), checks.strict).select(F.explode(F.array(*_INSTRUCTIONS)).alias("ok"))
     return flat.agg(F.round(F.avg(F.col("ok").cast("double")), 6).alias("inst_acc"))
 
 
 @query()
 def if_loose_prompt(spark, sf_dir):
-    return _instructed(spark, sf_dir, checks.loose).groupBy("category").agg(*[F.round(F.avg(F.col(k).cast("double")), 6).alias(k) for k in _INSTRUCTIONS])
+    return _instructed(whole_records(spark, sf_dir), checks.loose).groupBy("category").agg(*[F.round(F.avg(F.col(k).cast("double")), 6).alias(k) for k in _INSTRUCTIONS])
 
 
 @query()
 def if_all_checks(spark, sf_dir):
     """Every check of the catalogue over all records, one rate each."""
-    df = records(spark, sf_dir).withColumn("reference", F.col("labels")[1])
+    df = whole_records(spark, sf_dir).withColumn("reference", F.col("labels")[1])
     extra = {"trigram_overlap": {"reference": F.col("reference")}, "repeat_change": {"prompt": F.col("reference")}, "repeat_span": {"prompt": F.col("reference")}}
     return df.agg(*[F.round(F.avg(checks.strict(F.col("prediction"), k, **extra.get(k, {})).cast("double")), 6).alias(k) for k in checks.CHECKS])
 

@@ -11,19 +11,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, category, sub, prediction, labels): a document's first characters against a benchmark item and itself."""
+def _records(spark: SparkSession, sf_dir: str, cut) -> DataFrame:
     items = table(spark, sf_dir, "benchmark")
     n = items.count()
     docs = table(spark, sf_dir, "documents")
     both = docs.join(items.withColumnRenamed("text", "item"), F.pmod(docs["doc_id"], F.lit(n)) == items["item_id"])
     return both.select(
         "doc_id", F.col("lang").alias("category"), F.col("source").alias("sub"),
-        ascii_only(F.substring("text", 1, 200)).alias("prediction"),
-        F.array(ascii_only(F.substring("item", 1, 200)), ascii_only(F.substr(F.col("text"), (1 + F.col("doc_id") % 3).cast("int"), F.lit(200)))).alias("labels"),
+        ascii_only(cut(F.col("text"), F.lit(1))).alias("prediction"),
+        F.array(ascii_only(cut(F.col("item"), F.lit(1))), ascii_only(cut(F.col("text"), (1 + F.col("doc_id") % 3).cast("int")))).alias("labels"),
     )
 
 
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, category, sub, prediction, labels): a document's first characters against a benchmark item and itself.
+
+    This is the view that REC states in SQL; queries without an SQL equivalent read :func:`whole_records`.
+    """
+    return _records(spark, sf_dir, lambda text, at: F.substr(text, at, F.lit(200)))
+
+
+def whole_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same columns from whole texts."""
+    return _records(spark, sf_dir, F.substr)
+
+
 REC = r"""rec AS (SELECT d.doc_id, d.lang AS category, d.source AS sub, regexp_replace(substr(d.text, 1, 200), '[^\x00-\x7F]', '', 'g') AS prediction,
     [regexp_replace(substr(b.text, 1, 200), '[^\x00-\x7F]', '', 'g'), regexp_replace(substr(d.text, 1 + d.doc_id % 3, 200), '[^\x00-\x7F]', '', 'g')] AS labels
     FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))"""
