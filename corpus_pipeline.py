@@ -37,9 +37,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     whole, part = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
     shares = F.concat(F.array_repeat(F.lit(None).cast("int"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
     rows = rows.select(*[docs[c] for c in docs.columns], F.explode(shares).alias("_part"))
-    # Only the few documents that are taken in part are cut; the cut keeps the text up to the end of that word.
-    cut = F.regexp_substr("text", F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), F.col("_part"), F.lit("}")))
-    return rows.withColumn("text", F.when(F.col("_part").isNull(), F.col("text")).otherwise(F.rtrim(cut))).withColumn("n_chars", F.when(F.col("_part").isNull(), F.col("n_chars")).otherwise(F.char_length("text"))).select(*docs.columns)
+    # Only the few documents that are taken in part are cut, at the end of their last word taken.  Words are matched one by
+    # one: Java repeats a group by recursion, which long texts overflow.
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("_part")), "")
+    return rows.withColumn("text", F.when(F.col("_part").isNull(), F.col("text")).otherwise(cut)).withColumn("n_chars", F.when(F.col("_part").isNull(), F.col("n_chars")).otherwise(F.char_length("text"))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
