@@ -19,10 +19,21 @@ def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return judged.where(F.col("lang_pred") != language_id.UNKNOWN).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
+def _numbered(docs: DataFrame, tag: str) -> DataFrame:
+    """``docs`` with a number of each row, ``_at``; it is written, so that every later read has the same numbers."""
+    return materialize(docs.withColumn("_at", F.monotonically_increasing_id()), tag)
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; of repeated ids one row."""
-    kept = jaccard_join.jaccard_components(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """Of each group of near copies the row with the smallest id stays (one without id only where none has an id).
+
+    Rows are told apart by their number: different texts that share an id, or have none, all stay.
+    """
+    rows = _numbered(docs, "rows")
+    group = jaccard_join.jaccard_components(rows, key="_at").join(rows.select("_at", "doc_id"), "_at")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_at"))
+    kept = group.groupBy("component_id").agg(first.alias("first")).select("first._at")
+    return rows.join(kept, "_at", "left_semi").select(*docs.columns)
 
 
 def pseudonymize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,11 +43,12 @@ def pseudonymize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stand as often as the mix takes them whole; one of which it takes a part is cut after those words."""
-    taken = mixing.mix(docs.select("doc_id", "source", "text"), F.array("source"), source_weights).where("taken > 0").select(F.col("doc_id").alias("_id"), "size", "taken")
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]))
+    at = _numbered(docs, "rows")
+    taken = mixing.mix(at.select("doc_id", "_at", "source", "text"), F.array("source"), source_weights).where("taken > 0").select("_at", "size", "taken")
+    rows = at.join(taken, "_at")
     whole, part = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
     shares = F.concat(F.array_repeat(F.lit(None).cast("int"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
-    rows = rows.select(*[docs[c] for c in docs.columns], F.explode(shares).alias("_part"))
+    rows = rows.select(*docs.columns, F.explode(shares).alias("_part"))
     # Only the few documents that are taken in part are cut, at the end of their last word taken.  Words are matched one by
     # one: Java repeats a group by recursion, which long texts overflow.
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("_part")), "")
