@@ -8,18 +8,24 @@ letters of the same case) and one on a pair of residues (IPv4 addresses, days of
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Kinds of values in the order in which they are tried at a place; an earlier kind takes its text first.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ipv4": r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9])",
-    "date": r"(?<![0-9A-Za-z-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z-])",
+    "date": r"(?<![0-9A-Za-z-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-SU-Za-z-]|T(?![0-9]{2}))|(?<![0-9A-Za-z./-])[0-9]{4}(?:/[0-9]{2}/|\.[0-9]{2}\.)[0-9]{2}(?![0-9A-SU-Za-z/-]|T(?![0-9]{2})|\.[0-9])",
     "national": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+[0-9](?:[ .()-]{0,2}[0-9]){7,14})(?![0-9A-Za-z])",
 }
 ANY = "|".join(PATTERNS.values())
+#: Cards are looked for at every place, as a check digit that fails at one place says nothing of the next: the usual
+#: groups and unbroken runs; then any other groups, as long as they go.
+CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
+GROUPED = (r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{3}", r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}", r"[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{5}", r"[0-9]{13,19}")
+START, END = "(?<![0-9A-Za-z])", "(?![0-9A-Za-z])"
 ROUNDS = 8
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FIRST_DAY, DAYS = "1700-01-01", 146_097  # the Gregorian cycle of 400 years
@@ -96,14 +102,31 @@ def _refill(text: Column, digits: Column) -> Column:
 
 
 def _whole(kind: str) -> str:
-    return f"^(?:{PATTERNS[kind].replace('(?<![0-9A-Za-z-])', '').replace('(?<![0-9A-Za-z])', '').replace('(?<![0-9.])', '')})$"
+    pattern = CARD if kind == "card" else PATTERNS[kind]
+    return "^(?:" + re.sub(r"\(\?<!\[[^\]]*\]\)", "", pattern) + ")$"
+
+
+def cards_in(text: Column) -> Column:
+    """Distinct values of a text that are written like cards and pass their check digit, longest first."""
+    found = [F.regexp_extract_all(text, F.lit(f"{START}(?=({form}){END})"), F.lit(1)) for form in GROUPED]
+    found.append(F.regexp_extract_all(text, F.lit(START + CARD + END), F.lit(0)))
+    valid = F.filter(F.array_distinct(F.concat(*found)), lambda v: _luhn_sum(_digits(v), 1) % 10 == 0)
+    return F.transform(F.array_sort(F.transform(valid, lambda v: F.struct((-F.char_length(v)).alias("n"), v.alias("v")))), lambda x: x["v"])
+
+
+def any_of(text: Column) -> Column:
+    """The pattern of all values of a text: that of every kind, and the text's own valid cards."""
+    # Cards hold digits, spaces and hyphens only, which stand for themselves.
+    own = F.concat(F.lit(f"{ANY}|{START}(?:"), F.array_join(cards_in(text), "|"), F.lit(f"){END}"))
+    own = F.when(text.rlike(START + CARD + END), F.when(F.size(cards_in(text)) > 0, own))
+    return F.coalesce(own, F.lit(ANY))
 
 
 def kind_of(value: Column) -> Column:
     """Kind of a matched value that passes its validation; null for one that does not."""
     digits = _digits(value)
     octets = F.split(value, r"\.", -1)
-    day = F.datediff(F.try_to_timestamp(value, F.lit("yyyy-MM-dd")).cast("date"), F.lit(FIRST_DAY).cast("date"))
+    day = F.datediff(F.try_to_timestamp(F.translate(value, "/.", "--"), F.lit("yyyy-MM-dd")).cast("date"), F.lit(FIRST_DAY).cast("date"))
     area, group, serial = F.substring(value, 1, 3), F.substring(value, 5, 2), F.substring(value, 8, 4)
     return (
         F.when(value.contains("@"), F.lit("email"))
@@ -124,13 +147,15 @@ def pseudonym(value: Column, key: str) -> Column:
     address = F.aggregate(octets, F.lit(0).cast("long"), lambda a, o: a * 256 + o.cast("long"))
     moved = permute_number(address, (65_536, 65_536), key, "ipv4")
     dotted = F.concat_ws(".", *[F.pmod(F.shiftright(moved, 8 * k), F.lit(256)).cast("string") for k in (3, 2, 1, 0)])
-    day = F.datediff(F.try_to_timestamp(value, F.lit("yyyy-MM-dd")).cast("date"), F.lit(FIRST_DAY).cast("date"))
+    day = F.datediff(F.try_to_timestamp(F.translate(value, "/.", "--"), F.lit("yyyy-MM-dd")).cast("date"), F.lit(FIRST_DAY).cast("date"))
     dated = F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), permute_number(day, DAY_RADIX, key, "date").cast("int")), "yyyy-MM-dd")
+    dated = F.replace(dated, F.lit("-"), F.substr(value, F.lit(5), F.lit(1)))
     # A card's last digit is computed anew, which keeps the number valid and the map one-to-one on valid numbers.
     body = permute_text(F.substr(digits, F.lit(1), n - 1), key, F.lit("card"))
     card = F.concat(body, F.pmod(10 - _luhn_sum(body, 0), F.lit(10)).cast("string"))
-    # A phone number keeps its country code: the last ten digits move.
-    phone = F.concat(F.substr(digits, F.lit(1), n - 10), permute_text(F.substr(digits, n - 9, F.lit(10)), key, F.lit("phone")))
+    # A phone number keeps its country code: the last ten digits move, of a short international one all but the first.
+    moving = F.when(value.startswith("+"), F.least(n - 1, F.lit(10))).otherwise(F.lit(10))
+    phone = F.concat(F.substr(digits, F.lit(1), n - moving), permute_text(F.substr(digits, n - moving + 1, moving), key, F.lit("phone")))
     kind = kind_of(value)
     return (
         F.when(kind == "email", F.concat(permute_text(local, key, F.concat(F.lit("email"), domain)), F.lit("@"), domain))
@@ -149,10 +174,12 @@ def pseudonymize(docs: DataFrame, key: str = "change-me", text: str = "text") ->
     Adds ``n_pseudonyms`` (long): the values replaced.  A null or empty text stays as it is with 0.  Texts without a
     match skip the work.  The key is a parameter of production; equal keys link equal values over runs and tables.
     """
-    body = F.col(text)
-    values = F.regexp_extract_all(body, F.lit(ANY), F.lit(0))
-    between = F.split(body, ANY, -1)
-    has = body.rlike("[0-9@]") & body.rlike(ANY)
+    body, pattern = F.col(text), F.col("_pattern")
+    columns = docs.columns
+    docs = docs.withColumn("_pattern", F.when(body.rlike("[0-9@]"), any_of(body)))
+    values = F.regexp_extract_all(body, pattern, F.lit(0))
+    between = F.split(body, pattern, -1)
+    has = pattern.isNotNull() & body.rlike(ANY) | (pattern != ANY)
     done = F.array_join(F.zip_with(between, F.transform(values, lambda v: pseudonym(v, key)), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     count = F.size(F.filter(values, lambda v: kind_of(v).isNotNull())).cast("long")
-    return docs.withColumns({text: F.when(has, done).otherwise(body), "n_pseudonyms": F.when(has, count).otherwise(F.lit(0).cast("long"))})
+    return docs.withColumns({text: F.when(has, done).otherwise(body), "n_pseudonyms": F.when(has, count).otherwise(F.lit(0).cast("long"))}).select(*[c for c in columns if c != "n_pseudonyms"], "n_pseudonyms")
