@@ -1,27 +1,25 @@
-"""Token ids by the tokenizers library, each distinct piece of text encoded once per Python worker.
+"""Token ids by the tokenizers library, each distinct word encoded once per Python worker.
 
-A byte-level BPE never joins text across a single space that has other characters than white space on both sides: the
-space goes to what follows.  Texts are cut there, and each distinct piece (with its leading space) is encoded once.
+A byte-level BPE first splits a text into words (a space goes to what follows) and then merges within each word alone.
+The split is done here for many texts at a time in numpy, with the library itself as the judge of what is a letter, a
+number or white space; words are told apart by 64-bit hashes, and the library's BPE model gives the ids of new ones.
 """
 
 from __future__ import annotations
 
-import re
-from array import array
-from collections import defaultdict
-from itertools import chain, count
-
 import numpy as np
 
-#: Cuts that hold in any text: a single space between characters that are no white space.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Letters of which the pre-tokenizer makes one token with the space before them, and marks that follow as another.
-_LETTERS, _MARKS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+"), re.compile(r"[!-/:-@\[-`{-~]+")
 #: Characters by which a byte-level vocabulary writes bytes: printable ones stand for themselves, others from 256 on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
-_BYTE_CHARS = [chr(b) if b in _PRINTABLE else chr(256 + sum(x not in _PRINTABLE for x in range(b))) for b in range(256)]
-#: Pieces encoded in one call, and pieces kept per worker (about 200 bytes each).
-_RUN, _KEPT = 2048, 400_000
+#: 0xFF is no byte of UTF-8, so it can part words; its character is no byte's.
+_BYTE_CHARS = {b: chr(b) if b in _PRINTABLE else chr(256 + sum(x not in _PRINTABLE for x in range(b))) for b in range(255)} | {255: "\n"}
+#: Words encoded in one call, and words kept per worker (about 40 bytes each).
+_RUN, _KEPT = 16_384, 600_000
+_UNKNOWN, _LETTER, _NUMBER, _OTHER, _SPACE = 0, 1, 2, 3, 4
+_APOSTROPHE = ord("'")
+_VALUE = np.random.default_rng(20240229).integers(1, 2**63, 1 << 16, dtype=np.uint64) | np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 2**64)
 
 
 def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -30,136 +28,155 @@ def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
+
+
 class Encoder:
     """Ids of whole texts, equal to the library's own ``encode(text, add_special_tokens=False).ids``.
 
-    Strings of special tokens inside a text are ordinary text.
+    The string of a special token inside a text is that token, as the library has it by default; with
+    ``specials_as_text`` it is ordinary text.
     """
 
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, specials_as_text: bool = False) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.size = max(vocabulary.values()) + 1
-        self.opens = np.zeros(self.size, bool)  # ids of tokens that begin with a space
-        for token, i in vocabulary.items():
-            self.opens[i] = token.startswith("Ġ")
+        self.size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
+        added = {} if specials_as_text else {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.specials = added
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(_BYTE_CHARS[255])
+        self.bytes_of = np.zeros(self.size, np.int64)  # each character of a token stands for one byte
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.bytes_of[i] = len(token)
+        self.kind = np.zeros(0x110000, np.uint8)
         self._reset()
 
     def _reset(self) -> None:
-        self.number = defaultdict(count().__next__)
-        self.known = 0
-        self.marks: dict[str, list[int]] = {}
-        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.start, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
-
-    def _put(self, ids: np.ndarray, lengths: np.ndarray) -> None:
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while self.known + len(lengths) > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.length))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.start[self.known : self.known + len(lengths)] = self.used + np.cumsum(lengths) - lengths
-        self.length[self.known : self.known + len(lengths)] = lengths
-        self.used += len(ids)
-        self.known += len(lengths)
-
-    def _direct(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.concatenate([np.asarray(x, np.uint32) for x in ids]) if ids else np.empty(0, np.uint32), np.array([len(x) for x in ids], np.int64)
-
-    def _word(self, letters: str) -> list[int]:
-        """Ids of a space and a run of letters, which the pre-tokenizer keeps together."""
-        if not letters.isascii():
-            letters = "".join(map(_BYTE_CHARS.__getitem__, letters.encode()))
-        return [t.id for t in self.tokenizer.model.tokenize("Ġ" + letters)]
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Ids of new pieces, which stand after a space, in the order of their numbers.
-
-        Runs of letters, alone or before ASCII punctuation, go straight to the library's BPE model; all other pieces
-        take the library's whole path.
-        """
-        ids: list = [None] * len(pieces)
-        words: dict[str, list[int]] = {}
-        other = []
-        for i, p in enumerate(pieces):
-            n = m.end() if (m := _LETTERS.match(p)) else 0
-            if n == 0 or n < len(p) and not _MARKS.fullmatch(p, n):
-                other.append(i)
-                continue
-            word, marks = (p, "") if n == len(p) else (p[:n], p[n:])
-            if (got := words.get(word)) is None:
-                at = self.number.get(word, self.known)
-                got = self.flat[self.start[at] : self.start[at] + self.length[at]].tolist() if at < self.known else self._word(word)
-                words[word] = got
-            if marks:
-                if (tail := self.marks.get(marks)) is None:
-                    tail = self.marks[marks] = [t.id for t in self.tokenizer.model.tokenize(marks)]
-                got = got + tail
-            ids[i] = got
-        for lo in range(0, len(other), _RUN):
-            run = [pieces[i] for i in other[lo : lo + _RUN]]
-            flat, _ = self._direct([" " + " ".join(run)])
-            starts = np.flatnonzero(self.opens[flat])
-            if len(starts) != len(run):  # a piece holds inner white space or a token that opens with it
-                flat, lengths = self._direct([" " + p for p in run])
-                starts = np.cumsum(lengths) - lengths
-            bounds = np.append(starts, len(flat)).tolist()
-            for i, a, b in zip(other[lo : lo + _RUN], bounds, bounds[1:]):
-                ids[i] = flat[a:b].tolist()
-        self._put(np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
+        self.known = np.empty(0, np.uint64)  # sorted hashes; beside them the places of their ids
+        self.start, self.length = np.empty(0, np.int64), np.empty(0, np.int32)
+        self.flat = np.empty(0, np.uint32)
+
+    def _kinds(self, points: np.ndarray) -> np.ndarray:
+        """Kind of each character; the library is asked once for each that is new."""
+        kinds = self.kind[points]
+        if not kinds.all():
+            alone = lambda s: len(self.tokenizer.pre_tokenizer.pre_tokenize_str(s)) == 1
+            for p in np.unique(points[kinds == _UNKNOWN]).tolist():
+                self.kind[p] = next((k for k, beside in ((_LETTER, "a"), (_NUMBER, "1"), (_OTHER, "!")) if alone(beside + chr(p))), _SPACE)
+            kinds = self.kind[points]
+        return kinds
+
+    def _starts(self, points: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Places where words begin; ``first`` are the places where texts begin."""
+        kind = self._kinds(points)
+        begins = np.empty(len(points) + 1, bool)
+        begins[0], begins[1:-1], begins[-1] = True, kind[1:] != kind[:-1], True
+        head = np.zeros(len(points) + 1, bool)
+        head[first] = head[-1] = True
+        begins |= head
+        # White space before other text leaves its last character to it, if that is a space, or alone.
+        last = np.flatnonzero((kind == _SPACE) & begins[1:] & ~head[1:])
+        begins[last] = True
+        begins[last[points[last] == 32] + 1] = False
+        # Short forms such as 's at the beginning of a word are words of their own.
+        at = np.flatnonzero((points == _APOSTROPHE) & begins[:-1] & ~head[1:])
+        if len(at):
+            after, then = points[at + 1], points[np.minimum(at + 2, len(points) - 1)]
+            one = np.isin(after, [ord(c) for c in "stmd"])
+            two = ~head[at + 2 - (at + 2 > len(points))] & (((after == ord("r")) & (then == ord("e"))) | ((after == ord("v")) & (then == ord("e"))) | ((after == ord("l")) & (then == ord("l"))))
+            for pick, n in ((at[one], 2), (at[two], 3)):
+                begins[pick + 1] = False
+                begins[pick + n] = True
+        return np.flatnonzero(begins[:-1])
+
+    def _hashes(self, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """64-bit hashes of words: sums of character values times powers, taken from running sums."""
+        run = np.zeros(len(points) + 1, np.uint64)
+        value = _VALUE[points & 0xFFFF] + (points >> 16).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+        np.cumsum(value * _powers(_BASE, len(points)), out=run[1:])
+        h = (run[starts + lengths] - run[starts]) * _powers(_INVERSE, len(points))[starts] + lengths.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(29))
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Ids of new words, in the order of their sorted hashes."""
+        flat, lengths = [], []
+        for lo in range(0, len(words), _RUN):
+            raw = [w.encode() for w in words[lo : lo + _RUN]]
+            text = b"\xff".join(raw).decode("latin-1").translate(_BYTE_CHARS)
+            ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(r) for r in raw])) + 1
+            flat.append(ids)
+            lengths.append(np.diff(ends, prepend=0))
+        flat, lengths = np.concatenate(flat), np.concatenate(lengths)
+        place = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, place, hashes)
+        self.start = np.insert(self.start, place, len(self.flat) + np.cumsum(lengths) - lengths)
+        self.length = np.insert(self.length, place, lengths)
+        self.flat = np.concatenate([self.flat, flat])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another as uint32, number of ids of each text)."""
-        if self.known > _KEPT:
+        if len(self.known) > _KEPT:
             self._reset()
-        before = self.known
-        split = [t.split(" ") for t in texts]
-        heads = [p.pop(0) for p in split]
-        numbers = [array("q", map(self.number.__getitem__, p)) for p in split]
-        new = list(self.number)[before:] if len(self.number) > before else []
-        if any(p == "" or p[0].isspace() or p[-1].isspace() for p in new) or any(h == "" or h[-1].isspace() for h in heads):
-            # Some text has white space of more than single spaces: cut such texts only where it is safe.
-            for p in new:
-                del self.number[p]
-            self.number = defaultdict(count(before).__next__, self.number)
-            split = [_CUT.split(t) for t in texts]
-            heads = [p.pop(0) for p in split]
-            numbers = [array("q", map(self.number.__getitem__, p)) for p in split]
-            new = list(self.number)[before:]
-        self._learn(new)
-        head_ids, head_lengths = self._direct(heads)
-        # Heads follow the known pieces, so that one ragged gather yields whole texts.
-        at, base = self.used, self.known
-        self._put(head_ids, head_lengths)
-        self.used, self.known = at, base
-        n = np.array([len(x) for x in numbers], np.int64)
-        order = np.empty(int(n.sum()) + len(texts), np.int64)
-        first = np.cumsum(n + 1) - (n + 1)
-        rest = np.ones(len(order), bool)
-        rest[first] = False
-        order[first] = base + np.arange(len(texts))
-        order[rest] = np.concatenate([np.frombuffer(x, np.int64) for x in numbers]) if len(numbers) else []
-        lengths = self.length[order]
-        ids = self.flat[_ragged(self.start[order], lengths)]
-        per_text = np.add.reduceat(lengths, first) if len(first) else np.empty(0, np.int64)
-        return ids, per_text
-
-
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """The encoder of this Python worker; its pieces serve all tasks that run here."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
-def text_slices(texts: list[str], most: int = 2 << 20) -> list[tuple[int, int]]:
+        if any(s in t for s in self.specials for t in texts):
+            return self._with_specials(texts)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        whole = "".join(texts)
+        if not whole:
+            return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
+        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        ends = np.cumsum(sizes)
+        starts = self._starts(points, (ends - sizes)[sizes > 0])
+        lengths = np.diff(starts, append=len(points))
+        kinds, first, which = np.unique(self._hashes(points, starts, lengths), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.known, kinds)
+        new = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] != kinds) if len(self.known) else np.arange(len(kinds))
+        if len(new):
+            begin, end = starts[first[new]], starts[first[new]] + lengths[first[new]]
+            self._learn(kinds[new], [whole[a:b] for a, b in zip(begin.tolist(), end.tolist())])
+            at = np.searchsorted(self.known, kinds)
+        at = at[which]
+        n = self.length[at].astype(np.int64)
+        ids = self.flat[_ragged(self.start[at], n)]
+        upto = np.concatenate(([0], np.cumsum(n)))[np.searchsorted(starts, np.concatenate(([0], ends)))]
+        return ids, np.diff(upto)
+
+    def _with_specials(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Texts are cut at special tokens, whose ids stand between the ids of the parts."""
+        parts, owner, after = [], [], []
+        for i, text in enumerate(texts):
+            while True:
+                cut = min(((at, -len(s), s) for s in self.specials if (at := text.find(s)) >= 0), default=None)
+                parts.append(text if cut is None else text[: cut[0]])
+                owner.append(i)
+                after.append(-1 if cut is None else self.specials[cut[2]])
+                if cut is None:
+                    break
+                text = text[cut[0] - cut[1] :]
+        ids, n = self.encode(parts)
+        owner, after, ends = np.array(owner), np.array(after), np.cumsum(n)
+        real = after >= 0
+        return np.insert(ids, ends[real], after[real].astype(np.uint32)), np.bincount(owner, n + real, len(texts)).astype(np.int64)
+
+
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+
+
+def encoder(path: str, specials_as_text: bool = False) -> Encoder:
+    """The encoder of this Python worker; its words serve all tasks that run here."""
+    if (path, specials_as_text) not in _ENCODERS:
+        _ENCODERS[path, specials_as_text] = Encoder(path, specials_as_text)
+    return _ENCODERS[path, specials_as_text]
+
+
+def text_slices(texts: list[str], most: int = 1 << 20) -> list[tuple[int, int]]:
     """Ranges of texts of about ``most`` characters at most (a single longer text stands alone), to bound memory."""
     out, lo, n = [], 0, 0
     for i, t in enumerate(texts):
