@@ -90,6 +90,6 @@ def _sets(group: list[bytes]) -> Iterator[np.ndarray]:
         lo = hi
 
 
-def set_key(shingles: np.ndarray) -> int:
-    """Signed 64-bit digest of a set."""
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_key(shingles: np.ndarray) -> bytes:
+    """128-bit digest of a set."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()

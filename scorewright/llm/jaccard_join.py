@@ -1,11 +1,16 @@
 """N-gram Jaccard join: a blocked sparse product of document by n-gram incidence.
 
-Documents with the same shingle set are one class from the start.  A size-derived bound leaves few blocks: two sets can
-reach the threshold only if they share a shingle among the first n - ceil(t n) + 1 of each in one common order, and only
-if their sizes are close.  Any common order is exact; the one used puts shingles that a fixed-size sketch of the whole
-corpus shows to be common last, so that shared passages make no blocks.  Classes that share such a shingle are chained,
-chains are joined into blocks by connected components, and in each block the incidence matrix is multiplied by its
-transpose; overlaps below the bound are discarded and the rest links.
+Documents with the same shingle set are one class from the start.  Columns of the incidence (shingles) are dealt into
+buckets by hash, and size-derived bounds thin the rows before any product is made:
+
+1. Of two sets that reach the threshold t, each shares t of its own shingles with the other, and in any common order
+   the first n - ceil(t n) + l of each have l shingles in common.  Prefixes in hash order are counted by column; a class
+   of which fewer than l prefix shingles occur in another class of similar size goes.
+2. The whole sets of those left are counted by column; a class with fewer than ceil(t n) shared shingles goes.
+3. Classes that share a shingle of their rarest ones are chained; chains are joined into blocks by connected components.
+
+In each block the incidence matrix is multiplied by its transpose; overlaps below the bound are discarded and the rest
+links.  What moves between tasks are packed columns, and whole sets only of the classes left after the first count.
 
 Blocks beyond a fixed size are cut by set size and hash into chunks.  Chunks are first multiplied with themselves and a
 few neighbours, which joins groups of near copies; what is then still apart from its block's largest component is
@@ -14,176 +19,238 @@ multiplied with all chunks of similar sizes, so no link is lost and no group is
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from scorewright.llm._graph import connected_components
 from scorewright.llm._shared import forget, materialize, tidy, tidy_group
-from scorewright.llm._shingles import mix, set_key, shingle_sets
+from scorewright.llm._shingles import set_key, shingle_sets
 
 #: Least Jaccard similarity in hundredths.
 THRESHOLD = 75
-#: Cells of the sketch: about one for SKETCH_LOAD bytes of input, within these powers of two; it is dealt in SLICES.
-SKETCH_BITS, SKETCH_MOST_BITS, SKETCH_LOAD, SLICES = 16, 24, 256, 64
-#: A shingle counted more often than this (and than 4 times the mean) links through a node of its own, not through a group.
-HOT = 50_000
-POSTING = np.dtype([("h", "<u4"), ("n", "<u4"), ("key", "<i8")])
-FLUSH, BUCKET_BYTES = 500_000, 12 << 20
-CHUNK_ROWS, CHUNK_SHINGLES, GROUP_SHINGLES = 512, 400_000, 2_500_000
+#: Input bytes, about, whose columns fill one bucket, and the range of bucket numbers (sorted as 16-bit integers).
+BUCKET_LOAD, FEWEST_BUCKETS, MOST_BUCKETS = 24 << 20, 8, 1 << 16
+#: One shingle in this many of a prefix is in excess of the least prefix.
+EXCESS = 8
+#: Postings that a task holds before it hands them on.
+FLUSH = 1_000_000
+#: A run of postings of one class: its key and size, the number of postings, and the last class of frequencies that counts.
+RUN = np.dtype([("key", "<i8"), ("n", "<u4"), ("m", "<u4"), ("last", "<i4")])
+CHUNK_ROWS, CHUNK_SHINGLES, GROUP_SHINGLES = 2048, 1_000_000, 2_500_000
 #: Sets of a chunk, about, that also meet a neighbouring chunk in the first round.
 VISITORS = 16
 #: Products that one step of a sparse multiplication holds.
 STEP = 1_000_000
-#: Largest bitmap (in bits) by which documents are told apart before their texts move.
-BITMAP_BITS = 1 << 29
 
 
-def _prefix(n: int, threshold: int) -> int:
-    return n - (-(-threshold * n // 100)) + 1
+def _need(n, threshold: int):
+    """Shingles that a set of size n shares with any set that reaches the threshold, at least."""
+    return -(-threshold * n // 100)
 
 
-def _band(n, threshold: int):
-    """Sets whose sizes allow the threshold lie in the same or neighbouring bands."""
-    return np.floor(np.log(n) / np.log(100 / threshold) + 1e-9).astype(np.int64)
+def _need_column(n: Column, threshold: int) -> Column:
+    return F.ceil(n * threshold / 100).cast("long")
 
 
 class Forest:
-    """Disjoint sets of integers; the root is the smallest member."""
+    """Disjoint sets of keys; the root is the smallest member."""
 
     def __init__(self) -> None:
-        self.up: dict[int, int] = {}
+        self.up: dict = {}
 
-    def root(self, x: int) -> int:
+    def root(self, x):
         while (p := self.up.setdefault(x, x)) != x:
             self.up[x] = self.up[p]
             x = p
         return x
 
-    def link(self, a: int, b: int) -> None:
+    def link(self, a, b) -> None:
         a, b = self.root(a), self.root(b)
         if a != b:
             self.up[max(a, b)] = min(a, b)
 
 
-def sketch_bits(docs: DataFrame) -> int:
-    """Bits of the sketch from the planner's estimate of the input; any number gives the same result."""
+class Packer:
+    """Postings of classes, dealt by shingle into buckets as packed runs."""
+
+    def __init__(self, buckets: int) -> None:
+        self.buckets = buckets
+        self.clear()
+
+    def clear(self) -> None:
+        self.sets, self.runs, self.held = [], [], 0
+
+    def add(self, key: int, n: int, shingles: np.ndarray, last: int = 0) -> None:
+        self.sets.append(shingles)
+        self.runs.append((key, n, len(shingles), last))
+        self.held += len(shingles)
+
+    def flush(self) -> pd.DataFrame:
+        rows = []
+        if self.held:
+            whole, runs = np.concatenate(self.sets), np.array(self.runs, RUN)
+            bucket = (((whole & np.uint64(0xFFFFFFFF)) * np.uint64(self.buckets)) >> np.uint64(32)).astype(np.uint16)
+            order = np.argsort(bucket, kind="stable")
+            owner = np.repeat(np.arange(len(runs)), runs["m"])[order]
+            bucket, token = bucket[order], (whole >> np.uint64(32)).astype("<u4")[order]
+            at = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1]))))
+            runs = runs[owner[at]]
+            runs["m"] = np.diff(at, append=len(token))
+            first = np.flatnonzero(np.concatenate(([True], np.diff(bucket[at].astype(np.int64)) > 0)))
+            for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(at)]):
+                end = at[hi] if hi < len(at) else len(token)
+                rows.append((int(bucket[at[lo]]), (hi - lo).to_bytes(8, "little") + runs[lo:hi].tobytes() + token[at[lo] : end].tobytes()))
+        self.clear()
+        return pd.DataFrame(rows, columns=["bucket", "data"])
+
+
+class Columns:
+    """The columns of one bucket: postings sorted by shingle and class, classes in the order of their sizes."""
+
+    def __init__(self, packed: list[bytes], threshold: int) -> None:
+        runs, tokens = [], []
+        for data in packed:
+            end = 8 + RUN.itemsize * int.from_bytes(data[:8], "little")
+            runs.append(np.frombuffer(data[8:end], RUN))
+            tokens.append(np.frombuffer(data[end:], "<u4"))
+        runs = np.concatenate(runs)
+        order = np.lexsort((runs["key"], runs["n"]))
+        fresh = np.concatenate(([True], (runs["key"][order][1:] != runs["key"][order][:-1]) | (runs["n"][order][1:] != runs["n"][order][:-1])))
+        row = np.empty(len(runs), np.int64)
+        row[order] = np.cumsum(fresh) - 1
+        self.classes = runs[order[fresh]]
+        cells = np.unique((np.concatenate(tokens).astype(np.uint64) << np.uint64(32)) | np.repeat(row, runs["m"]).astype(np.uint64))
+        token, self.row = cells >> np.uint64(32), (cells & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        n = self.classes["n"].astype(np.int64)[self.row]
+        same = token[1:] == token[:-1]
+        near = same & (100 * n[:-1] >= threshold * n[1:])
+        #: Whether a posting has another one of similar size in its column.
+        self.shared = np.concatenate((near, [False])) | np.concatenate(([False], near))
+        start = np.flatnonzero(np.concatenate(([True], ~same)))
+        often = np.diff(start, append=len(token))
+        #: Class of the column's number of postings, by powers of two.
+        self.level = np.repeat(np.log2(often).astype(np.int64), often)
+        self.token, self.n = token, n
+
+
+def bucket_count(docs: DataFrame) -> int:
+    """Buckets from the planner's estimate of the input; any number gives the same result."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(max((max(size, 1) // SKETCH_LOAD).bit_length(), SKETCH_BITS), SKETCH_MOST_BITS)
+    return min(max(size // BUCKET_LOAD, FEWEST_BUCKETS), MOST_BUCKETS)
 
 
-def document_sets(docs: DataFrame, text: str, key: str, bits: int) -> DataFrame:
-    """(id, n, set): size and digest of each document's shingle set; rows with counts carry a slice of a task's sketch."""
+def low_key(digest: bytes) -> int:
+    """The part of a digest by which counts are kept; classes themselves are told apart by all of it."""
+    return int.from_bytes(digest[:8], "little", signed=True)
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
 
-        sketch = np.zeros(1 << bits, np.uint32)
+def document_sets(docs: DataFrame, text: str, key: str, threshold: int, buckets: int) -> DataFrame:
+    """Two kinds of rows: (id, at, n, set, low) of each document, and (bucket, data) with packed prefixes in hash order."""
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, packer = set(), Packer(buckets)
         for batch in batches:
-            n, keys = [], []
+            n, digests = [], []
             for s in shingle_sets(batch["text"].tolist()):
-                cells, often = np.unique(s >> np.uint64(64 - bits), return_counts=True)
-                sketch[cells.astype(np.int64)] += often.astype(np.uint32)
                 n.append(len(s))
-                keys.append(set_key(s))
-            yield pd.DataFrame({"id": batch["id"], "n": n, "set": keys, "slice": None, "part": None, "counts": None})
-        if sketch.any():
-            yield pd.DataFrame({"id": None, "n": None, "set": None, "slice": range(SLICES), "part": TaskContext.get().partitionId(), "counts": [x.tobytes() for x in np.split(sketch, SLICES)]})
+                digests.append(set_key(s))
+                if len(s) and digests[-1] not in seen:
+                    seen.add(digests[-1])
+                    packer.add(low_key(digests[-1]), len(s), s[: len(s) - _need(len(s), threshold) + max(1, len(s) // EXCESS)])
+                    if packer.held >= FLUSH:
+                        yield packer.flush().reindex(columns=columns)
+            yield pd.DataFrame({"id": batch["id"], "at": batch["at"], "n": n, "set": digests, "low": [low_key(d) for d in digests]}).reindex(columns=columns)
+        yield packer.flush().reindex(columns=columns)
 
-    source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return source.mapInPandas(tidy(task), "id long, n long, set long, slice int, part int, counts binary")
+    columns = ["id", "at", "n", "set", "low", "bucket", "data"]
+    source = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("at"), F.col(text).alias("text"))
+    return source.mapInPandas(tidy(task), "id long, at long, n long, set binary, low long, bucket int, data binary")
 
 
-def merged_sketch(found: DataFrame, bits: int) -> np.ndarray:
-    """The sum of all tasks' sketches, 64 to one in each step; what reaches the driver has a fixed size."""
-    parts = found.where("counts is not null").select("slice", "part", "counts")
+def counted(packed: DataFrame, threshold: int) -> DataFrame:
+    """(low, n, level, c): shared shingles of each class by bucket and level of frequency."""
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((1 << bits) // SLICES, np.uint64)
-        for x in group["counts"]:
-            total += np.frombuffer(x, np.uint32)
-        return group.iloc[:1].assign(counts=[np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()])
+    def task(group: pd.DataFrame) -> pd.DataFrame:
+        columns = Columns(group["data"].tolist(), threshold)
+        cell, c = np.unique(columns.row[columns.shared] * 64 + columns.level[columns.shared], return_counts=True)
+        own = columns.classes[cell // 64]
+        return pd.DataFrame({"low": own["key"].astype(np.int64), "n": own["n"].astype(np.int64), "level": cell % 64, "c": c})
 
-    most = parts.agg(F.max("part").alias("m")).first().m
-    while most:
-        parts = parts.withColumn("part", F.floor(F.col("part") / 64).cast("int")).groupBy("slice", "part").applyInPandas(add, "slice int, part int, counts binary")
-        most //= 64
-    rows = {r["slice"]: r["counts"] for r in parts.collect()}
-    empty = bytes(4 * (1 << bits) // SLICES)
-    return np.concatenate([np.frombuffer(rows.get(i, empty), np.uint32) for i in range(SLICES)])
+    return packed.groupBy("bucket").applyInPandas(tidy_group(task), "low long, n long, level int, c long")
 
 
-def candidate_edges(docs: DataFrame, sketch: np.ndarray, bits: int, postings: int, text: str, threshold: int) -> DataFrame:
-    """(a, b): chains through the classes that share a shingle of their prefixes and have close sizes."""
-    buckets = max(8, -(-postings * POSTING.itemsize // BUCKET_BYTES))
-    hot = max(HOT, 4 * int(sketch.mean()) + 1)
-    shipped = docs.sparkSession.sparkContext.broadcast(sketch)  # a fixed number of counters
+def chained(packed: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): chains through the classes that share one of their rarest shingles and have close sizes."""
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, seen, kept, edges, held = shipped.value, set(), [], [], 0
-
-        def flush() -> pd.DataFrame:
-            nonlocal kept, edges, held
-            whole = np.concatenate(kept) if kept else np.empty(0, [("b", "<u4"), *POSTING.descr])
-            order = np.argsort(whole["b"], kind="stable")
-            whole = whole[order]
-            bounds = np.searchsorted(whole["b"], np.arange(buckets + 1))
-            packed = np.empty(len(whole), POSTING)
-            for name in POSTING.names:
-                packed[name] = whole[name]
-            rows = [(b, packed[lo:hi].tobytes()) for b, (lo, hi) in enumerate(zip(bounds, bounds[1:])) if hi > lo]
-            if edges:
-                rows.append((-1, np.unique(np.concatenate(edges), axis=0).tobytes()))
-            kept, edges, held = [], [], 0
-            return pd.DataFrame(rows, columns=["bucket", "data"])
+    def task(group: pd.DataFrame) -> pd.DataFrame:
+        columns = Columns(group["data"].tolist(), threshold)
+        pick = columns.shared & (columns.level <= columns.classes["last"][columns.row])
+        token, row, n = columns.token[pick], columns.row[pick], columns.n[pick]
+        at = np.flatnonzero((token[1:] == token[:-1]) & (100 * n[:-1] >= threshold * n[1:])) if len(token) else []
+        forest = Forest()
+        for a, b in np.unique(np.stack([row[at], row[at + 1]], 1), axis=0).tolist() if len(at) else ():
+            forest.link(a, b)
+        key = columns.classes["key"].astype(np.int64)
+        pairs = [(x, r) for x in list(forest.up) if (r := forest.root(x)) != x]
+        return pd.DataFrame({"a": key[[a for a, _ in pairs]], "b": key[[b for _, b in pairs]]}, dtype="int64")
 
+    return packed.groupBy("bucket").applyInPandas(tidy_group(task), "a long, b long")
+
+
+def incidence(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
+    """(set, low, n, data): the sets of the wanted classes, made again from the text that stands for each.
+
+    ``wanted`` has id and at, the hash of the text.  A row that shares both by chance makes a set that nothing asks for.
+    """
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = set()
         for batch in batches:
+            rows, held = [], 0
             for s in shingle_sets(batch["text"].tolist()):
-                n = len(s)
-                if not n or (key := set_key(s)) in seen:
-                    continue
-                seen.add(key)
-                k = _prefix(n, threshold)
-                often = counts[(s >> np.uint64(64 - bits)).astype(np.int64)]
-                rank = (np.minimum(often, (1 << 18) - 1).astype(np.uint64) << np.uint64(46)) | (s & np.uint64((1 << 46) - 1))
-                pick = np.argpartition(rank, k - 1)[:k] if k < n else np.arange(n)
-                common = often[pick] > hot
-                if common.any():
-                    node = mix(s[pick][common] ^ np.uint64(int(_band(n, threshold)))).view(np.int64)
-                    above = mix(s[pick][common] ^ np.uint64(int(_band(n, threshold)) + 1)).view(np.int64)
-                    edges += [np.stack([np.full(len(node), key), node], 1), np.stack([node, above], 1)]
-                own = s[pick][~common]
-                row = np.empty(len(own), [("b", "<u4"), *POSTING.descr])
-                row["b"], row["h"], row["n"], row["key"] = (own >> np.uint64(32)) % np.uint64(buckets), own & np.uint64(0xFFFFFFFF), n, key
-                kept.append(row)
-                held += len(own)
+                digest = set_key(s)
+                if len(s) and digest not in seen:
+                    seen.add(digest)
+                    rows.append((digest, low_key(digest), len(s), s.tobytes()))
+                    held += len(s)
                 if held >= FLUSH:
-                    yield flush()
-        if kept or edges:
-            yield flush()
-
-    def chain(group: pd.DataFrame) -> pd.DataFrame:
-        if group["bucket"].iloc[0] < 0:
-            pairs = np.unique(np.frombuffer(b"".join(group["data"]), np.int64).reshape(-1, 2), axis=0)
-            return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-        p = np.frombuffer(b"".join(group["data"]), POSTING)
-        p = p[np.argsort(p["h"], kind="stable")]
-        same = p["h"][1:] == p["h"][:-1]
-        p = p[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
-        p = p[np.lexsort((p["key"], p["n"], p["h"]))]
-        near = (p["h"][1:] == p["h"][:-1]) & (p["key"][1:] != p["key"][:-1]) & (100 * p["n"][:-1].astype(np.int64) >= threshold * p["n"][1:].astype(np.int64))
-        at = np.flatnonzero(near)
-        forest = Forest()
-        for a, b in np.unique(np.stack([p["key"][at], p["key"][at + 1]], 1), axis=0).tolist():
-            forest.link(a, b)
-        rows = [(x, r) for x in list(forest.up) if (r := forest.root(x)) != x]
-        return pd.DataFrame(rows, columns=["a", "b"], dtype="int64")
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=columns)
 
-    packed = docs.select(F.col(text).alias("text")).mapInPandas(tidy(task), "bucket int, data binary")
-    # Rows of bucket -1 are edges already; they are spread over groups by a salt.
-    return packed.withColumn("salt", F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("data"), F.lit(16))).otherwise(0)).groupBy("bucket", "salt").applyInPandas(tidy_group(chain), "a long, b long")
+    columns = ["set", "low", "n", "data"]
+    source = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("at"), F.col(text).alias("text"))
+    met = source.join(wanted, (source["at"] == wanted["at"]) & source["id"].eqNullSafe(wanted["id"])).select("text")
+    return met.mapInPandas(tidy(task), "set binary, low long, n long, data binary")
+
+
+def packed_sets(sets: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, data): whole sets as packed columns.  ``sets`` has low, n, data and last."""
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        packer = Packer(buckets)
+        for batch in batches:
+            for low, n, data, last in zip(batch["low"].tolist(), batch["n"].tolist(), batch["data"], batch["last"].tolist()):
+                packer.add(low, n, np.frombuffer(data, np.uint64), last)
+                if packer.held >= FLUSH:
+                    yield packer.flush()
+        yield packer.flush()
+
+    return sets.select("low", "n", "data", "last").mapInPandas(tidy(task), "bucket int, data binary")
+
+
+def rarest(counts: DataFrame, threshold: int) -> DataFrame:
+    """(low, last) of the classes with enough shared shingles; ``last`` is the level up to which the rarest of them lie.
+
+    A set's shingles that it shares with none of similar size come first in any count of the rarest.
+    """
+    levels = counts.groupBy("low", "n", "level").agg(F.sum("c").alias("c")).groupBy("low", "n").agg(F.sum("c").alias("all"), F.array_sort(F.collect_list(F.struct("level", "c"))).alias("levels"))
+    enough = levels.withColumn("most", F.col("all") - _need_column(F.col("n"), threshold) + 1).where("most > 0")
+    found = F.aggregate("levels", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("last")), lambda a, x: F.when(a["sum"] >= F.col("most"), a).otherwise(F.struct((a["sum"] + x["c"]).alias("sum"), x["level"].alias("last"))))
+    return enough.select("low", "n", found["last"].alias("last"))
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -253,50 +320,39 @@ def _rooted(keys, links) -> pd.DataFrame:
         forest.root(k)
     for a, b in links:
         forest.link(a, b)
-    return pd.DataFrame([(k, forest.root(k)) for k in list(forest.up)], columns=["a", "b"], dtype="int64")
-
-
-def _sets_of(frame: pd.DataFrame) -> pd.DataFrame:
-    """Rows with their sets in place of texts; rows whose text is not that of the class go (ids can repeat)."""
-    sets = list(shingle_sets(frame["text"].tolist()))
-    keep = np.array([set_key(s) for s in sets], np.int64) == frame["set"].to_numpy() if len(frame) else []
-    return frame.drop(columns="text").assign(data=[s.tobytes() for s in sets], n=[len(s) for s in sets])[keep]
+    return pd.DataFrame([(k, forest.root(k)) for k in list(forest.up)], columns=["a", "b"], dtype="object")
 
 
-def multiply_blocks(texts: DataFrame, threshold: int) -> DataFrame:
-    """(a, b): root of every class, from blocks that fit one task.  ``texts`` has task, block, set, text.
-
-    Texts move rather than sets of hashes, as they are smaller.
-    """
+def multiply_blocks(sets: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): root of every class, from blocks that fit one task.  ``sets`` has task, block, set, data."""
 
     def task(group: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"a": [], "b": []}, dtype="int64")]
+        out = [pd.DataFrame({"a": [], "b": []}, dtype="object")]
         for _, g in group.groupby("block"):
-            g = _sets_of(g).drop_duplicates("set")
-            if len(g):
-                out.append(_rooted(g["set"].tolist(), _links(g, g, threshold)))
+            g = g.drop_duplicates("set")
+            out.append(_rooted(g["set"].tolist(), _links(g, g, threshold)))
         return pd.concat(out)
 
-    return texts.groupBy("task").applyInPandas(tidy_group(task), "a long, b long")
+    return sets.groupBy("task").applyInPandas(tidy_group(task), "a binary, b binary")
 
 
-def multiply_cells(cells: DataFrame, texts_of: Callable[..., DataFrame], threshold: int) -> DataFrame:
-    """(a, b): links found in cells.  ``cells`` has cell (array), side, set and rep; ``texts_of`` joins the texts.
+def multiply_cells(cells: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): links found in cells.  ``cells`` has cell (array), side and set; ``sets`` has set and data.
 
-    Side 2 meets itself, side 0 meets side 1.  Texts move rather than sets of hashes, as they are smaller.
+    Side 2 meets itself, side 0 meets side 1.
     """
 
     def task(group: pd.DataFrame) -> pd.DataFrame:
-        group = _sets_of(group.drop_duplicates(["set", "side", "text"])).drop_duplicates(["set", "side"])
+        group = group.drop_duplicates(["set", "side"])
         left, right = group[group["side"] != 1], group[group["side"] == 1]
         if (group["side"] == 2).any():
             right = left
         if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+            return pd.DataFrame({"a": [], "b": []}, dtype="object")
         out = _rooted([], _links(left, right, threshold))
         return out[out["a"] != out["b"]]
 
-    return texts_of(cells, "cell", "side", "set").groupBy("cell").applyInPandas(tidy_group(task), "a long, b long")
+    return cells.join(sets.select("set", "data"), "set").select("cell", "side", "set", "data").groupBy("cell").applyInPandas(tidy_group(task), "a binary, b binary")
 
 
 def _with_chunks(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
@@ -305,14 +361,14 @@ def _with_chunks(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     return rows.join(count.drop("m"), ["block", "band"]).withColumn("chunk", F.pmod(F.xxhash64("set"), F.col(name)).cast("int")), count
 
 
-def _large_blocks(members: DataFrame, texts_of: Callable[..., DataFrame], threshold: int) -> DataFrame:
+def _large_blocks(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """(a, b): links that join the components of blocks too large for one task.
 
-    Cells are dealt on narrow rows; the texts join last.
+    Cells are dealt on narrow rows; the sets join last.
     """
     spark = members.sparkSession
     band = F.floor(F.log("n") / float(np.log(100 / threshold)) + 1e-9)
-    rows, count = _with_chunks(members.select("set", "rep", "block", band.alias("band"), "n"), "c")
+    rows, count = _with_chunks(members.select("set", "block", band.alias("band"), "n"), "c")
     rows, count = materialize(rows, "chunks"), materialize(count, "counts")
     beside = lambda by, name: count.select("block", (F.col("band") + by).alias("band"), F.col("c").alias(name))
     around = rows.join(count.select("block", "band", "m"), ["block", "band"]).join(beside(1, "below"), ["block", "band"], "left")
@@ -324,81 +380,62 @@ def _large_blocks(members: DataFrame, texts_of: Callable[..., DataFrame], thresh
     visits = F.pmod(F.xxhash64(F.lit(VISITORS), "set"), F.greatest(F.lit(1), F.floor(F.col("m") / F.col("c") / VISITORS))) == 0
     from_below = F.when(F.col("below") > chunk, F.transform(F.sequence(chunk, F.col("below") - 1, F.col("c")), lambda j: F.struct((band - 1).alias("band"), j.alias("i")))).otherwise(F.array().cast("array<struct<band:bigint,i:int>>"))
     away = F.when(visits, F.concat(beside_own, from_below)).otherwise(F.array().cast("array<struct<band:bigint,i:int>>"))
-    cells = around.select("set", "rep", "block", F.explode(F.array_distinct(F.concat(own, away))).alias("x")).select("set", "rep", F.array("block", "x.band", F.col("x.i").cast("long")).alias("cell"), F.lit(2).alias("side"))
-    near = materialize(multiply_cells(cells, texts_of, threshold), "links")
+    cells = around.select("set", "block", F.explode(F.array_distinct(F.concat(own, away))).alias("x")).select("set", F.array("block", "x.band", F.col("x.i").cast("long")).alias("cell"), F.lit(2).alias("side"))
+    near = materialize(multiply_cells(cells, sets, threshold), "links")
     labels = materialize(connected_components(near), "labels")
     # Whatever is apart from the largest component of its block meets all chunks of similar sizes.
     named = rows.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
     largest = named.groupBy("block", "label").agg(F.count("*").alias("m")).groupBy("block").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
     # They are dealt by the band that they meet, so that a set of that band stands in few cells.
-    apart = named.join(largest, "block").where("label <> main").select("block", F.explode(F.array(band - 1, band, band + 1)).alias("band"), "set", "rep", "n")
+    apart = named.join(largest, "block").where("label <> main").select("block", F.explode(F.array(band - 1, band, band + 1)).alias("band"), "set", "n")
     few, few_count = _with_chunks(apart.join(count, ["block", "band"], "left_semi"), "k")
     number = lambda *xs: F.array(*[x.cast("long") for x in xs]).alias("cell")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("other")
-    left = few.join(count.select("block", "band", "c"), ["block", "band"]).select("*", every("c")).select("set", "rep", number(F.col("block"), band, chunk, F.col("other")), F.lit(0).alias("side"))
-    right = rows.join(few_count.select("block", "band", "k"), ["block", "band"]).select("*", every("k")).select("set", "rep", number(F.col("block"), band, F.col("other"), chunk), F.lit(1).alias("side"))
-    far = materialize(multiply_cells(left.unionByName(right), texts_of, threshold), "links")
+    left = few.join(count.select("block", "band", "c"), ["block", "band"]).select("*", every("c")).select("set", number(F.col("block"), band, chunk, F.col("other")), F.lit(0).alias("side"))
+    right = rows.join(few_count.select("block", "band", "k"), ["block", "band"]).select("*", every("k")).select("set", number(F.col("block"), band, F.col("other"), chunk), F.lit(1).alias("side"))
+    far = materialize(multiply_cells(left.unionByName(right), sets, threshold), "links")
     out = materialize(connected_components(near.unionByName(far)), "labels").select(F.col("node").alias("a"), F.col("label").alias("b"))
     forget(spark, near, labels, rows, count, far)
     return out
 
 
-def _bitmap(ids: DataFrame, members: int):
-    """A filter of ids: true for all of ``ids`` and, while the bitmap has room, for few others.
-
-    Its size is bounded; where ids are many it lets more pass, which the join after it sorts out.
-    """
-    bits = min(BITMAP_BITS, 1 << max(16, (16 * members).bit_length()))
-    at = F.pmod(F.xxhash64("rep"), F.lit(bits))
-    words = ids.select(F.floor(at / 64).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int")).alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
-    table = np.zeros(bits // 64, np.int64)
-    table[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64)
-    shipped = ids.sparkSession.sparkContext.broadcast(table)
-
-    @F.pandas_udf("boolean")
-    def has(place: pd.Series) -> pd.Series:
-        p = place.to_numpy(np.int64)
-        return pd.Series((shipped.value[p >> 6] >> (p & 63)) & 1 == 1)
-
-    return lambda column: has(F.pmod(F.xxhash64(column), F.lit(bits)))
-
-
 def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: int = THRESHOLD) -> DataFrame:
     """(key, n_shingles, component_id): groups of documents linked by a Jaccard similarity of ``threshold`` hundredths.
 
     Words are runs of non-space after A-Z are lower-cased; a document's set has its distinct five-word shingles, or its
     whole word sequence if shorter.  ``component_id`` is the smallest key reachable by links.  A null or empty text has
     an empty set and is linked with nothing.  Every row of ``docs`` gives one row; null keys count as no key, and a
-    group without any key has a null component.  Sets are compared by 64-bit hashes of their shingles.
+    group without any key has a null component.  Shingles are compared by 64-bit hashes, sets by 128-bit digests of them.
     """
-    spark = docs.sparkSession
-    bits = sketch_bits(docs.select(text))
-    found = materialize(document_sets(docs, text, key, bits), "sets")
-    sketch = merged_sketch(found, bits)
-    each = materialize(found.where("counts is null").select("id", "n", "set"), "digests")
-    forget(spark, found)
-    total = each.agg(F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1), F.lit(0)).alias("p")).first().p
-    edges = materialize(candidate_edges(docs, sketch, bits, int(total), text, threshold), "chains")
+    buckets = bucket_count(docs.select(text))
+    found = materialize(document_sets(docs, text, key, threshold, buckets), "sets")
+    each = found.where("bucket is null").select("id", "at", "n", "set", "low")
+    least = _need_column(F.col("n"), threshold)
+    some = counted(found.where("bucket is not null").select("bucket", "data"), threshold).groupBy("low", "n").agg(F.sum("c").alias("c")).where(F.col("c") >= F.greatest(F.lit(1), F.floor(least / EXCESS))).select("low", "n")
+    # One row stands for a class: the one with the least (id, hash of the text).
+    present = F.struct(F.col("id").isNull().alias("none"), "id", "at")
+    stands = each.where("n > 0").join(some, ["low", "n"], "left_semi").groupBy("set").agg(F.min(present).alias("row")).select("row.id", "row.at")
+    stands = materialize(stands, "stands")
+    sets = materialize(incidence(docs, stands, text, key), "incidence")
+    core = materialize(rarest(counted(packed_sets(sets.withColumn("last", F.lit(0)), buckets), threshold), threshold), "core")
+    marked = sets.join(core, ["low", "n"], "left").withColumn("last", F.coalesce("last", F.lit(-1)))
+    edges = materialize(chained(packed_sets(marked, buckets), threshold), "chains")
     blocks = materialize(connected_components(edges), "blocks")
-    forget(spark, edges)
-    classes = each.where("n > 0").groupBy("set").agg(F.min("id").alias("id"), F.max("n").alias("n"))
-    member = classes.join(blocks.select(F.col("node").alias("set"), F.col("label").alias("block")), "set")
+    member = sets.select("set", "low", "n").distinct().join(blocks.select(F.col("node").alias("low"), F.col("label").alias("block")), "low")
     size = member.groupBy("block").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).where("rows > 1")
-    member = materialize(member.join(size, "block").select("set", F.col("id").alias("rep"), "block", "n", "rows", "shingles"), "members")
-    forget(spark, blocks)
-    members = member.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("rows") > 0, F.col("shingles") / F.col("rows"))), F.lit(0)).alias("s"), F.max((F.col("rows") > CHUNK_ROWS) | (F.col("shingles") > GROUP_SHINGLES)).alias("large")).first()
-    there = _bitmap(member, int(members.n))
-    source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(there(F.col("id")))
-    of = lambda some, *columns: source.join(some, F.col("id").eqNullSafe(F.col("rep"))).select(*columns, "text")
+    member = materialize(member.join(size, "block"), "members")
     fits = (F.col("rows") <= CHUNK_ROWS) & (F.col("shingles") <= GROUP_SHINGLES)
-    tasks = max(8, -(-int(members.s) // (GROUP_SHINGLES // 2)))
-    roots = multiply_blocks(of(member.where(fits), "set", "block").withColumn("task", F.pmod(F.xxhash64("block"), F.lit(tasks))), threshold)
-    if members.large:
-        roots = roots.unionByName(_large_blocks(member.where(~fits), of, threshold))
+    total = member.agg(F.coalesce(F.sum(F.when(fits, F.col("n"))), F.lit(0)).alias("n"), F.coalesce(F.bool_or(~fits), F.lit(False)).alias("large")).first()
+    tasks = max(8, -(-int(total.n) // (GROUP_SHINGLES // 2)))
+    dealt = member.where(fits).select("set", "block", F.pmod(F.xxhash64("block"), F.lit(tasks)).alias("task"))
+    roots = multiply_blocks(sets.select("set", "data").join(dealt, "set"), threshold)
+    if total.large:
+        roots = roots.unionByName(_large_blocks(member.where(~fits), sets, threshold))
     roots = materialize(roots, "roots")
-    forget(spark, member)
+    classes = each.where("n > 0").groupBy("set").agg(F.min("id").alias("id"))
     label = classes.join(roots.select(F.col("a").alias("set"), "b"), "set", "left").select("set", "id", F.coalesce("b", "set").alias("label"))
-    least = label.groupBy("label").agg(F.min("id").alias("component_id"))
-    named = label.join(least, "label").select("set", "component_id")
+    named = label.join(label.groupBy("label").agg(F.min("id").alias("component_id")), "label").select("set", "component_id")
     linked = each.where("n > 0").join(named, "set").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
-    return linked.unionByName(each.where("n = 0").select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_shingles"), F.col("id").alias("component_id")))
+    out = materialize(linked.unionByName(each.where("n = 0").select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_shingles"), F.col("id").alias("component_id"))), "components")
+    forget(docs.sparkSession, found, stands, sets, core, edges, blocks, member, roots)
+    return out

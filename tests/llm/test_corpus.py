@@ -139,7 +139,7 @@ def naive_phrases(text, sample):
 
 def test_phrases_equal_a_naive_parse():
     samples = {"x": "the cat sat on the mat, the cat", "y": "el gato está en la casa"}
-    built = language_id.Model(samples).build()
+    built = language_id.Model(samples).table
     texts = ["the cat sat in la casa!! zzz", "", "q", "... the mat 12 el gato", "gato " * 60]
     got, _ = built.phrases(texts)
     for text, row in zip(texts, got):
@@ -244,14 +244,11 @@ def test_jaccard_groups(spark, family):
     assert of(jaccard_join.jaccard_components(df)) == brute_components(family)
 
 
-def test_jaccard_large_blocks_and_hot_shingles(spark, family, monkeypatch):
+def test_jaccard_large_blocks_and_many_buckets(spark, family, monkeypatch):
     want = brute_components(family)
     df = spark.createDataFrame(family, "doc_id long, text string")
     monkeypatch.setattr(jaccard_join, "CHUNK_ROWS", 7)
-    assert of(jaccard_join.jaccard_components(df)) == want
-    monkeypatch.setattr(jaccard_join, "HOT", 5)
-    monkeypatch.setattr(jaccard_join, "FLUSH", 50)
-    monkeypatch.setattr(jaccard_join, "SKETCH_MOST_BITS", 10)
+    monkeypatch.setattr(jaccard_join, "FEWEST_BUCKETS", 50)
     assert of(jaccard_join.jaccard_components(df)) == want
 
 
