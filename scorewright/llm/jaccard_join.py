@@ -44,6 +44,8 @@ CHUNK_ROWS, CHUNK_SHINGLES, GROUP_SHINGLES = 2048, 1_000_000, 2_500_000
 VISITORS = 16
 #: Products that one step of a sparse multiplication holds.
 STEP = 1_000_000
+#: Largest filter (in bits) by which texts are passed over, and the parts in which it is packed.
+MOST_BITS, SLICES = 1 << 29, 64
 
 
 def _need(n, threshold: int):
@@ -119,11 +121,17 @@ class Columns:
         runs = np.concatenate(runs)
         order = np.lexsort((runs["key"], runs["n"]))
         fresh = np.concatenate(([True], (runs["key"][order][1:] != runs["key"][order][:-1]) | (runs["n"][order][1:] != runs["n"][order][:-1])))
-        row = np.empty(len(runs), np.int64)
+        row = np.empty(len(runs), np.uint32)
         row[order] = np.cumsum(fresh) - 1
         self.classes = runs[order[fresh]]
-        cells = np.unique((np.concatenate(tokens).astype(np.uint64) << np.uint64(32)) | np.repeat(row, runs["m"]).astype(np.uint64))
-        token, self.row = cells >> np.uint64(32), (cells & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        cells = np.empty((sum(map(len, tokens)), 2), "<u4")  # read as one integer, the token counts before the class
+        cells[:, 0], cells[:, 1] = np.repeat(row, runs["m"]), np.concatenate(tokens)
+        del tokens[:], packed[:]
+        cells = cells.view("<u8").reshape(-1)
+        cells.sort()
+        cells = cells[np.concatenate(([True], cells[1:] != cells[:-1]))].view("<u4").reshape(-1, 2)
+        token, self.row = cells[:, 1].copy(), cells[:, 0].astype(np.int32)
+        del cells
         n = self.classes["n"].astype(np.int64)[self.row]
         same = token[1:] == token[:-1]
         near = same & (100 * n[:-1] >= threshold * n[1:])
@@ -132,7 +140,7 @@ class Columns:
         start = np.flatnonzero(np.concatenate(([True], ~same)))
         often = np.diff(start, append=len(token))
         #: Class of the column's number of postings, by powers of two.
-        self.level = np.repeat(np.log2(often).astype(np.int64), often)
+        self.level = np.repeat(np.log2(often).astype(np.int8), often)
         self.token, self.n = token, n
 
 
@@ -175,7 +183,7 @@ def counted(packed: DataFrame, threshold: int) -> DataFrame:
 
     def task(group: pd.DataFrame) -> pd.DataFrame:
         columns = Columns(group["data"].tolist(), threshold)
-        cell, c = np.unique(columns.row[columns.shared] * 64 + columns.level[columns.shared], return_counts=True)
+        cell, c = np.unique(columns.row[columns.shared].astype(np.int64) * 64 + columns.level[columns.shared], return_counts=True)
         own = columns.classes[cell // 64]
         return pd.DataFrame({"low": own["key"].astype(np.int64), "n": own["n"].astype(np.int64), "level": cell % 64, "c": c})
 
@@ -200,17 +208,44 @@ def chained(packed: DataFrame, threshold: int) -> DataFrame:
     return packed.groupBy("bucket").applyInPandas(tidy_group(task), "a long, b long")
 
 
-def incidence(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
-    """(set, low, n, data): the sets of the wanted classes, made again from the text that stands for each.
+def hash_filter(hashes: DataFrame):
+    """A broadcast bitmap of the hashes in column ``at``: a test that is true for all of them and for few others.
 
-    ``wanted`` has id and at, the hash of the text.  A row that shares both by chance makes a set that nothing asks for.
+    It is packed by Spark tasks in SLICES parts and has 2^29 bits (64 MB) at most; where hashes are more than it can
+    tell apart it lets more pass, which the join after it sorts out.
     """
+    bits = min(MOST_BITS, 1 << max(16, (16 * hashes.count()).bit_length()))
+    place = F.pmod("at", F.lit(bits))
+    part = hashes.select(F.floor(place / (bits // SLICES)).cast("int").alias("slice"), F.pmod(place, F.lit(bits // SLICES)).alias("bit"))
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        marks = np.zeros(bits // SLICES, bool)
+        marks[group["bit"].to_numpy()] = True
+        return pd.DataFrame({"slice": group["slice"].iloc[:1], "bits": [np.packbits(marks, bitorder="little").tobytes()]})
+
+    found = {r["slice"]: r["bits"] for r in part.distinct().groupBy("slice").applyInPandas(pack, "slice int, bits binary").collect()}
+    empty = bytes(bits // SLICES // 8)
+    shipped = hashes.sparkSession.sparkContext.broadcast(b"".join(found.get(i, empty) for i in range(SLICES)))
+
+    def has(at: np.ndarray) -> np.ndarray:
+        at = at & (bits - 1)
+        return (np.frombuffer(shipped.value, np.uint8)[at >> 3] >> (at & 7)) & 1 == 1
+
+    return has
+
+
+def incidence(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
+    """(set, low, n, data): the sets of the wanted classes, made again from texts whose hash passes a filter.
+
+    ``wanted`` has low, n and at, the hash of a text of the class.  Each task gives a set once.
+    """
+    has = hash_filter(wanted)
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = set()
         for batch in batches:
             rows, held = [], 0
-            for s in shingle_sets(batch["text"].tolist()):
+            for s in shingle_sets(batch["text"][has(batch["at"].to_numpy(np.int64))].tolist()):
                 digest = set_key(s)
                 if len(s) and digest not in seen:
                     seen.add(digest)
@@ -222,9 +257,8 @@ def incidence(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFr
             yield pd.DataFrame(rows, columns=columns)
 
     columns = ["set", "low", "n", "data"]
-    source = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("at"), F.col(text).alias("text"))
-    met = source.join(wanted, (source["at"] == wanted["at"]) & source["id"].eqNullSafe(wanted["id"])).select("text")
-    return met.mapInPandas(tidy(task), "set binary, low long, n long, data binary")
+    made = docs.select(F.xxhash64(text).alias("at"), F.col(text).alias("text")).mapInPandas(tidy(task), "set binary, low long, n long, data binary")
+    return made.join(wanted.select("low", "n"), ["low", "n"], "left_semi").select(*columns)
 
 
 def packed_sets(sets: DataFrame, buckets: int) -> DataFrame:
@@ -412,11 +446,9 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     each = found.where("bucket is null").select("id", "at", "n", "set", "low")
     least = _need_column(F.col("n"), threshold)
     some = counted(found.where("bucket is not null").select("bucket", "data"), threshold).groupBy("low", "n").agg(F.sum("c").alias("c")).where(F.col("c") >= F.greatest(F.lit(1), F.floor(least / EXCESS))).select("low", "n")
-    # One row stands for a class: the one with the least (id, hash of the text).
-    present = F.struct(F.col("id").isNull().alias("none"), "id", "at")
-    stands = each.where("n > 0").join(some, ["low", "n"], "left_semi").groupBy("set").agg(F.min(present).alias("row")).select("row.id", "row.at")
-    stands = materialize(stands, "stands")
-    sets = materialize(incidence(docs, stands, text, key), "incidence")
+    # A text stands for each class: the one with the least hash.
+    stands = materialize(each.where("n > 0").join(some, ["low", "n"], "left_semi").groupBy("set", "low", "n").agg(F.min("at").alias("at")), "stands")
+    sets = materialize(incidence(docs, stands, text), "incidence")
     core = materialize(rarest(counted(packed_sets(sets.withColumn("last", F.lit(0)), buckets), threshold), threshold), "core")
     marked = sets.join(core, ["low", "n"], "left").withColumn("last", F.coalesce("last", F.lit(-1)))
     edges = materialize(chained(packed_sets(marked, buckets), threshold), "chains")
