@@ -20,7 +20,7 @@ from scorewright.llm._shared import give_back
 #: The bounded sample: distinct documents of each language, read whole.
 SAMPLE_ROWS = 12
 #: Symbols of a piece; each piece of a text is parsed on its own, with one phrase more at most.
-SEGMENT, LANES = 2048, 4096
+SEGMENT, LANES = 1024, 2048
 UNKNOWN = "und"
 _SPACE, _LETTERS = 1, 2
 _FREE = np.int64(-1)
@@ -228,8 +228,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         table = shipped.value
         for batch in texts:
             langs, scores, part, size = [], [np.empty(0)], [], 0
-            for t in batch.tolist():  # about 2 million characters at a time
-                if size + len(t or "") > 2_000_000:
+            for t in batch.tolist():  # about a million characters at a time
+                if size + len(t or "") > 1_000_000:
                     a, b = table.predict(part)
                     langs, scores, part, size = langs + a, [*scores, b], [], 0
                 part.append(t)

@@ -110,6 +110,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
                     rows += [(lo + i, k, a, b - a, zlib.crc32(whole[a:b].tobytes())) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
                 at_, piece, start, length, crc = zip(*rows)
                 yield pd.DataFrame({key: keys.iloc[list(at_)].array, "piece": piece, "start": start, "length": length, "ids_crc32": crc})
+        encode.forget()
 
     source = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text"))
     return source.mapInPandas(tidy(cut), f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")

@@ -142,6 +142,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2, folder: str | None
                 lengths.append(n + 1)
                 total += len(kept[-1])
                 flush(False)
+        encode.forget()
         if out is None:
             return
         flush(True)

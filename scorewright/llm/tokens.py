@@ -1,4 +1,4 @@
-"""Token ids by the tokenizers library, each distinct word encoded once per Python worker.
+"""Token ids by the tokenizers library, each distinct word encoded once per task.
 
 A byte-level BPE first splits a text into words (a space goes to what follows) and then merges within each word alone.
 The split is done here for many texts at a time in numpy, with the library itself as the judge of what is a letter, a
@@ -13,8 +13,8 @@ import numpy as np
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 #: 0xFF is no byte of UTF-8, so it can part words; its character is no byte's.
 _BYTE_CHARS = {b: chr(b) if b in _PRINTABLE else chr(256 + sum(x not in _PRINTABLE for x in range(b))) for b in range(255)} | {255: "\n"}
-#: Words encoded in one call, and words kept per worker (about 40 bytes each).
-_RUN, _KEPT = 16_384, 600_000
+#: Words encoded in one call, and words kept (about 40 bytes each).
+_RUN, _KEPT = 16_384, 300_000
 _UNKNOWN, _LETTER, _NUMBER, _OTHER, _SPACE = 0, 1, 2, 3, 4
 _APOSTROPHE = ord("'")
 _VALUE = np.random.default_rng(20240229).integers(1, 2**63, 1 << 16, dtype=np.uint64) | np.uint64(1)
@@ -54,9 +54,10 @@ class Encoder:
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.bytes_of[i] = len(token)
         self.kind = np.zeros(0x110000, np.uint8)
-        self._reset()
+        self.forget()
 
-    def _reset(self) -> None:
+    def forget(self) -> None:
+        """Drop the words seen so far."""
         self.known = np.empty(0, np.uint64)  # sorted hashes; beside them the places of their ids
         self.start, self.length = np.empty(0, np.int64), np.empty(0, np.int32)
         self.flat = np.empty(0, np.uint32)
@@ -124,7 +125,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another as uint32, number of ids of each text)."""
         if len(self.known) > _KEPT:
-            self._reset()
+            self.forget()
         if any(s in t for s in self.specials for t in texts):
             return self._with_specials(texts)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -170,7 +171,7 @@ _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
 def encoder(path: str, specials_as_text: bool = False) -> Encoder:
-    """The encoder of this Python worker; its words serve all tasks that run here."""
+    """The encoder of this Python worker; a task forgets its words when it ends."""
     if (path, specials_as_text) not in _ENCODERS:
         _ENCODERS[path, specials_as_text] = Encoder(path, specials_as_text)
     return _ENCODERS[path, specials_as_text]
