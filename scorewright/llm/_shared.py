@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of one batch between Spark and a Python worker.
+BATCH_ROWS = 1000
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -46,6 +48,13 @@ def forget(spark: SparkSession, *tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def short_batches(spark: SparkSession) -> None:
+    """At most BATCH_ROWS rows go to a Python worker at once, as whole texts can be long; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def give_back() -> None:
     """Return freed memory to the system; Python workers idle between tasks and would keep it."""
     import pyarrow

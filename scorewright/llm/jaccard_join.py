@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scorewright.llm._graph import connected_components
-from scorewright.llm._shared import forget, materialize, tidy, tidy_group
+from scorewright.llm._shared import forget, materialize, short_batches, tidy, tidy_group
 from scorewright.llm._shingles import set_key, shingle_sets
 
 #: Least Jaccard similarity in hundredths.
@@ -36,7 +36,7 @@ BUCKET_LOAD, FEWEST_BUCKETS, MOST_BUCKETS = 24 << 20, 8, 1 << 16
 #: One shingle in this many of a prefix is in excess of the least prefix.
 EXCESS = 8
 #: Postings that a task holds before it hands them on.
-FLUSH = 1_000_000
+FLUSH = 500_000
 #: A run of postings of one class: its key and size, the number of postings, and the last class of frequencies that counts.
 RUN = np.dtype([("key", "<i8"), ("n", "<u4"), ("m", "<u4"), ("last", "<i4")])
 CHUNK_ROWS, CHUNK_SHINGLES, GROUP_SHINGLES = 2048, 1_000_000, 2_500_000
@@ -441,6 +441,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     an empty set and is linked with nothing.  Every row of ``docs`` gives one row; null keys count as no key, and a
     group without any key has a null component.  Shingles are compared by 64-bit hashes, sets by 128-bit digests of them.
     """
+    short_batches(docs.sparkSession)
     buckets = bucket_count(docs.select(text))
     found = materialize(document_sets(docs, text, key, threshold, buckets), "sets")
     each = found.where("bucket is null").select("id", "at", "n", "set", "low")

@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from scorewright.llm._shared import give_back
+from scorewright.llm._shared import give_back, short_batches
 
 #: The bounded sample: distinct documents of each language, read whole.
 SAMPLE_ROWS = 12
@@ -222,6 +222,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     second-best cost (ties: 0, to the smaller label); 1 with a single language.  Columns with clashing names are
     replaced, repeated rows are judged alike.
     """
+    short_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model.table)  # bounded: three transitions at most a sampled symbol
 
     def one(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

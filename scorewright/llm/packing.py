@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from scorewright.llm._shared import materialize, text_or_empty, tidy
+from scorewright.llm._shared import materialize, short_batches, text_or_empty, tidy
 from scorewright.llm.tokens import encoder, text_slices
 
 CAPACITY, END_ID, BLOCK_ROWS = 2048, 0, 50_000
@@ -97,21 +97,21 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
     kind = dict(docs.dtypes)[key]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(path)
-        for batch in batches:
-            texts, keys = batch["text"].tolist(), batch["key"]
-            for lo, hi in text_slices(texts):
-                ids, lengths = encode.encode(texts[lo:hi])
-                rows, at = [], 0
-                for i, n in enumerate(lengths.tolist()):
-                    whole = np.append(ids[at : at + n], np.uint32(end_id)).astype("<u4")
-                    at, n = at + n, n + 1
-                    edges = [0, n] if n <= capacity else [0, *range(n % capacity or capacity, n + 1, capacity)]
-                    rows += [(lo + i, k, a, b - a, zlib.crc32(whole[a:b].tobytes())) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
-                at_, piece, start, length, crc = zip(*rows)
-                yield pd.DataFrame({key: keys.iloc[list(at_)].array, "piece": piece, "start": start, "length": length, "ids_crc32": crc})
-        encode.forget()
-
+        with encoder(path) as encode:
+            for batch in batches:
+                texts, keys = batch["text"].tolist(), batch["key"]
+                for lo, hi in text_slices(texts):
+                    ids, lengths = encode.encode(texts[lo:hi])
+                    rows, at = [], 0
+                    for i, n in enumerate(lengths.tolist()):
+                        whole = np.append(ids[at : at + n], np.uint32(end_id)).astype("<u4")
+                        at, n = at + n, n + 1
+                        edges = [0, n] if n <= capacity else [0, *range(n % capacity or capacity, n + 1, capacity)]
+                        rows += [(lo + i, k, a, b - a, zlib.crc32(whole[a:b].tobytes())) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
+                    at_, piece, start, length, crc = zip(*rows)
+                    yield pd.DataFrame({key: keys.iloc[list(at_)].array, "piece": piece, "start": start, "length": length, "ids_crc32": crc})
+
+    short_batches(docs.sparkSession)
     source = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text"))
     return source.mapInPandas(tidy(cut), f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
 

@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from scorewright.llm._shared import materialize, scratch_path, text_or_empty, tidy
+from scorewright.llm._shared import materialize, scratch_path, short_batches, text_or_empty, tidy
 from scorewright.llm.tokens import encoder, text_slices
 
 MAGIC = b"BITPACK1"
@@ -102,13 +102,13 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2, folder: str | None
     texts, and so are spread over shards.  An empty table gives an empty manifest.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     folder = folder or scratch_path(spark, "tokens")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        encode = encoder(path)
-        bits, shard = bits_for(encode.size), TaskContext.get().partitionId()
+        shard = TaskContext.get().partitionId()
         name = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.bin"
         out, place, keys, lengths, offsets, kept, total = None, 0, [], [], [], [], 0
 
@@ -123,26 +123,27 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2, folder: str | None
                 place += len(data)
             kept = [ids[edge:]]
 
-        for batch in batches:
-            texts = batch["text"].tolist()
-            if not texts:
-                continue
-            if out is None:
-                import pyarrow.fs as pafs
-
-                system, local = pafs.FileSystem.from_uri(folder)
-                system.create_dir(local, recursive=True)
-                out = _open(name, True)
-                out.write(struct.pack(HEADER, MAGIC, bits, BLOCK_IDS))
-                place = struct.calcsize(HEADER)
-            keys.append(batch["key"].to_numpy(np.int64))
-            for lo, hi in text_slices(texts):
-                ids, n = encode.encode(texts[lo:hi])
-                kept.append(np.insert(ids, np.cumsum(n), end_id))
-                lengths.append(n + 1)
-                total += len(kept[-1])
-                flush(False)
-        encode.forget()
+        with encoder(path) as encode:
+            bits = bits_for(encode.size)
+            for batch in batches:
+                texts = batch["text"].tolist()
+                if not texts:
+                    continue
+                if out is None:
+                    import pyarrow.fs as pafs
+
+                    system, local = pafs.FileSystem.from_uri(folder)
+                    system.create_dir(local, recursive=True)
+                    out = _open(name, True)
+                    out.write(struct.pack(HEADER, MAGIC, bits, BLOCK_IDS))
+                    place = struct.calcsize(HEADER)
+                keys.append(batch["key"].to_numpy(np.int64))
+                for lo, hi in text_slices(texts):
+                    ids, n = encode.encode(texts[lo:hi])
+                    kept.append(np.insert(ids, np.cumsum(n), end_id))
+                    lengths.append(n + 1)
+                    total += len(kept[-1])
+                    flush(False)
         if out is None:
             return
         flush(True)

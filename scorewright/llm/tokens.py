@@ -7,6 +7,9 @@ number or white space; words are told apart by 64-bit hashes, and the library's
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
+
 import numpy as np
 
 #: Characters by which a byte-level vocabulary writes bytes: printable ones stand for themselves, others from 256 on.
@@ -54,10 +57,9 @@ class Encoder:
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.bytes_of[i] = len(token)
         self.kind = np.zeros(0x110000, np.uint8)
-        self.forget()
+        self._reset()
 
-    def forget(self) -> None:
-        """Drop the words seen so far."""
+    def _reset(self) -> None:
         self.known = np.empty(0, np.uint64)  # sorted hashes; beside them the places of their ids
         self.start, self.length = np.empty(0, np.int64), np.empty(0, np.int32)
         self.flat = np.empty(0, np.uint32)
@@ -125,7 +127,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another as uint32, number of ids of each text)."""
         if len(self.known) > _KEPT:
-            self.forget()
+            self._reset()
         if any(s in t for s in self.specials for t in texts):
             return self._with_specials(texts)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -167,14 +169,12 @@ class Encoder:
         return np.insert(ids, ends[real], after[real].astype(np.uint32)), np.bincount(owner, n + real, len(texts)).astype(np.int64)
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
-
-
-def encoder(path: str, specials_as_text: bool = False) -> Encoder:
-    """The encoder of this Python worker; a task forgets its words when it ends."""
-    if (path, specials_as_text) not in _ENCODERS:
-        _ENCODERS[path, specials_as_text] = Encoder(path, specials_as_text)
-    return _ENCODERS[path, specials_as_text]
+@contextlib.contextmanager
+def encoder(path: str, specials_as_text: bool = False) -> Iterator[Encoder]:
+    """An encoder for one task; it goes when the task ends, as idle Python workers keep what they hold."""
+    made = Encoder(path, specials_as_text)
+    yield made
+    made.__dict__.clear()
 
 
 def text_slices(texts: list[str], most: int = 1 << 20) -> list[tuple[int, int]]:
