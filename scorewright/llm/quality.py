@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from scorewright.llm._shared import text_or_empty
+from scorewright.llm._shared import materialize, text_or_empty
 
 BUCKETS = 1 << 16
 SMOOTHING = 20.0
@@ -74,7 +74,8 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, text: str = "text", buck
         words = df.select(words_array(text_or_empty(text)).alias("_words"))  # a column of its own: lambdas below read it
         return words.select(F.explode(hashed_ngrams(F.col("_words"), buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias(name))
 
-    both = counts(docs, "raw").join(counts(trusted, "good"), "bucket", "left").na.fill(0, ["good"])
+    # Read twice below; a row a bucket at most.
+    both = materialize(counts(docs, "raw").join(counts(trusted, "good"), "bucket", "left").na.fill(0, ["good"]), "buckets")
     totals = both.agg(F.sum("raw").alias("raw_all"), F.sum("good").alias("good_all")).first()
     raw_all, good_all = totals.raw_all or 0, totals.good_all or 0
     # The raw counts are scaled to the trusted total before smoothing, so that rare buckets tend to 0 on either side.
@@ -91,7 +92,7 @@ def judge_quality(docs: DataFrame, trusted: DataFrame, text: str = "text", thres
     rules decide.  Repeated rows are judged one by one; the verdict depends on nothing but text and model.
     """
     # As many rows as there are buckets: a fixed bound, so the broadcast below does not grow with the corpus.
-    weights = bucket_weights(docs, trusted, text, buckets, smoothing).cache()
+    weights = bucket_weights(docs, trusted, text, buckets, smoothing)
     results = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     measured = base_measures(docs.drop(*[c for c in results if c in docs.columns]), text)
     keep = [c for c in docs.columns if c not in {text, "base_failed", "llr", "kept", *results}]

@@ -17,9 +17,9 @@ QUERY_ROWS, CANDIDATE_ROWS, SLAB = 512, 8192, 2048
 
 
 def integer_vectors(df: DataFrame, key: str, vector: str, scale: int = 64) -> DataFrame:
-    """(id, weights): floor(scale * x) per component; vectors that are null, empty or hold null or non-finite values go."""
+    """(id, weights): floor(scale * x) per component; vectors that are null or hold null or non-finite values go."""
     x = F.transform(F.col(vector), lambda v: v.cast("double"))
-    fine = F.col(vector).isNotNull() & F.col(key).isNotNull() & (F.size(vector) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    fine = F.col(vector).isNotNull() & F.col(key).isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     return df.where(fine).select(F.col(key).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v * scale).cast("long")).alias("weights"))
 
 
@@ -76,19 +76,25 @@ def _select(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 def _meet(k: int):
     def task(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            queries, asked = _matrix(left["weights"]), left["id"].to_numpy()
-            for lo in range(0, len(right), SLAB):
-                part = right.iloc[lo : lo + SLAB]
-                ids = part["id"].to_numpy()
-                scores = _accumulate(queries, _matrix(part["weights"]))
-                for i, q in enumerate(asked):
-                    own = ids != q
-                    mine, row = ids[own], scores[i][own]
-                    best = _select(mine, row, k)
-                    out.append(pd.DataFrame({"query_id": q, "vec_id": mine[best], "score": row[best].astype(np.int64)}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+        queries, asked, key = _matrix(left["weights"]), left["id"].to_numpy(), left["query"].to_numpy()
+        own, best = set(), [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(left)
+        for lo in range(0, len(right) if len(left) else 0, SLAB):
+            part = right.iloc[lo : lo + SLAB]
+            ids, rows = part["id"].to_numpy(), part["row"].to_numpy()
+            scores = _accumulate(queries, _matrix(part["weights"]))
+            for i, q in enumerate(key):
+                mine, row = ids, scores[i]
+                same = np.flatnonzero((rows == q) & (ids == asked[i])) if i not in own else ()
+                if len(same):  # the query's own row, once
+                    own.add(i)
+                    mine, row = np.delete(mine, same[0]), np.delete(row, same[0])
+                # The best so far stand with the slab's, so that a block hands on k rows a query.
+                mine, row = np.concatenate([best[i][0], mine]), np.concatenate([best[i][1].astype(row.dtype), row])
+                chosen = _select(mine, row, k)
+                best[i] = mine[chosen], row[chosen]
+        n = [len(ids) for ids, _ in best]
+        whole = lambda j: np.concatenate([np.empty(0, np.int64), *[x[j] for x in best]]).astype(np.int64)
+        return pd.DataFrame({"query_id": np.repeat(asked, n), "query": np.repeat(key, n), "vec_id": whole(0), "score": whole(1)})
 
     return task
 
@@ -96,9 +102,10 @@ def _meet(k: int):
 def search(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", scale: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest integer inner products of every query row among all other rows.
 
-    Ties go to the smaller id; fewer than k candidates give fewer rows.  Rows with a null id, or a vector that is null,
-    empty or holds null or non-finite components, take no part.  Rows that repeat an id stand as candidates once per
-    row; a repeated query row is asked once per distinct vector and id.  Scores are exact while they fit 64 bits.
+    Ties go to the smaller id; fewer than k candidates give fewer rows.  Rows with a null id, or a vector that is null or
+    holds null or non-finite components, take no part; an empty vector scores 0.  A row's own is left out once, other
+    rows of its id are candidates.  Query rows of one id and different vectors have a ranking each; of equal query rows
+    one is asked.  Scores are exact while they fit 64 bits.
     """
     vectors = integer_vectors(df, key, vector, scale)
     asked = integer_vectors(df.where(F.coalesce(is_query, F.lit(False))), key, vector, scale).distinct()
@@ -106,9 +113,10 @@ def search(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", ve
     n_candidate, n_query = (max(1, -(-n // rows)) for n, rows in zip(counts, (CANDIDATE_ROWS, QUERY_ROWS), strict=True))
     block = lambda n: F.pmod(F.xxhash64("id", "weights"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = asked.withColumn("query", F.xxhash64("id", "weights"))
     left = asked.withColumn("qb", block(n_query)).withColumn("cb", every(n_candidate))
-    right = vectors.select("id", "weights").withColumn("cb", block(n_candidate)).withColumn("qb", every(n_query))
-    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(_meet(k), "query_id long, vec_id long, score long")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    right = vectors.withColumn("row", F.xxhash64("id", "weights")).withColumn("cb", block(n_candidate)).withColumn("qb", every(n_query))
+    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(_meet(k), "query_id long, query long, vec_id long, score long")
+    order = W.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -22,21 +22,18 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def brute_topk(rows, k):
-    ok = {}
-    for i, v in rows:
-        if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
-            ok[i] = [math.floor(64 * x) for x in v]
-    out = set()
-    for q in ok:
-        if q % 20 == 0:
-            best = sorted((-sum(a * b for a, b in zip(ok[q], v)), i) for i, v in ok.items() if i != q)[:k]
-            out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
-    return out
+    ok = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for q, (i, v) in enumerate(ok):
+        if i % 20 == 0 and (i, v) not in ok[:q]:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), j) for c, (j, w) in enumerate(ok) if c != q)[:k]
+            out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    return sorted(out)
 
 
 def test_topk_query(spark, sf):
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
-    assert {tuple(r) for r in op4_exact_topk(spark, sf).collect()} == brute_topk(rows, 20)
+    assert sorted(map(tuple, op4_exact_topk(spark, sf).collect())) == brute_topk(rows, 20)
 
 
 def test_topk_blocks_ties_and_odd_rows(spark, monkeypatch):
@@ -44,10 +41,10 @@ def test_topk_blocks_ties_and_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(topk, "CANDIDATE_ROWS", 17)
     rng = random.Random(1)
     rows = [(i, [float(rng.choice([0.0, 0.0, 0.0, 1.0, -1.0, 0.5])) for _ in range(6)]) for i in range(120)]
-    rows += [(200, None), (220, []), (240, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (260, [math.nan] * 6), (280, [math.inf] * 6), (None, [1.0] * 6), (300, [0.0] * 6), (320, [1e6] * 6)]
+    rows += [(200, None), (220, []), (240, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (260, [math.nan] * 6), (280, [math.inf] * 6), (None, [1.0] * 6), (300, [0.0] * 6), (320, [1e6] * 6), (320, [0.5] * 6), (340, [1.0] * 6), (340, [1.0] * 6)]
     df = spark.createDataFrame([(i, v, 5, "x") for i, v in rows], "vec_id long, embedding array<double>, rank int, score string")
     for k in (1, 7, 500):
-        assert {tuple(r) for r in topk.search(df, F.col("vec_id") % 20 == 0, k).collect()} == brute_topk(rows, k)
+        assert sorted(map(tuple, topk.search(df, F.col("vec_id") % 20 == 0, k).collect())) == brute_topk(rows, k)
     assert topk.search(df.where("false"), F.col("vec_id") % 20 == 0, 5).count() == 0
 
 
