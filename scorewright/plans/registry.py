@@ -522,10 +522,10 @@ def submission_chart(spark, sf_dir):
     return sub.chart(records(spark, sf_dir), "doc_id")
 
 
-@query(f"WITH {REC} SELECT l.doc_id, l.quality, coalesce(r.prediction, '') AS prediction FROM labels l LEFT JOIN (SELECT * FROM rec WHERE category = 'en') r ON r.doc_id = l.doc_id")
+@query(f"WITH {REC} SELECT l.doc_id, l.quality, coalesce(r.prediction, '') AS prediction FROM labels l LEFT JOIN (SELECT * FROM rec WHERE category = 'assistant') r ON r.doc_id = l.doc_id")
 def submission_template_left_join(spark, sf_dir):
     template = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return sub.fill_template(template, records(spark, sf_dir).where("category = 'en'"), "doc_id").select("doc_id", "quality", "prediction")
+    return sub.fill_template(template, records(spark, sf_dir).where("category = 'assistant'"), "doc_id").select("doc_id", "quality", "prediction")
 
 
 # --- roll-ups

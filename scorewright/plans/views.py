@@ -11,34 +11,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _records(spark: SparkSession, sf_dir: str, cut) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark")
-    n = items.count()
-    docs = table(spark, sf_dir, "documents")
-    both = docs.join(items.withColumnRenamed("text", "item"), F.pmod(docs["doc_id"], F.lit(n)) == items["item_id"])
-    return both.select(
-        "doc_id", F.col("lang").alias("category"), F.col("source").alias("sub"),
-        ascii_only(cut(F.col("text"), F.lit(1))).alias("prediction"),
-        F.array(ascii_only(cut(F.col("item"), F.lit(1))), ascii_only(cut(F.col("text"), (1 + F.col("doc_id") % 3).cast("int")))).alias("labels"),
-    )
-
-
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, category, sub, prediction, labels): a document's first characters against a benchmark item and itself.
+    """(doc_id, category, sub, prediction, labels): every whole turn of a conversation as an answer.
 
-    This is the view that REC states in SQL; queries without an SQL equivalent read :func:`whole_records`.
+    Its labels are a benchmark item and the answer without some short words.
     """
-    return _records(spark, sf_dir, lambda text, at: F.substr(text, at, F.lit(200)))
+    items = table(spark, sf_dir, "benchmark")
+    n = items.count()
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.col("role").alias("category"), F.concat(F.lit("turn"), F.col("turn")).alias("sub"), F.col("text").alias("prediction"))
+    both = turns.join(items, F.pmod("doc_id", F.lit(n)) == items["item_id"])
+    return both.select("doc_id", "category", "sub", "prediction", F.array(F.col("text"), F.regexp_replace("prediction", " (de|die|the|el) ", " ")).alias("labels"))
 
 
 def whole_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same columns from whole texts."""
-    return _records(spark, sf_dir, F.substr)
+    """The same columns from whole documents, for queries without an SQL equivalent."""
+    items = table(spark, sf_dir, "benchmark")
+    n = items.count()
+    docs = table(spark, sf_dir, "documents")
+    both = docs.join(items.withColumnRenamed("text", "item"), F.pmod(docs["doc_id"], F.lit(n)) == items["item_id"])
+    return both.select(
+        "doc_id", F.col("lang").alias("category"), F.col("source").alias("sub"), ascii_only(F.col("text")).alias("prediction"),
+        F.array(ascii_only(F.col("item")), ascii_only(F.substr("text", (1 + F.col("doc_id") % 3).cast("int")))).alias("labels"),
+    )
 
 
-REC = r"""rec AS (SELECT d.doc_id, d.lang AS category, d.source AS sub, regexp_replace(substr(d.text, 1, 200), '[^\x00-\x7F]', '', 'g') AS prediction,
-    [regexp_replace(substr(b.text, 1, 200), '[^\x00-\x7F]', '', 'g'), regexp_replace(substr(d.text, 1 + d.doc_id % 3, 200), '[^\x00-\x7F]', '', 'g')] AS labels
-    FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))"""
+REC = r"""rec AS (SELECT c.conv_id * 1000 + c.turn AS doc_id, c.role AS category, 'turn' || CAST(c.turn AS VARCHAR) AS sub, c.text AS prediction,
+    [b.text, regexp_replace(c.text, ' (de|die|the|el) ', ' ', 'g')] AS labels
+    FROM conversations c JOIN benchmark b ON b.item_id = (c.conv_id * 1000 + c.turn) % (SELECT count(*) FROM benchmark))"""
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
