@@ -494,9 +494,9 @@ def leaderboard_coverage(spark, sf_dir):
     return df.where("value > 99").groupBy("model").agg(F.round(F.countDistinct("benchmark") / F.lit(every), 6).alias("coverage"))
 
 
-@query(_MERGED + " SELECT model, checkpoint, max(CASE WHEN benchmark = 'click' THEN value END) AS click, max(CASE WHEN benchmark = 'view' THEN value END) AS view, max(CASE WHEN benchmark = 'error' THEN value END) AS error FROM b WHERE metric = 'score' GROUP BY model, checkpoint")
+@query(_MERGED + " SELECT model, checkpoint, max(CASE WHEN benchmark = 'click' THEN value END) AS click, max(CASE WHEN benchmark = 'view' THEN value END) AS view, max(CASE WHEN benchmark = 'error' THEN value END) AS error, max(CASE WHEN benchmark = 'purchase' THEN value END) AS purchase, max(CASE WHEN benchmark = 'signup' THEN value END) AS signup FROM b WHERE metric = 'score' GROUP BY model, checkpoint")
 def leaderboard_pivot(spark, sf_dir):
-    return lb.best_merge(runs(spark, sf_dir)).where("metric = 'score'").groupBy("model", "checkpoint").pivot("benchmark", ["click", "view", "error"]).agg(F.max("value"))
+    return lb.best_merge(runs(spark, sf_dir)).where("metric = 'score'").groupBy("model", "checkpoint").pivot("benchmark", ["click", "view", "error", "purchase", "signup"]).agg(F.max("value"))
 
 
 # --- submissions
@@ -608,4 +608,4 @@ def stream_throughput_window(spark, sf_dir):
     return out.select(F.col("w.start").cast("timestamp_ntz").alias("start_ts"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-from scorewright.plans import rollups  # noqa: E402, F401  (adds its queries to this registry)
+from scorewright.plans import rollups, tasks  # noqa: E402, F401  (they add their queries to this registry)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from scorewright.functions.records import run_figures
+
 #: Reader by suffix; a trailing .gz or .gzip is left to Spark's codecs.
 FORMATS = {"jsonl": ("json", {}), "json": ("json", {"multiLine": "true"}), "csv": ("csv", {"header": "true", "multiLine": "true"}), "tsv": ("csv", {"header": "true", "sep": "\t", "multiLine": "true"}), "parquet": ("parquet", {}), "orc": ("orc", {}), "txt": ("text", {}), "wav": ("binaryFile", {}), "png": ("binaryFile", {}), "jpg": ("binaryFile", {})}
 
@@ -35,6 +37,31 @@ def benchmark_of(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(?:__[^/]*)?\.[A-Za-z]+$", 1)
 
 
+def output_name(benchmark: Column, method: Column) -> Column:
+    return F.concat(benchmark, F.lit("__"), method, F.lit(".json"))
+
+
+def count_lines(spark: SparkSession, path: str) -> int:
+    """Lines of text files, a header included."""
+    return spark.read.text(path).count()
+
+
+def nth_record(records: DataFrame, index: str, n: int) -> DataFrame:
+    """The record of one ordinal; the filter reaches the scan."""
+    return records.where(F.col(index) == n)
+
+
+def first_path(body: Column, *paths: str) -> Column:
+    """The first of several places in a JSON text that holds a value."""
+    return F.coalesce(*[F.nullif(F.get_json_object(body, p), F.lit("")) for p in paths])
+
+
+def derived_figures(body: Column) -> dict[str, Column]:
+    """Figures of a run's JSON text: its own, else those of its first run; see :func:`run_figures` for missing ones."""
+    number = lambda name: first_path(body, f"$.evaluation.{name}", f"$.evaluation.run_outputs[0].{name}").cast("double")
+    return run_figures(number("latency"), number("num_samples"), number("runtime_inference"), number("coverage"))
+
+
 def scan_results(spark: SparkSession, glob: str, schema: str) -> DataFrame:
     """Result files with the columns of their paths; of a benchmark's files the last modified counts."""
     meta = F.col("_metadata")
