@@ -88,6 +88,18 @@ def tidy_group(task: Callable) -> Callable:
     return run
 
 
+def tidy_pair(task: Callable) -> Callable:
+    """A task over two groups that gives memory back when it ends."""
+
+    def run(left, right):
+        try:
+            return task(left, right)
+        finally:
+            give_back()
+
+    return run
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

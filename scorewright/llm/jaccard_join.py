@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scorewright.llm._graph import connected_components
-from scorewright.llm._shared import forget, materialize, short_batches, tidy, tidy_group
+from scorewright.llm._shared import forget, materialize, short_batches, tidy, tidy_group, tidy_pair
 from scorewright.llm._shingles import set_key, shingle_sets
 
 #: Least Jaccard similarity in hundredths.
@@ -37,8 +37,8 @@ BUCKET_LOAD, FEWEST_BUCKETS, MOST_BUCKETS = 24 << 20, 8, 1 << 16
 EXCESS = 8
 #: Postings that a task holds before it hands them on.
 FLUSH = 500_000
-#: A run of postings of one class: its key and size, the number of postings, and the last class of frequencies that counts.
-RUN = np.dtype([("key", "<i8"), ("n", "<u4"), ("m", "<u4"), ("last", "<i4")])
+#: A run of postings of one class: its key and size, and the number of postings.
+RUN = np.dtype([("key", "<i8"), ("n", "<u4"), ("m", "<u4")])
 CHUNK_ROWS, CHUNK_SHINGLES, GROUP_SHINGLES = 2048, 1_000_000, 2_500_000
 #: Sets of a chunk, about, that also meet a neighbouring chunk in the first round.
 VISITORS = 16
@@ -85,9 +85,9 @@ class Packer:
     def clear(self) -> None:
         self.sets, self.runs, self.held = [], [], 0
 
-    def add(self, key: int, n: int, shingles: np.ndarray, last: int = 0) -> None:
+    def add(self, key: int, n: int, shingles: np.ndarray) -> None:
         self.sets.append(shingles)
-        self.runs.append((key, n, len(shingles), last))
+        self.runs.append((key, n, len(shingles)))
         self.held += len(shingles)
 
     def flush(self) -> pd.DataFrame:
@@ -179,23 +179,32 @@ def document_sets(docs: DataFrame, text: str, key: str, threshold: int, buckets:
 
 
 def counted(packed: DataFrame, threshold: int) -> DataFrame:
-    """(low, n, level, c): shared shingles of each class by bucket and level of frequency."""
+    """(bucket, low, n, level, c): shared shingles of each class by bucket and level of frequency."""
 
     def task(group: pd.DataFrame) -> pd.DataFrame:
-        columns = Columns(group["data"].tolist(), threshold)
+        bucket, columns = group["bucket"].iloc[0], Columns(group["data"].tolist(), threshold)
         cell, c = np.unique(columns.row[columns.shared].astype(np.int64) * 64 + columns.level[columns.shared], return_counts=True)
         own = columns.classes[cell // 64]
-        return pd.DataFrame({"low": own["key"].astype(np.int64), "n": own["n"].astype(np.int64), "level": cell % 64, "c": c})
+        return pd.DataFrame({"bucket": bucket, "low": own["key"].astype(np.int64), "n": own["n"].astype(np.int64), "level": cell % 64, "c": c})
 
-    return packed.groupBy("bucket").applyInPandas(tidy_group(task), "low long, n long, level int, c long")
+    return packed.groupBy("bucket").applyInPandas(tidy_group(task), "bucket int, low long, n long, level int, c long")
 
 
-def chained(packed: DataFrame, threshold: int) -> DataFrame:
-    """(a, b): chains through the classes that share one of their rarest shingles and have close sizes."""
+def chained(packed: DataFrame, marks: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): chains through the classes that share one of their rarest shingles and have close sizes.
 
-    def task(group: pd.DataFrame) -> pd.DataFrame:
+    ``marks`` has bucket, low and last, the level up to which a class's shingles count; classes without one do not.
+    """
+
+    def task(group: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
+        if not len(group) or not len(marks):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         columns = Columns(group["data"].tolist(), threshold)
-        pick = columns.shared & (columns.level <= columns.classes["last"][columns.row])
+        marks = marks.sort_values("low")
+        low, level = marks["low"].to_numpy(), marks["last"].to_numpy()
+        at = np.minimum(np.searchsorted(low, columns.classes["key"]), len(low) - 1)
+        last = np.where(low[at] == columns.classes["key"], level[at], -1)
+        pick = columns.shared & (columns.level <= last[columns.row])
         token, row, n = columns.token[pick], columns.row[pick], columns.n[pick]
         at = np.flatnonzero((token[1:] == token[:-1]) & (100 * n[:-1] >= threshold * n[1:])) if len(token) else []
         forest = Forest()
@@ -205,16 +214,16 @@ def chained(packed: DataFrame, threshold: int) -> DataFrame:
         pairs = [(x, r) for x in list(forest.up) if (r := forest.root(x)) != x]
         return pd.DataFrame({"a": key[[a for a, _ in pairs]], "b": key[[b for _, b in pairs]]}, dtype="int64")
 
-    return packed.groupBy("bucket").applyInPandas(tidy_group(task), "a long, b long")
+    return packed.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInPandas(tidy_pair(task), "a long, b long")
 
 
 def hash_filter(hashes: DataFrame):
     """A broadcast bitmap of the hashes in column ``at``: a test that is true for all of them and for few others.
 
     It is packed by Spark tasks in SLICES parts and has 2^29 bits (64 MB) at most; where hashes are more than it can
-    tell apart it lets more pass, which the join after it sorts out.
+    tell apart it lets more pass, which the next count sorts out.
     """
-    bits = min(MOST_BITS, 1 << max(16, (16 * hashes.count()).bit_length()))
+    bits = min(MOST_BITS, 1 << max(16, (64 * hashes.count()).bit_length()))
     place = F.pmod("at", F.lit(bits))
     part = hashes.select(F.floor(place / (bits // SLICES)).cast("int").alias("slice"), F.pmod(place, F.lit(bits // SLICES)).alias("bit"))
 
@@ -237,7 +246,8 @@ def hash_filter(hashes: DataFrame):
 def incidence(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     """(set, low, n, data): the sets of the wanted classes, made again from texts whose hash passes a filter.
 
-    ``wanted`` has low, n and at, the hash of a text of the class.  Each task gives a set once.
+    ``wanted`` has at, the hash of a text of each class.  Each task gives a set once.  The few others that pass the
+    filter are classes too, and go with the second count.
     """
     has = hash_filter(wanted)
 
@@ -257,23 +267,22 @@ def incidence(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=columns)
 
     columns = ["set", "low", "n", "data"]
-    made = docs.select(F.xxhash64(text).alias("at"), F.col(text).alias("text")).mapInPandas(tidy(task), "set binary, low long, n long, data binary")
-    return made.join(wanted.select("low", "n"), ["low", "n"], "left_semi").select(*columns)
+    return docs.select(F.xxhash64(text).alias("at"), F.col(text).alias("text")).mapInPandas(tidy(task), "set binary, low long, n long, data binary")
 
 
 def packed_sets(sets: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, data): whole sets as packed columns.  ``sets`` has low, n, data and last."""
+    """(bucket, data): whole sets as packed columns.  ``sets`` has low, n and data."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packer = Packer(buckets)
         for batch in batches:
-            for low, n, data, last in zip(batch["low"].tolist(), batch["n"].tolist(), batch["data"], batch["last"].tolist()):
-                packer.add(low, n, np.frombuffer(data, np.uint64), last)
+            for low, n, data in zip(batch["low"].tolist(), batch["n"].tolist(), batch["data"]):
+                packer.add(low, n, np.frombuffer(data, np.uint64))
                 if packer.held >= FLUSH:
                     yield packer.flush()
         yield packer.flush()
 
-    return sets.select("low", "n", "data", "last").mapInPandas(tidy(task), "bucket int, data binary")
+    return sets.select("low", "n", "data").mapInPandas(tidy(task), "bucket int, data binary")
 
 
 def rarest(counts: DataFrame, threshold: int) -> DataFrame:
@@ -450,9 +459,9 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     # A text stands for each class: the one with the least hash.
     stands = materialize(each.where("n > 0").join(some, ["low", "n"], "left_semi").groupBy("set", "low", "n").agg(F.min("at").alias("at")), "stands")
     sets = materialize(incidence(docs, stands, text), "incidence")
-    core = materialize(rarest(counted(packed_sets(sets.withColumn("last", F.lit(0)), buckets), threshold), threshold), "core")
-    marked = sets.join(core, ["low", "n"], "left").withColumn("last", F.coalesce("last", F.lit(-1)))
-    edges = materialize(chained(packed_sets(marked, buckets), threshold), "chains")
+    counts = materialize(counted(packed_sets(sets, buckets), threshold), "counts")
+    marks = counts.select("bucket", "low").distinct().join(rarest(counts, threshold).select("low", "last"), "low")
+    edges = materialize(chained(packed_sets(sets, buckets), marks, threshold), "chains")
     blocks = materialize(connected_components(edges), "blocks")
     member = sets.select("set", "low", "n").distinct().join(blocks.select(F.col("node").alias("low"), F.col("label").alias("block")), "low")
     size = member.groupBy("block").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).where("rows > 1")
@@ -470,5 +479,5 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     named = label.join(label.groupBy("label").agg(F.min("id").alias("component_id")), "label").select("set", "component_id")
     linked = each.where("n > 0").join(named, "set").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
     out = materialize(linked.unionByName(each.where("n = 0").select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_shingles"), F.col("id").alias("component_id"))), "components")
-    forget(docs.sparkSession, found, stands, sets, core, edges, blocks, member, roots)
+    forget(docs.sparkSession, found, stands, sets, counts, edges, blocks, member, roots)
     return out
