@@ -19,10 +19,14 @@ BATCH_ROWS = 1000
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (local tests) a temporary folder is made and recorded in the session.
+    Only where the setting is absent in local mode (tests) a temporary folder is made and recorded in the session; a
+    cluster without it is an error, as its machines share no temporary folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
