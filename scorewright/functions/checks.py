@@ -14,6 +14,7 @@ CONJUNCTIONS = ["and", "but", "for", "nor", "or", "so", "yet"]
 PRONOUNS = ["i", "me", "my", "mine", "myself", "we", "us", "our", "ours", "ourselves", "you", "your", "yours", "yourself", "yourselves", "he", "him", "his", "himself", "she", "her", "hers", "herself", "it", "its", "itself", "they", "them", "their", "theirs", "themselves"]
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "that", "the", "to", "was", "were", "will", "with"]
 VOWELS = ["a", "e", "i", "o", "u"]
+EMOJI = r"[\x{1F000}-\x{1FAFF}\x{2300}-\x{23FF}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}]"
 PRIMES = [p for p in range(2, 100) if all(p % q for q in range(2, p))]
 
 
@@ -74,6 +75,73 @@ def nesting(text: Column, need: int = 5) -> Column:
     return F.aggregate(marks, start, step)["ok"]
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """The function of a value that is made once and not anew for each element of its lambdas."""
+    return F.transform(F.array(value), f)[0]
+
+
+def alliteration(sentence: Column) -> Column:
+    """Words of the sentence whose neighbour starts with the same letter."""
+    words = F.filter(F.transform(tokens(F.lower(sentence)), lambda w: F.regexp_replace(w, f"^{PUNCTUATION}+", "")), lambda w: w != "")
+    beside = lambda a: F.size(F.filter(F.transform(a, lambda x, i: (F.get(a, i - 1) == x) | F.coalesce(F.get(a, i + 1) == x, F.lit(False))), lambda x: x))
+    return bound(F.transform(words, lambda w: F.substring(w, 1, 1)), beside)
+
+
+def nested_quotes(text: Column, need: int = 3) -> Column:
+    """Quotes of two kinds nest, and ``need`` levels below the deepest point are closed."""
+    marks = F.regexp_extract_all(text, F.lit("[\"']"), F.lit(0))
+    start = F.struct(F.lit("").alias("open"), F.lit(0).alias("deepest"), F.lit(False).alias("ok"))
+
+    def step(s: Column, c: Column) -> Column:
+        closes = F.right(s["open"], F.lit(1)) == c
+        left = F.when(closes, F.substr(s["open"], F.lit(1), F.char_length(s["open"]) - 1)).otherwise(F.concat(s["open"], c))
+        deepest = F.greatest(s["deepest"], F.char_length(left))
+        return F.struct(left.alias("open"), deepest.alias("deepest"), (s["ok"] | (closes & (s["deepest"] - F.char_length(left) >= need))).alias("ok"))
+
+    return F.aggregate(marks, start, step)["ok"]
+
+
+def emoji_sentences(text: Column) -> Column:
+    """Each sentence ends with an emoji, or the next one begins with one."""
+    plain = F.transform(sentences(text), lambda s: F.trim(F.regexp_replace(s, PUNCTUATION, "")))
+    fits = lambda a, b: (a != "") & (a.rlike(f"(?s){EMOJI}.?$") | F.coalesce(b.rlike(f"^{EMOJI}"), F.lit(False)))
+    return bound(plain, lambda p: F.forall(F.zip_with(p, F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))), fits), lambda x: x))
+
+
+def choice_questions(text: Column, questions: int = 4, options: int = 5) -> Column:
+    """So many questions, each with so many options and a longer text than the one before it."""
+    option = r"[A-Ea-e][.|)]\s*\w"
+    blocks = F.filter(F.transform(F.split(text, r"\n*Question \d+[.|):;]?\s*"), lambda q: F.trim(F.regexp_replace(q, r"^\s+|\s+$", ""))), lambda q: q != "")
+    counted = lambda q: F.size(F.filter(F.split(q, "\n"), lambda x: F.trim(x).rlike("^" + option)))
+    asked = lambda q: F.char_length(F.trim(F.array_join(F.transform(F.split(F.split(q, rf"(?m)^[ \t]*{option}")[0], "\n"), F.trim), " ")))
+    return bound(blocks, lambda b: text.startswith("Question") & (F.size(b) == questions) & F.forall(b, lambda q: counted(q) == options) & pairwise(F.transform(b, asked), lambda x, y: x < y))
+
+
+def csv_rows(text: Column, separator: str) -> Column:
+    """Fields of each line, separators within quotes aside."""
+    return F.transform(F.split(F.regexp_replace(text, r"\n$", ""), "\n"), lambda x: F.split(x, separator + r'(?=(?:[^"]*"[^"]*")*[^"]*$)', -1))
+
+
+def special_csv(text: Column, rows: int = 15, header: tuple[str, ...] = ("ProductID", "Category", "Brand", "Price", "Stock")) -> Column:
+    """A table of five columns in which a quoted field holds a special character, before any row of another width."""
+    names = ",[ \\t]*".join(f'(?:{h}|"{h}")' for h in header)
+    marked = lambda r: F.exists(r, lambda f: f.rlike(r'^".*[^\d\w\s].*"'))
+
+    def fits(table: Column) -> Column:
+        body = F.slice(table, F.lit(2), F.greatest(F.size(table) - 1, F.lit(0)))
+        states = F.transform(body, lambda r: F.when(F.size(r) != 5, "wide").when(marked(r), "marked").otherwise("plain"))
+        return (F.size(table) == rows) & (F.get(F.array_remove(states, "plain"), F.lit(0)) == "marked")
+
+    return F.trim(F.split(text, "\n")[0]).rlike(f"^{names}$") & F.coalesce(bound(csv_rows(text, ","), fits), F.lit(False))
+
+
+def quoted_csv(text: Column, rows: int = 4, header: tuple[str, ...] = ("StudentID", "Subject", "Grade", "Semester", "Score")) -> Column:
+    """A table with tabs, all of whose fields stand in quotes."""
+    names = "\\t *".join(f'(?:{h}|"{h}")' for h in header)
+    fits = lambda table: (F.size(table) == rows) & F.forall(table, lambda r: (F.size(r) == 5) & F.forall(r, lambda f: F.trim(f).rlike('^"(.*")?$')))
+    return F.trim(F.split(text, "\n")[0]).rlike(f"^{names}$") & bound(csv_rows(text, "\t"), fits)
+
+
 #: Checks by name; each takes the response and its parameters.
 CHECKS: dict[str, Callable[..., Column]] = {
     "word_count_range": lambda t, low=50, high=400: F.size(tokens(t)).between(low, high),
@@ -125,6 +193,13 @@ CHECKS: dict[str, Callable[..., Column]] = {
     "reverse_sorted_lines": lambda t, n=52: (F.size(lines(t)) >= n) & pairwise(F.transform(lines(t), F.lower), lambda a, b: a >= b),
     "title_case": lambda t: F.forall(F.filter(tokens(t), lambda w: w.rlike("[A-Za-z]")), lambda w: w == F.initcap(w)),
     "output_template": lambda t, heads=("My Answer:", "My Conclusion:", "Future Outlook:"): reduce(lambda a, h: a & t.contains(h), heads, F.lit(True)),
+    "incrementing_alliteration": lambda t: pairwise(F.transform(sentences(t), alliteration), lambda a, b: a < b),
+    "nested_quotes": nested_quotes,
+    "emoji_sentences": emoji_sentences,
+    "choice_questions": choice_questions,
+    "reversed_words": lambda t, phrase="bald eagle": F.array_join(F.reverse(tokens(F.regexp_replace(F.lower(t), PUNCTUATION, ""))), " ").contains(phrase),
+    "special_csv": special_csv,
+    "quoted_csv": quoted_csv,
     "no_whitespace": lambda t: ~t.rlike(r"\s"),
 }
 

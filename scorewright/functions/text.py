@@ -91,14 +91,40 @@ def _trimmed(a: list, b: list) -> tuple[list, list, int]:
     return a[start : len(a) - end], b[start : len(b) - end], start + end
 
 
+def _places(words: list) -> dict:
+    """Positions of each word as bits of one number."""
+    places: dict = {}
+    for i, w in enumerate(words):
+        places[w] = places.get(w, 0) | 1 << i
+    return places
+
+
 def _edits(a: list, b: list) -> int:
+    """Edit distance; a column of the table of distances is held as the bits of its rises and falls."""
     a, b, _ = _trimmed(a, b)
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        diagonal, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
-    return row[-1]
+    if not a:
+        return len(b)
+    places, every, last, distance = _places(a), (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
+    rises, falls = every, 0
+    for w in b:
+        same = places.get(w, 0)
+        level = (((same & rises) + rises) ^ rises) | same
+        up, down = falls | ~(level | rises) & every, rises & level
+        distance += (1 if up & last else 0) - (1 if down & last else 0)
+        up, down, same = (up << 1 | 1) & every, down << 1 & every, same | falls
+        rises, falls = down | ~(same | up) & every, up & same
+    return distance
+
+
+def _common(a: list, b: list) -> int:
+    """Length of the longest common subsequence, a row of its table held as bits."""
+    a, b, kept = _trimmed(a, b)
+    places, every = _places(a), (1 << len(a)) - 1
+    row = every
+    for w in b:
+        hit = row & places.get(w, 0)
+        row = (row + hit | row - hit) & every
+    return kept + len(a) - row.bit_count()
 
 
 @F.pandas_udf(T.IntegerType())
@@ -110,14 +136,4 @@ def word_edits(a: pd.Series, b: pd.Series) -> pd.Series:
 @F.pandas_udf(T.IntegerType())
 def common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
     """Words of the longest common subsequence of two texts."""
-
-    def length(x: list, y: list) -> int:
-        x, y, same = _trimmed(x, y)
-        row = [0] * (len(y) + 1)
-        for u in x:
-            diagonal = 0
-            for j, v in enumerate(y, 1):
-                diagonal, row[j] = row[j], diagonal + 1 if u == v else max(row[j], row[j - 1])
-        return row[-1] + same
-
-    return pd.Series([length((x or "").split(), (y or "").split()) for x, y in zip(a, b)])
+    return pd.Series([_common((x or "").split(), (y or "").split()) for x, y in zip(a, b)])
