@@ -7,16 +7,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scorewright.llm import jaccard_join, language_id, mixing, packing, pii, quality, secret_scan, token_file, topk, url_filter
+from scorewright.llm import alignment, filter_audit, jaccard_join, language_id, line_dedup, mixing, packing, pii, quality, secret_scan, token_file, topk, url_filter
 
 
-def tokenizer_path() -> str:
-    """Where the public vocabulary lies; TOKENIZER_FILE names another place."""
-    if path := os.environ.get("TOKENIZER_FILE"):
+def tokenizer_path(name: str = "byte_bpe_50k.json", variable: str = "TOKENIZER_FILE") -> str:
+    """Where a public vocabulary lies; TOKENIZER_FILE (PIECE_FILE for the second one of op12) names another place."""
+    if path := os.environ.get(variable):
         return path
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 #: Rules of op5: host, path, verdict.
@@ -86,8 +86,21 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model", "PIECE_FILE"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_best_fit_packing, op2_source_mix, op3_language_id, op4_exact_topk, op5_url_filter, op6_quality_rules, op7_pii_pseudonyms, op8_token_file, op9_jaccard_join, op10_secret_scan)
+    named = (op1_best_fit_packing, op2_source_mix, op3_language_id, op4_exact_topk, op5_url_filter, op6_quality_rules, op7_pii_pseudonyms, op8_token_file, op9_jaccard_join, op10_secret_scan, op11_line_dedup, op12_cross_tokenizer, op13_filter_audit)
     return {f.__name__: f for f in named}
 
 
@@ -106,6 +119,34 @@ ORACLES = {
         m AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS verdict
               FROM p JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
         SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m ON p.page_id = m.page_id""",
+    "op11_line_dedup": r"""
+        WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+        k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        c AS (SELECT key, max(doc_id) AS owner FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+        m AS (SELECT k.*, c.key IS NOT NULL AND doc_id <> owner AS gone FROM k LEFT JOIN c ON k.key = c.key)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+        FROM m GROUP BY doc_id""",
+    "op13_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        b AS (SELECT part, CAST(len(w) < 50 AS INT) AS A, CAST(100 * len(list_distinct(w)) < 65 * len(w) AS INT) AS B,
+                     CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS INT) AS C, CAST(regexp_matches(t, '[#$%&*|]') AS INT) AS D,
+                     CAST(doc_id > min(doc_id) OVER (PARTITION BY t) AS INT) AS E, CAST(coalesce(quality = 1, false) AS INT) AS good, CAST(coalesce(toxic = 1, false) AS INT) AS toxic
+              FROM d LEFT JOIN labels USING (doc_id)),
+        f AS (SELECT part, A + 2 * B + 4 * C + 8 * D + 16 * E AS bits, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM b GROUP BY ALL),
+        x AS (SELECT unnest([1, 2, 4, 8, 16]) AS bit, unnest(['A', 'B', 'C', 'D', 'E']) AS letter),
+        o AS (SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits5
+              FROM x a, x b, x c, x d, x e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+        s AS (SELECT filter_order, CAST(i AS INT) AS step, bits5[i] AS bit, CAST(coalesce(list_sum(bits5[:i - 1]), 0) AS INT) AS before FROM o, unnest(range(1, 6)) r(i)),
+        p AS (SELECT f.part, filter_order, step, bit,
+                     sum(CASE WHEN bits & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+                     sum(CASE WHEN bits & before = 0 AND bits & bit <> 0 THEN n ELSE 0 END) AS removed,
+                     sum(CASE WHEN bits & before <> 0 AND bits & bit <> 0 THEN n ELSE 0 END) AS redundant,
+                     sum(CASE WHEN bits = bit THEN n ELSE 0 END) AS unique_fails,
+                     sum(CASE WHEN bits & before = 0 AND bits & bit <> 0 THEN good ELSE 0 END) AS good_lost,
+                     sum(CASE WHEN bits & before = 0 AND bits & bit <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+              FROM f, s GROUP BY ALL)
+        SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+               CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM p""",
 }
 
 
