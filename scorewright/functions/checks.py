@@ -117,9 +117,20 @@ def choice_questions(text: Column, questions: int = 4, options: int = 5) -> Colu
     return bound(blocks, lambda b: text.startswith("Question") & (F.size(b) == questions) & F.forall(b, lambda q: counted(q) == options) & pairwise(F.transform(b, asked), lambda x, y: x < y))
 
 
+def csv_fields(line: Column, separator: str) -> Column:
+    """Fields of a line: a separator counts where an even number of quotes follows it."""
+    # Cut at quotes, the pieces between which a separator counts are every second one from the end.  They are joined
+    # again with each quote and each separator that counts written as a quote and a letter, which no piece holds.
+    def encoded(pieces: Column) -> Column:
+        mark = lambda x, i: F.when(F.pmod(F.size(pieces) - i, F.lit(2)) == 1, F.replace(x, F.lit(separator), F.lit('"s'))).otherwise(x)
+        return F.array_join(F.transform(pieces, mark), '"q')
+
+    return F.transform(F.split(bound(F.split(line, '"', -1), encoded), '"s', -1), lambda f: F.replace(f, F.lit('"q'), F.lit('"')))
+
+
 def csv_rows(text: Column, separator: str) -> Column:
     """Fields of each line, separators within quotes aside."""
-    return F.transform(F.split(F.regexp_replace(text, r"\n$", ""), "\n"), lambda x: F.split(x, separator + r'(?=(?:[^"]*"[^"]*")*[^"]*$)', -1))
+    return F.transform(F.split(F.regexp_replace(text, r"\n$", ""), "\n"), lambda x: csv_fields(x, separator))
 
 
 def special_csv(text: Column, rows: int = 15, header: tuple[str, ...] = ("ProductID", "Category", "Brand", "Price", "Stock")) -> Column:
@@ -205,9 +216,9 @@ CHECKS: dict[str, Callable[..., Column]] = {
 
 
 def strict(response: Column, name: str, **parameters) -> Column:
-    """Unknown checks pass, blank responses fail."""
+    """Blank responses fail; a name that is no check is an error."""
     if name not in CHECKS:
-        return F.lit(True)
+        raise ValueError(f"no check is named {name}")
     return F.coalesce((F.trim(F.regexp_replace(response, r"\s+", " ")) != "") & CHECKS[name](response, **parameters), F.lit(False))
 
 

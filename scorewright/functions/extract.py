@@ -26,11 +26,27 @@ def think(text: Column, end: str = "</think>") -> Column:
 
 
 def boxed(text: Column) -> Column:
-    """Content of the last ``\\boxed{..}``, braces nested up to three deep."""
-    flat = r"[^{}]*"
-    for _ in range(3):
-        flat = r"(?:[^{}]|\{" + flat + r"\})*"
-    return last_match(text, r"\\boxed\{(" + flat + r")\}")
+    """Content of the ``\\boxed{..}`` that closes last, with braces nested to any depth; one that never closes counts for nothing.
+
+    The text is cut at its braces and the depth is carried along, as Java matches repeated groups by recursion.
+    """
+    parts = F.regexp_extract_all(text, F.lit(r"\\boxed\{|[{}]|[^{}\\]+|\\"), F.lit(0))
+    # open: (place, depth) of boxes not closed yet, the latest last; found: first and last part of the content.
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), F.array().cast("array<struct<i:int,depth:int>>").alias("open"), F.lit(0).alias("first"), F.lit(-2).alias("last"))
+
+    def step(s: Column, part: Column) -> Column:
+        i, depth, inner = s["i"] + 1, s["depth"], F.element_at(s["open"], -1)
+        box, inside = part == "\\boxed{", F.size(s["open"]) > 0
+        closes = inside & (part == "}") & (F.try_element_at(s["open"], F.lit(-1))["depth"] == depth)
+        deeper = F.when(box | (inside & (part == "{")), depth + 1).when(inside & (part == "}"), depth - 1).otherwise(depth)
+        opened = F.when(box, F.concat(s["open"], F.array(F.struct(i.alias("i"), (depth + 1).alias("depth"))))).when(closes, F.slice(s["open"], F.lit(1), F.size(s["open"]) - 1)).otherwise(s["open"])
+        return F.struct(i.alias("i"), deeper.alias("depth"), opened.alias("open"), F.when(closes, inner["i"] + 1).otherwise(s["first"]).alias("first"), F.when(closes, i - 1).otherwise(s["last"]).alias("last"))
+
+    def content(parts: Column) -> Column:
+        at = F.transform(F.array(F.aggregate(parts, start, step)), lambda s: F.when(s["last"] >= s["first"] - 1, F.array_join(F.slice(parts, F.greatest(s["first"], F.lit(1)), F.greatest(s["last"] - s["first"] + 1, F.lit(0))), "")))
+        return at[0]
+
+    return F.when(text.contains("\\boxed{"), F.transform(F.array(parts), content)[0])
 
 
 def curly(text: Column) -> Column:

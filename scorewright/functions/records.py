@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from scorewright.functions.extract import last_match
 from scorewright.functions.text import collapse, tokens
@@ -35,6 +35,37 @@ def within_budget(text: Column, budget: int, head: float = 0.7, mark: str = " ..
     return F.when(F.size(words) > budget, cut).otherwise(text)
 
 
+def _middle_out(words: Column, budget: Column, head: float, mark: str) -> Column:
+    """The words' first and last ones around a mark, ``budget`` with the mark's own; hardly any room keeps the last 16."""
+    room = F.greatest(F.lit(2), budget - len(mark.split()))
+    first = F.greatest(F.lit(1), F.floor(room * head).cast("int"))
+    last = F.greatest(F.lit(1), room - first)
+    cut = F.concat(F.array_join(F.slice(words, F.lit(1), first), " "), F.lit(mark), F.array_join(F.slice(words, -F.least(last, F.size(words)), last), " "))
+    return F.when(budget <= 16, F.array_join(F.slice(words, -F.least(F.lit(16), F.size(words)), F.lit(16)), " ")).otherwise(cut)
+
+
+def shared_budget(df: DataFrame, reference: str, prediction: str, question: str, budget: int, head: float = 0.7) -> DataFrame:
+    """The three columns cut in the middle so that their words together keep to one budget.
+
+    The question takes up to a fifth, the reference half of the rest, and the prediction what is then left; what it does
+    not need goes to the reference.  Texts that fit together, and all texts for a budget of 0 or less, stay as they are;
+    null texts are empty.  Shares of 16 words or fewer are last words only.
+    """
+    if budget <= 0:
+        return df
+    names = (reference, prediction, question)
+    df = df.withColumns({f"_w{i}": tokens(F.coalesce(F.col(c), F.lit(""))) for i, c in enumerate(names)})
+    ref, pred, ask = (F.size(f"_w{i}") for i in range(3))
+    fits = ref + pred + ask <= budget
+    q = F.least(ask, F.lit(max(8, int(budget * 0.2))))
+    rest = F.greatest(F.lit(2), F.lit(budget) - q)
+    p = F.least(pred, rest - F.least(ref, F.floor(rest / 2).cast("int")))
+    r = F.least(ref, rest - p)
+    shares = ((ref, r, 0.5, "reference"), (pred, p, head, "prediction"), (ask, q, 0.5, "question"))
+    cut = {c: F.when(fits | (n <= share), F.col(c)).otherwise(_middle_out(F.col(f"_w{i}"), share, ratio, f"\n...[{what} truncated]...\n")) for i, (c, (n, share, ratio, what)) in enumerate(zip(names, shares, strict=True))}
+    return df.withColumns(cut).drop("_w0", "_w1", "_w2")
+
+
 def budgeted_items(items: Column, n: int | None) -> Column:
     """None or 0 drops all items, a positive number keeps the first, a negative one all."""
     if not n:

@@ -7,7 +7,8 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-ARTICLES = r"\b(a|an|the)\b"
+#: Word edges are written out: what \b means differs between Java versions.
+ARTICLES = r"(?<![\p{L}\p{N}_])(a|an|the)(?![\p{L}\p{N}_])"
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from scorewright.operators.ordinals import with_ordinals
 
 
 def concatenate(parts: dict[str, DataFrame]) -> DataFrame:
@@ -74,17 +76,8 @@ def shards(df: DataFrame, order: str, world: int) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: str, name: str = "ordinal") -> DataFrame:
-    """Ordinals from 0 in the order of a numeric column, without a window over all rows.
-
-    Rows fall into a fixed number of value ranges; a window numbers each range and the ranges' totals are summed up.
-    """
-    slices = 256
-    low, high = df.agg(F.min(order).alias("a"), F.max(order).alias("b")).first()
-    width = max(((high or 0) - (low or 0)) / slices, 1e-9)
-    cut = df.withColumn("_slice", F.least(F.floor((F.col(order) - F.lit(low or 0)) / width), F.lit(slices - 1)).cast("int"))
-    totals = cut.groupBy("_slice").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row for each slice
-    inside = F.row_number().over(W.partitionBy("_slice").orderBy(order)) - 1
-    return cut.withColumn("_at", inside).join(F.broadcast(totals), "_slice").withColumn(name, F.col("_base") + F.col("_at")).drop("_slice", "_at", "_base")
+    """Ordinals from 0 in the order of a column, without a window over all rows; nulls come first."""
+    return with_ordinals(df, [order], name=name)
 
 
 def null_policy(df: DataFrame, prediction: str, policy: str = "miss", fallback: str = "") -> DataFrame:

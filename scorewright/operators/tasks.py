@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from scorewright.operators.ordinals import ordinal_join
+
 #: Suffixes of leaderboard columns that are derived from a benchmark and are none themselves.
 DERIVED = ("__runtime_inference", "__latency", "__benchmark_time", "__throughput", "__coverage")
 
@@ -53,10 +55,7 @@ def instances_by_record(records: DataFrame, instances: DataFrame, key: str, orde
 
 def merged_metrics(records: DataFrame, scores: DataFrame, group: str, order: str) -> DataFrame:
     """Records with scores by position in their group; a group whose lengths differ keeps no score."""
-    place = W.partitionBy(group).orderBy(order)
-    left = records.withColumn("_at", F.row_number().over(place)).withColumn("_n", F.count("*").over(W.partitionBy(group)))
-    right = scores.withColumn("_at", F.row_number().over(place)).withColumn("_n", F.count("*").over(W.partitionBy(group))).drop(order)
-    return left.join(right, [group, "_at", "_n"], "left").drop("_at", "_n")
+    return ordinal_join(records, scores, [group], [order])
 
 
 def eligible(prediction: Column, label: Column) -> Column:
@@ -127,8 +126,8 @@ def percentage(part: Column, whole: Column, default: float = 0.0) -> Column:
 
 
 def percent_text(value: Column) -> Column:
-    """A number written with or without a percent sign; the sign does not divide it."""
-    return F.try_to_number(F.regexp_replace(F.trim(value), "%$", ""), F.lit("999999999.999999")).cast("double")
+    """A number written with or without a percent sign; the sign does not divide it, and what is no number is null."""
+    return F.trim(F.regexp_replace(F.trim(value), "%$", "")).try_cast("double")
 
 
 def picked_metric(metrics: Column, names: tuple[str, ...] = ("overall", "all", "average", "avg")) -> Column:

@@ -42,7 +42,9 @@ def by_category(df: DataFrame, **named: Column) -> DataFrame:
 
 # Parts of the SQL side: text helpers over a column expression.
 def _squad(x: str) -> str:
-    return rf"trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), '[!-/:-@\[-`{{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))"
+    # Articles go in two passes, as a match takes the character on either side along.
+    plain, article = rf"regexp_replace(lower({x}), '[!-/:-@\[-`{{-~]', '', 'g')", r"'(^|[^\p{L}\p{N}_])(a|an|the)($|[^\p{L}\p{N}_])', '\1 \3', 'g'"
+    return rf"trim(regexp_replace(regexp_replace(regexp_replace({plain}, {article}), {article}), '\s+', ' ', 'g'))"
 
 
 def _toks(x: str) -> str:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from scorewright.storage import shared_folder
+
 
 def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     """Files of a folder as a stream; the schema is given, as streams infer none."""
@@ -21,7 +23,19 @@ def throughput(stream: DataFrame, time: str, window: str, slide: str | None = No
 
 
 def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a bounded stream to its end into a memory table, for tests and small reports."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Run a bounded stream to its end into a table of the shared folder.
+
+    Each batch is written under its number, so that a batch that is tried again replaces itself; in complete mode the
+    last one is the whole result.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+    path, done = shared_folder(spark, name), []
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{number}")
+        done.append(number)
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{path}/_progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    parts = [f"{path}/{n}" for n in ([max(done)] if mode == "complete" and done else sorted(set(done)))]
+    return spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)

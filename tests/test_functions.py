@@ -105,7 +105,8 @@ def test_checks(spark, name, text, parameters, ok):
 def test_loose_and_unknown_checks(spark):
     assert one(spark, checks.strict(F.lit("Sure!\n**abc**"), "no_whitespace")) is False
     assert one(spark, checks.loose(F.lit("Sure!\n**abc**"), "no_whitespace")) is True
-    assert one(spark, checks.strict(F.lit("x"), "no such check")) is True
+    with pytest.raises(ValueError):
+        checks.strict(F.lit("x"), "no such check")
 
 
 @pytest.mark.parametrize("ab, ba, w", [(None, None, "tie"), ("A", None, "A"), (None, "B", "A"), ("A", "B", "A"), ("B", "A", "B"), ("A", "A", "tie")])
