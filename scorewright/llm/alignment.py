@@ -1,8 +1,8 @@
 """Cross-tokenizer alignment: where two tokenizers cut a text at the same byte, and how often their ids meet there.
 
 Tokens of A (byte-level BPE of space+text) and of B (sentencepiece, which adds that space) are cut into groups at the byte
-offsets where tokens of both end.  Distinct groups of ids are interned: first within a block of documents, then over the
-corpus.  Links of ids are expanded once for each distinct group and multiplied by its frequency; the counts come back to
+offsets where tokens of both end.  Distinct groups of ids are interned: first within a block of documents, by 64-bit
+hashes, then over the corpus by the ids themselves.  Links of ids are expanded once for each distinct group and multiplied by its frequency; the counts come back to
 the blocks by group key, and a block's own dictionary turns them into figures of its documents.  So what is shuffled is
 one row for each distinct group of a block and two or three bytes for each group of a document, never texts or pairs.
 """
@@ -10,8 +10,8 @@ one row for each distinct group of a block and two or three bytes for each group
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -19,109 +19,128 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from scorewright.llm._shared import materialize, short_batches, text_or_empty, tidy
-from scorewright.llm.tokens import _ragged, text_slices
+from scorewright.llm.tokens import Encoder, _ragged, text_slices
 
-#: Characters of the documents of one block (a longer document is a block of its own), and stretches a task keeps.
-BLOCK_CHARS, KEPT = 32_000_000, 600_000
+#: Characters of the documents of one block (a longer document is a block of its own), and groups a task keeps.
+BLOCK_CHARS, KEPT = 8_000_000, 200_000
 BLOCKS_A_TASK = 1 << 24
-#: A stretch begins with the space after a character that is not white space; neither tokenizer has a token across it.
-_CUT, _GLUED = re.compile(r"(?<=\S) "), re.compile(r"\s ")
+#: Bytes are written by a byte-level vocabulary as characters: printable ones stand for themselves, others from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_OF = {(chr(b) if b in _PRINTABLE else chr(256 + sum(x not in _PRINTABLE for x in range(b)))): b for b in range(256)}
+#: White space in the widest sense; texts are only cut after other characters.
+WHITE = np.array([p for p in range(0x3001) if chr(p).isspace()], np.uint32)
+_VALUE = np.random.default_rng(20240307).integers(1, 2**63, (2, 1 << 16), dtype=np.uint64) | np.uint64(1)
 ENCODED = "block long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, steps array<int>, code int, grp string, freq long"
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-class Aligner:
-    """Groups of whole texts; each distinct stretch between spaces is encoded once."""
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
 
-    def __init__(self, path_a: str, path_b: str) -> None:
+
+class PieceEncoder(Encoder):
+    """Ids of texts that begin with the space which sentencepiece adds.
+
+    A text is cut at each space after a character that is no white space, and each distinct stretch is encoded once: no
+    piece has a space after other characters, so none spans two stretches.  With such a piece texts are encoded whole.
+    """
+
+    def __init__(self, path: str) -> None:
         import sentencepiece
-        from tokenizers import Tokenizer
-
-        self.a, self.b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.a.encode_special_tokens = True
-        pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
-        raw = lambda i, p: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
-        self.bytes_b = [raw(i, p) for i, p in enumerate(pieces)]
-        self.length_b = np.array([len(x) for x in self.bytes_b], np.int64)
-        vocabulary = self.a.get_vocab(with_added_tokens=True)
-        self.length_a = np.zeros(max(vocabulary.values()) + 1, np.int64)  # each character of a token stands for one byte
-        for token, i in vocabulary.items():
-            self.length_a[i] = len(token)
-        # A piece with a space after other characters would span two stretches; then texts are not cut.
+
+        self.model, self.specials = sentencepiece.SentencePieceProcessor(model_file=path), {}
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.vocab_size())]
+        self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.lone_space = self.b.piece_to_id("▁")
-        self.groups: dict[str, int] = {}
-        self.names: list[str] = []
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.text_of: list[str | None] = []  # None: the bytes of the tokens differ from the text
-        self.n_a = self.n_b = self.n_groups = self.start = self.codes = np.empty(0, np.int64)
-        self.bad: set[str] = set()
-
-    def forget(self) -> None:
-        """To be called between blocks: frees stretches and group numbers if there are many."""
-        if len(self.known) > KEPT or len(self.groups) > KEPT:
-            self.groups, self.names = {}, []
-            self._forget()
-
-    def stretches(self, text: str) -> list[str]:
-        """Parts of space+text, each without its first space."""
-        if not self.cuts:
-            return [text]
-        return _CUT.split(text) if text[:1] == " " or _GLUED.search(text) else text.split(" ")
-
-    def learn(self, new: list[str]) -> None:
-        a = [e.ids for e in self.a.encode_batch([" " + w for w in new], add_special_tokens=False)]
-        b = [ids if w else [self.lone_space] for w, ids in zip(new, self.b.encode(new, num_threads=1), strict=True)]
-        sizes = np.fromiter((len(w.encode()) + 1 for w in new), np.int64, len(new))
-        same = [b"".join([self.bytes_b[i] for i in ids]) == (" " + w).encode() for w, ids in zip(new, b, strict=True)]
-        n_a, n_b = np.fromiter(map(len, a), np.int64, len(a)), np.fromiter(map(len, b), np.int64, len(b))
-        flat_a, flat_b = np.concatenate([np.array(x, np.int64) for x in a]), np.concatenate([np.array(x, np.int64) for x in b])
-        edge_a = np.concatenate(([0], np.cumsum(np.bincount(np.repeat(np.arange(len(new)), n_a), self.length_a[flat_a], len(new)))))
-        good = np.array(same) & (np.diff(edge_a) == sizes)
-        for i in np.flatnonzero(~good):
-            a[i], b[i] = [], []
-        self.bad.update(new[i] for i in np.flatnonzero(~good))
+        self.lone_space = self.model.piece_to_id("▁")
+        self._reset()
+
+    def _starts(self, points: np.ndarray, first: np.ndarray) -> np.ndarray:
+        begins = np.zeros(len(points), bool)
+        if self.cuts:
+            begins[1:] = (points[1:] == 32) & ~np.isin(points[:-1], WHITE)
+        begins[first] = True
+        return np.flatnonzero(begins)
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        ids = [x or [self.lone_space] for x in self.model.encode([w[1:] for w in words], num_threads=1)]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+        place = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, place, hashes)
+        self.start = np.insert(self.start, place, len(self.flat) + np.cumsum(lengths) - lengths)
+        self.length = np.insert(self.length, place, lengths)
+        self.flat = np.concatenate([self.flat, flat])
+
+
+class Aligner:
+    """Groups of whole texts, many at a time; groups get numbers in the order in which a task meets them."""
+
+    def __init__(self, path_a: str, path_b: str) -> None:
+        self.a, self.b = Encoder(path_a, specials_as_text=True), PieceEncoder(path_b)
+        bytes_a = [b""] * self.a.size
+        for token, i in self.a.tokenizer.get_vocab(with_added_tokens=True).items():
+            bytes_a[i] = bytes(_BYTE_OF[c] for c in token) if all(c in _BYTE_OF for c in token) else token.encode()
+        self.bytes = [(np.frombuffer(b"".join(t), np.uint8), np.array([len(x) for x in t], np.int64)) for t in (bytes_a, self.b.bytes)]
+        self.length_a, self.length_b = self.bytes[0][1], self.bytes[1][1]
+        self.forget(0)
+
+    def forget(self, most: int = KEPT) -> None:
+        """To be called between blocks: numbers start anew if there are more than ``most``."""
+        if most == 0 or len(self.names) > most:
+            self.hashes, self.codes = np.empty(0, np.uint64), np.empty(0, np.int64)  # sorted hashes, and their numbers
+            self.names: list[str] = []
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of A, tokens a text, ids of B, tokens a text); texts whose bytes either side does not give back have none."""
+        spaced = [" " + t if t else "" for t in texts]
+        raw = [t.encode() for t in spaced]
+        want, ends = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(r) for r in raw])
+        out, good = [], np.ones(len(texts), bool)
+        for encoder, (flat, lengths) in zip((self.a, self.b), self.bytes, strict=True):
+            ids, n = encoder.encode(spaced)
+            ids = ids.astype(np.int64)
+            upto = np.concatenate(([0], np.cumsum(n)))
+            got = flat[_ragged((np.cumsum(lengths) - lengths)[ids], lengths[ids])]
+            if len(got) != len(want) or not np.array_equal(got, want) or not np.array_equal(np.concatenate(([0], np.cumsum(lengths[ids])))[upto[1:]], ends):
+                place = np.concatenate(([0], np.cumsum(lengths[ids])))[upto]
+                good &= np.array([got[p:q].tobytes() == r for p, q, r in zip(place[:-1], place[1:], raw, strict=True)], bool)
+            out.append((ids, n))
         if not good.all():
-            n_a, n_b = np.where(good, n_a, 0), np.where(good, n_b, 0)
-            flat_a, flat_b = np.array([i for x in a for i in x], np.int64), np.array([i for x in b for i in x], np.int64)
-        # Bytes of all good stretches one after another: both sides have the same edges there.
-        end_a, end_b = np.cumsum(self.length_a[flat_a]), np.cumsum(self.length_b[flat_b])
-        ends, at_a, at_b = np.intersect1d(end_a, end_b, assume_unique=True, return_indices=True)
-        at_a, at_b, ids_a, ids_b = (at_a + 1).tolist(), (at_b + 1).tolist(), list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-        names, i, j = [], 0, 0
-        for x, y in zip(at_a, at_b, strict=True):
-            names.append(",".join(ids_a[i:x]) + "|" + ",".join(ids_b[j:y]))
-            i, j = x, y
-        for name in names:
-            if name not in self.groups:
-                self.groups[name] = len(self.names)
-                self.names.append(name)
-        upto = np.concatenate(([0], np.searchsorted(ends, np.cumsum(np.where(good, sizes, 0)), "right")))
-        n = np.diff(upto)
-        base = len(self.known)
-        self.known.update((w, base + k) for k, w in enumerate(new))
-        self.text_of += [";".join(names[p:q]) for p, q in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
-        self.start = np.concatenate([self.start, len(self.codes) + upto[:-1]])
-        self.codes = np.concatenate([self.codes, np.fromiter(map(self.groups.__getitem__, names), np.int64, len(names))])
-        self.n_a, self.n_b, self.n_groups = (np.concatenate(p) for p in ((self.n_a, n_a), (self.n_b, n_b), (self.n_groups, n)))
+            out = [(ids[np.repeat(good, n)], np.where(good, n, 0)) for ids, n in out]
+        return *out[0], *out[1]
 
     def align(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
         """(tokens of A, of B, groups, text of groups) of each text, and the group numbers of all one after another."""
-        parts = [self.stretches(t) if t else [] for t in texts]
-        if new := list(set().union(*parts) - self.known.keys()):
-            self.learn(new)
-        if self.bad:
-            parts = [[] if not self.bad.isdisjoint(p) else p for p in parts]
-        ids = [[self.known[w] for w in p] for p in parts]
-        written = [";".join([self.text_of[i] for i in x]) for x in ids]
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.int64, int(count.sum()))
-        upto = np.concatenate(([0], np.cumsum(count)))
-        total = lambda v: np.diff(np.concatenate(([0], np.cumsum(v[flat])))[upto])
-        return total(self.n_a), total(self.n_b), total(self.n_groups), written, self.codes[_ragged(self.start[flat], self.n_groups[flat])]
+        ids_a, n_a, ids_b, n_b = self.encode(texts)
+        # Bytes of all texts one after another: both sides have the same edges between texts.
+        end_a, end_b = np.cumsum(self.length_a[ids_a]), np.cumsum(self.length_b[ids_b])
+        cut = np.zeros(int(end_a[-1]) + 1 if len(end_a) else 1, bool)
+        cut[end_a] = True
+        last_b = np.flatnonzero(cut[end_b])
+        last_a = np.searchsorted(end_a, end_b[last_b])
+        sides = []
+        for ids, last, salt in ((ids_a, last_a, 0), (ids_b, last_b, 1)):
+            first = np.concatenate(([0], last[:-1] + 1)) if len(last) else last
+            # A group's hash sums up its ids, each turned by its place in the group.
+            place = np.arange(len(ids)) - np.repeat(first, last - first + 1)
+            value = _mixed(_VALUE[salt][ids & 0xFFFF] + (ids >> 16).astype(np.uint64) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value)))
+            sides.append((first, last + 1, run[last + 1] - run[first]))
+        h = _mixed(sides[0][2] * np.uint64(0xD1342543DE82EF95) + sides[1][2])
+        kinds, at, which = np.unique(h, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.hashes, kinds)
+        new = np.flatnonzero(self.hashes[np.minimum(place, len(self.hashes) - 1)] != kinds) if len(self.hashes) else np.arange(len(kinds))
+        for g in at[new].tolist():
+            self.names.append("|".join(",".join(map(str, ids[first[g] : end[g]].tolist())) for ids, (first, end, _) in zip((ids_a, ids_b), sides, strict=True)))
+        codes = np.arange(len(self.names) - len(new), len(self.names))
+        self.hashes, self.codes = np.insert(self.hashes, place[new], kinds[new]), np.insert(self.codes, place[new], codes)
+        flat = self.codes[np.searchsorted(self.hashes, kinds)][which] if len(kinds) else np.empty(0, np.int64)
+        upto = np.searchsorted(last_a, np.concatenate(([0], np.cumsum(n_a))) - 1, "right")
+        named, listed = self.names.__getitem__, flat.tolist()
+        written = [";".join(map(named, listed[p:q])) for p, q in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
+        return n_a, n_b, np.diff(upto), written, flat
 
 
 def _block_rows(block: int, keys: list, figures: list, codes: np.ndarray, names: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:

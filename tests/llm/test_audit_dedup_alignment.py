@@ -150,17 +150,19 @@ def test_alignment_query_and_empty(spark, sf, docs, none):
     assert alignment.align(none, tokenizer_path(), tokenizer_path("piece_bpe_32k.model")).count() == 0
 
 
-def test_aligner_keeps_nothing_between_many_blocks(docs):
+def test_aligner_starts_anew_between_blocks(docs):
     texts = [r.text for r in docs.limit(40).collect()]
     one = alignment.Aligner(tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
     whole = one.align(texts)[3]
     parts = []
     for text in texts:
-        parts += one.align([text])[3]
-        one.known |= dict.fromkeys(map(str, range(-alignment.KEPT - 1, 0)), 0)
-        one.forget()
-        assert not one.known and not one.names
+        *_, n, written, codes = one.align([text])
+        assert [len(codes)] == list(n) and ";".join(one.names[c] for c in codes) == written[0]
+        parts += written
+        one.forget(100)
+        assert len(one.names) <= 100 and len(one.names) == len(one.hashes) == len(one.codes)
     assert parts == whole
+    assert one.align([])[3] == [] and one.align([""])[3] == [""]
 
 
 # --- filters
