@@ -77,11 +77,11 @@ def audit(rows: DataFrame, filters: str = FILTERS) -> DataFrame:
             steps.append(("".join(order), i + 1, letter, bit, mask, mask | bit))
             mask |= bit
     steps = spark.createDataFrame(steps, "filter_order string, step int, letter string, bit int, before int, after int")
-    held = survivors(rows, filters)
-    masks = spark.range(full + 1).select(F.col("id").cast("int").alias("mask"))
+    held = materialize(survivors(rows, filters), "survivors")
     parts = held.where("mask = 0").select("part")
     every = parts.withColumn("mask", F.explode(F.sequence(F.lit(0), F.lit(full))))
     held = every.join(held, ["part", "mask"], "left").fillna(0, list(COUNTS))
+    held = materialize(held, "survivors")  # a row for each part and subset, read by each pair below
     side = lambda tag, *cs: held.select("part", F.col("mask").alias(tag), *[F.col(c).alias(f"{tag}_{c}") for c in cs])
     pairs = steps.join(side("before", *COUNTS), "before").join(side("after", *COUNTS), ["part", "after"])
     removed = F.col("before_docs") - F.col("after_docs")
