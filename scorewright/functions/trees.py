@@ -132,7 +132,8 @@ def _changes(a: Tree, b: Tree) -> np.ndarray:
     for i, (x, spans_x) in enumerate(kinds_a):
         for j, (y, spans_y) in enumerate(kinds_b):
             if spans_x == spans_y:
-                cost[i, j] = 0.0 if x == y else _edits(list(x), list(y)) / max(len(x), len(y))
+                # The shorter text is walked along, the longer one is held as bits.
+                cost[i, j] = 0.0 if x == y else _edits(*((x, y) if len(x) >= len(y) else (y, x))) / max(len(x), len(y))
     return cost[np.ix_(at_a, at_b)]
 
 
@@ -142,32 +143,64 @@ def _kinds(tree: Tree) -> tuple[list, np.ndarray]:
     return list(seen), at
 
 
+def _levels(tree: Tree) -> list[tuple[np.ndarray, ...]]:
+    """Key roots in groups that do not lie within each other, inner ones first, each group as flat arrays.
+
+    A group holds, one subtree after another: its nodes; where the forest before each node's subtree ends, and where the
+    node itself stands, among the columns (one more a subtree, for the empty forest); whether that forest is empty; the
+    place of each column in its subtree; and the number of the subtree.
+    """
+    level: dict[int, int] = {}
+    inside: list[tuple[int, int]] = []  # key roots that no later one has covered yet, with the highest level among them
+    for root in tree.roots:
+        most = 0
+        while inside and inside[-1][0] >= tree.first[root]:
+            most = max(most, inside.pop()[1])
+        level[root] = most + 1
+        inside.append((root, most + 1))
+    out = []
+    for k in range(1, max(level.values(), default=0) + 1):
+        nodes, ends, columns, whole, place, part, base = [], [], [], [], [], [], 0
+        for n, root in enumerate(r for r in tree.roots if level[r] == k):
+            mine = np.arange(tree.first[root], root + 1)
+            before = tree.first_of[mine] - mine[0]
+            nodes.append(mine)
+            ends.append(base + before)
+            columns.append(base + 1 + mine - mine[0])
+            whole.append(before == 0)
+            place.append(np.arange(len(mine) + 1))
+            part.append(np.full(len(mine) + 1, n))
+            base += len(mine) + 1
+        out.append(tuple(np.concatenate(x) for x in (nodes, ends, columns, whole, place, part)))
+    return out
+
+
 def distance(a: Tree, b: Tree) -> float:
-    """Least cost of turning one ordered tree into the other, key root by key root; rows of forests are numpy arrays."""
+    """Least cost of turning one ordered tree into the other, key root by key root of ``a`` and level by level of ``b``."""
     if not a.size or not b.size:
         return float(max(a.size, b.size))
+    if (a.labels, a.spans, a.first) == (b.labels, b.spans, b.first):
+        return 0.0
     change, trees = _changes(a, b), np.zeros((a.size, b.size))
-    for j in b.roots:
-        lj = b.first[j]
-        ends_b = b.first_of[lj : j + 1] - lj  # where the forest before each subtree ends
-        whole_b = ends_b == 0
-        index = np.arange(j - lj + 2, dtype=float)
-        for i in a.roots:
-            li = a.first[i]
-            forest = np.empty((i - li + 2, j - lj + 2))
-            forest[0] = index
+    apart = float(2 * (a.size + b.size + 1))  # more than any cost, so that one subtree's values never reach the next
+    levels = _levels(b)
+    for i in a.roots:
+        li = a.first[i]
+        for nodes, ends, columns, whole, place, part in levels:
+            shift = place + apart * part
+            forest = np.empty((i - li + 2, len(place)))
+            forest[0] = place
             for x in range(li, i + 1):
                 row, before = x - li + 1, a.first[x] - li
-                option = forest[before, ends_b] + trees[x, lj : j + 1]
+                option = forest[before, ends] + trees[x, nodes]
                 if before == 0:  # both are whole trees from the forest's left edge: a node may be changed
-                    option = np.where(whole_b, forest[row - 1, :-1] + change[x, lj : j + 1], option)
-                best = np.empty(j - lj + 2)
-                best[0] = row
-                best[1:] = np.minimum(forest[row - 1, 1:] + 1, option)
+                    option = np.where(whole, forest[row - 1, columns - 1] + change[x, nodes], option)
+                best = np.full(len(place), float(row))
+                best[columns] = np.minimum(forest[row - 1, columns] + 1, option)
                 # Insertions: each place takes the least of what is left of it, plus the steps to it.
-                forest[row] = np.minimum.accumulate(best - index) + index
+                forest[row] = np.minimum.accumulate(best - shift) + shift
                 if before == 0:
-                    trees[x, lj : j + 1] = np.where(whole_b, forest[row, 1:], trees[x, lj : j + 1])
+                    trees[x, nodes[whole]] = forest[row, columns[whole]]
     return float(trees[-1, -1])
 
 
