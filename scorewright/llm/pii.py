@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: Kinds of values in the order in which they are tried at a place; an earlier kind takes its text first.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    # Java repeats a group by recursion, which a long domain overflows: labels and dots are taken one by one, up to the end
+    # of the run or to two dots.  A local part begins where its run does, or where the last match has ended.
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]+@(?=[A-Za-z0-9-]+\.[A-Za-z0-9-])[A-Za-z0-9.-]+?(?=\.\.|\.?(?![A-Za-z0-9.-]))",
     "ipv4": r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9A-Za-z-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-SU-Za-z-]|T(?![0-9]{2}))|(?<![0-9A-Za-z./-])[0-9]{4}(?:/[0-9]{2}/|\.[0-9]{2}\.)[0-9]{2}(?![0-9A-SU-Za-z/-]|T(?![0-9]{2})|\.[0-9])",
     "national": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
@@ -26,7 +28,7 @@ ANY = "|".join(PATTERNS.values())
 CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
 GROUPED = (r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{3}", r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}", r"[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{5}", r"[0-9]{13,19}")
 START, END = "(?<![0-9A-Za-z])", "(?![0-9A-Za-z])"
-ROUNDS = 8
+ROUNDS, WALK = 8, 32
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FIRST_DAY, DAYS = "1700-01-01", 146_097  # the Gregorian cycle of 400 years
 DAY_RADIX = (189, 773)  # 189 * 773 = 146,097
@@ -127,12 +129,11 @@ def kind_of(value: Column) -> Column:
     digits = _digits(value)
     octets = F.split(value, r"\.", -1)
     day = F.datediff(F.try_to_timestamp(F.translate(value, "/.", "--"), F.lit("yyyy-MM-dd")).cast("date"), F.lit(FIRST_DAY).cast("date"))
-    area, group, serial = F.substring(value, 1, 3), F.substring(value, 5, 2), F.substring(value, 8, 4)
     return (
         F.when(value.contains("@"), F.lit("email"))
         .when(value.rlike(_whole("ipv4")), F.when(F.forall(octets, lambda o: o.cast("int") <= 255), F.lit("ipv4")))
         .when(value.rlike(_whole("date")), F.when((day >= 0) & (day < DAYS), F.lit("date")))
-        .when(value.rlike(_whole("national")), F.when((area != "000") & (area != "666") & (area < "900") & (group != "00") & (serial != "0000"), F.lit("national")))
+        .when(value.rlike(_whole("national")), F.when(_valid_national(digits), F.lit("national")))
         .when(value.rlike(_whole("phone")), F.lit("phone"))
         .when(value.rlike(_whole("card")), F.when(_luhn_sum(digits, 1) % 10 == 0, F.lit("card")))
     )
@@ -161,18 +162,32 @@ def pseudonym(value: Column, key: str) -> Column:
         F.when(kind == "email", F.concat(permute_text(local, key, F.concat(F.lit("email"), domain)), F.lit("@"), domain))
         .when(kind == "ipv4", dotted)
         .when(kind == "date", dated)
-        .when(kind == "national", _refill(value, permute_text(digits, key, F.lit("national"))))
+        .when(kind == "national", _refill(value, permute_national(digits, key)))
         .when(kind == "card", _refill(value, card))
         .when(kind == "phone", _refill(value, phone))
         .otherwise(value)
     )
 
 
-def pseudonymize(docs: DataFrame, key: str = "change-me", text: str = "text") -> DataFrame:
+def _valid_national(digits: Column) -> Column:
+    area, group, serial = F.substring(digits, 1, 3), F.substring(digits, 4, 2), F.substring(digits, 6, 4)
+    return (area != "000") & (area != "666") & (area < "900") & (group != "00") & (serial != "0000")
+
+
+def permute_national(digits: Column, key: str) -> Column:
+    """Keyed bijection of valid national ids: the permutation is walked along until it meets a valid one again.
+
+    Eight of nine numbers are valid, so that more than ``WALK`` steps (one in 10^30) do not occur.
+    """
+    step = lambda d, i: F.when((i > 0) & _valid_national(d), d).otherwise(permute_text(d, key, F.lit("national")))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(WALK)), digits, step)
+
+
+def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Replace personal values in every whole text; all other columns and rows stay as they are.
 
     Adds ``n_pseudonyms`` (long): the values replaced.  A null or empty text stays as it is with 0.  Texts without a
-    match skip the work.  The key is a parameter of production; equal keys link equal values over runs and tables.
+    match skip the work.  The key is a secret of whoever runs this; equal keys link equal values over runs and tables.
     """
     body, pattern = F.col(text), F.col("_pattern")
     columns = docs.columns

@@ -19,6 +19,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json", variable: str = "TOKENIZER_F
     return public_tokenizers.path(name)
 
 
+def pii_key() -> str:
+    """Secret of the pseudonyms: PII_KEY of the environment; test runs have one of their own."""
+    return os.environ.get("PII_KEY", "key of test runs")
+
+
 #: Rules of op5: host, path, verdict.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -69,7 +74,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_pseudonyms")
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), pii_key()).select("doc_id", "text", "n_pseudonyms")
 
 
 def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
