@@ -124,12 +124,17 @@ class Columns:
         row = np.empty(len(runs), np.uint32)
         row[order] = np.cumsum(fresh) - 1
         self.classes = runs[order[fresh]]
-        cells = np.empty((sum(map(len, tokens)), 2), "<u4")  # read as one integer, the token counts before the class
-        cells[:, 0], cells[:, 1] = np.repeat(row, runs["m"]), np.concatenate(tokens)
-        del tokens[:], packed[:]
+        # Of the runs of one class, which copies in several tasks have made, one counts.  Its shingles all stay, as two
+        # different ones can be equal in the 32 bits that are left of them here.
+        one = np.zeros(len(runs), bool)
+        one[order[fresh]] = True
+        held = np.repeat(one, runs["m"])
+        cells = np.empty((int(held.sum()), 2), "<u4")  # read as one integer, the token counts before the class
+        cells[:, 0], cells[:, 1] = np.repeat(row[one], runs["m"][one]), np.concatenate(tokens)[held]
+        del tokens[:], packed[:], held
         cells = cells.view("<u8").reshape(-1)
         cells.sort()
-        cells = cells[np.concatenate(([True], cells[1:] != cells[:-1]))].view("<u4").reshape(-1, 2)
+        cells = cells.view("<u4").reshape(-1, 2)
         token, self.row = cells[:, 1].copy(), cells[:, 0].astype(np.int32)
         del cells
         n = self.classes["n"].astype(np.int64)[self.row]
