@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from scorewright.llm._shared import give_back, short_batches
 
-#: The bounded sample: distinct documents of each language, read whole.
-SAMPLE_ROWS = 12
+#: The bounded sample: distinct documents of each language, and the characters of a passage taken of each, at a place that
+#: depends on the text's hash.  A language's automaton has at most twice their product of states.
+SAMPLE_ROWS, PASSAGE = 24, 1500
 #: Symbols of a piece; each piece of a text is parsed on its own, with one phrase more at most.
 SEGMENT, LANES = 1024, 2048
 UNKNOWN = "und"
@@ -194,7 +195,7 @@ class Model:
 
 
 def fit(docs: DataFrame, learn: Column | None = None, text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS) -> Model:
-    """Learn from at most ``rows`` distinct texts of each language (lowest hashes), read whole.
+    """Learn from at most ``rows`` distinct texts of each language (lowest hashes), of each a passage of PASSAGE characters.
 
     Rows without text or label, or for which ``learn`` is not true, are never seen.
     """
@@ -204,6 +205,8 @@ def fit(docs: DataFrame, learn: Column | None = None, text: str = "text", lang:
     first = distinct.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("n") <= rows).select("lang", "h")
     chosen = docs.sparkSession.createDataFrame(first.collect(), "lang string, h long")  # ``rows`` a language at most
     picked = labelled.join(F.broadcast(chosen), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text"))
+    spare = F.greatest(F.char_length("text") - PASSAGE, F.lit(0))
+    picked = picked.withColumn("text", F.substr("text", (F.pmod("h", spare + 1) + 1).cast("int"), F.lit(PASSAGE)))
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         sample = " ".join(group.sort_values("h")["text"])
