@@ -41,17 +41,26 @@ def with_spans(df: DataFrame, text: str) -> DataFrame:
     return df.withColumns({f"_{k}": _placed(k) for k in PATTERNS}).drop(*[f"_{x}_{k}" for x in "fbv" for k in PATTERNS])
 
 
+def _upto(parts: Column) -> Column:
+    """Characters of all parts before each one; made in one pass."""
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("at"))
+    return F.aggregate(parts, start, lambda s, x: F.struct((s["n"] + F.char_length(x)).alias("n"), F.concat(s["at"], F.array(s["n"])).alias("at")))["at"]
+
+
 def _placed(kind: str) -> Column:
-    found, between, values = f"_f_{kind}", f"_b_{kind}", f"_v_{kind}"
-    longest = PATTERNS[kind][1]
-    total = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.char_length(x))
+    found, values, longest = f"_f_{kind}", f"_v_{kind}", PATTERNS[kind][1]
+
+    def spans(before: Column) -> Column:
+        def place(match: Column, i: Column) -> Column:
+            # Up to a match stand all matches before it, and the text between them and before the match itself.
+            start = F.get(before["found"], i) + F.get(before["between"], i + 1)
+            span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), (start + F.char_length(match)).alias("end"))
+            return F.when(F.char_length(F.get(values, i)) >= longest, span) if longest else span
 
-    def place(match: Column, i: Column) -> Column:
-        start = total(F.slice(between, F.lit(1), i + 1)) + total(F.slice(found, F.lit(1), i))
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), (start + F.char_length(match)).alias("end"))
-        return F.when(F.char_length(F.get(values, i)) >= longest, span) if longest else span
+        return F.filter(F.transform(found, place), lambda p: p.isNotNull())
 
-    return F.filter(F.transform(found, place), lambda p: p.isNotNull())
+    # The totals are bound to a name, so that they are made once for a text.
+    return F.transform(F.array(F.struct(_upto(F.col(found)).alias("found"), _upto(F.col(f"_b_{kind}")).alias("between"))), spans)[0]
 
 
 def written(all_spans: Column) -> Column:
