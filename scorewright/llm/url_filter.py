@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Digits of the hexadecimal digest that the equi-join uses.
 PREFIX_HEX = 8
+#: Stands between host and path in what is hashed; no host holds it.
+BETWEEN = "#"
 
 
 def url_host(url: Column) -> Column:
@@ -28,13 +30,13 @@ def url_path(url: Column) -> Column:
 def rule_table(rules: DataFrame) -> DataFrame:
     """(host, path, verdict) -> distinct (rule, digest, short, verdict).
 
-    Rules without a host never fit and go; of equal rules with different verdicts ``block`` stays.
+    Rules without a host, or whose host has a sign that ends hosts, never fit and go; of equal rules with different verdicts ``block`` stays.
     """
     return (
         rules.select(F.lower("host").alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
-        .where("host <> '' and verdict is not null")
+        .where(r"host <> '' and not host rlike '[/?#]' and verdict is not null")
         .groupBy(F.concat("host", "path").alias("rule"), "host", "path").agg(F.max("verdict").alias("rule_verdict"))
-        .withColumn("digest", F.sha2("rule", 256))
+        .withColumn("digest", F.sha2(F.concat("host", F.lit(BETWEEN), "path"), 256))
         .withColumn("short", F.substring("digest", 1, PREFIX_HEX))
         .withColumn("labels", F.size(F.split("host", r"\.", -1)))
         .withColumn("path_length", F.char_length("path"))
@@ -60,7 +62,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     parts = F.split("host", r"\.", -1)
     hosts = F.transform(F.filter(labels, lambda n: n <= F.size(parts)), lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "."))
     paths = F.transform(F.filter(lengths, lambda n: n <= F.char_length("path")), lambda n: F.substr(F.col("path"), F.lit(1), n))
-    expressions = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.sha2(F.concat(h, p), 256))))
+    expressions = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.sha2(F.concat(h, F.lit(BETWEEN), p), 256))))
     numbered = judged.withColumn("_row", F.monotonically_increasing_id())
     asked = numbered.select(*[F.col(c) for c in keep], "_row", F.explode_outer(expressions).alias("_digest")).withColumn("_short", F.substring("_digest", 1, PREFIX_HEX))
     found = asked.join(rules.select("short", "digest", F.col("rule").alias("_rule"), "rule_verdict"), F.col("_short") == F.col("short"), "left")
