@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scorewright.llm import jaccard_join, language_id, mixing, packing, pii
 from scorewright.llm._shared import materialize
-from scorewright.llm.queries import learnable, source_weights, tokenizer_path
+from scorewright.llm.queries import learnable, pii_key, source_weights, tokenizer_path
 
 
 def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pseudonymize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = pii.pseudonymize(docs)
+    done = pii.pseudonymize(docs, pii_key())
     return done.withColumn("n_chars", F.when(F.col("n_pseudonyms") > 0, F.char_length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
