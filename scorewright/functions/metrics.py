@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-from scorewright.functions.text import circled_digits, count_in, multiset_overlap, ned, ngrams, squad_normalize, strict_number, tokens, word_tokens
+from scorewright.functions.text import circled_digits, count_in, ned, ngrams, squad_normalize, strict_number, tokens, word_tokens
 
 
 def best(labels: Column, score: Callable[[Column], Column]) -> Column:
@@ -41,20 +41,17 @@ def substring_match(labels: Column, prediction: Column) -> Column:
     return best(labels, lambda x: fenced(prediction).contains(fenced(x)).cast("double"))
 
 
-def token_prf(label_tokens: Column, got: Column) -> Column:
-    """Array of (p, r, f) of token arrays, one for each label; :func:`best_field` takes the best of each by itself."""
-
-    def each(want: Column) -> Column:
-        return F.struct(multiset_overlap(got, want).alias("n"), F.size(want).alias("w"))
+def token_prf(overlaps: Column) -> Column:
+    """Array of (p, r, f), one for each label, of :func:`gram_overlaps`; :func:`best_field` takes the best of each by itself."""
 
     def score(s: Column) -> Column:
-        n, w, g = s["n"], s["w"], F.size(got)
+        n, w, g = s[0], s[1], s[2]
         p = F.when(g == 0, F.lit(0.0)).otherwise(n / g)
         r = F.when(w == 0, F.lit(1.0)).otherwise(n / w)
         f = F.when((g == 0) & (w == 0), F.lit(1.0)).when(n == 0, F.lit(0.0)).otherwise(2.0 * n / (g + w))
         return F.struct(p.alias("p"), r.alias("r"), f.alias("f"))
 
-    return F.transform(F.transform(label_tokens, each), score)
+    return F.transform(overlaps, score)
 
 
 def squad_tokens(text: Column) -> Column:
@@ -77,13 +74,14 @@ def anls(labels: Column, prediction: Column, threshold: float = 0.5, uncased: bo
 def jaccard_distance(labels: Column, prediction: Column, n: int = 1) -> Column:
     """1 minus shared over all distinct n-grams of a single-space split; 1 without n-grams."""
     grams = lambda x: F.array_distinct(ngrams(F.split(x, " ", -1), n))
-    got = grams(prediction)
 
-    def one(label: Column) -> Column:
-        every = F.size(F.array_union(got, grams(label)))
-        return F.when(every == 0, F.lit(1.0)).otherwise(1 - F.size(F.array_intersect(got, grams(label))) / every)
+    def distance(got: Column, want: Column) -> Column:
+        every = F.size(F.array_union(got, want))
+        return F.when(every == 0, F.lit(1.0)).otherwise(1 - F.size(F.array_intersect(got, want)) / every)
 
-    return least(labels, one)
+    # Both sides are bound to names, so that they are made once for a text and once for a label.
+    wanted = F.transform(labels, grams)
+    return F.transform(F.array(grams(prediction)), lambda got: least(wanted, lambda want: distance(got, want)))[0]
 
 
 def vqa_score(labels: Column, prediction: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -21,10 +23,6 @@ def squad_normalize(text: Column) -> Column:
     return collapse(F.regexp_replace(F.regexp_replace(F.lower(text), PUNCTUATION, ""), ARTICLES, " "))
 
 
-def ascii_only(text: Column) -> Column:
-    return F.regexp_replace(text, r"[^\x00-\x7F]", "")
-
-
 def tokens(text: Column) -> Column:
     """Tokens between white space; none for a blank text."""
     return F.filter(F.split(text, r"\s+"), lambda t: t != "")
@@ -60,18 +58,6 @@ def count_in(items: Column, item: Column) -> Column:
     return F.size(F.filter(items, lambda x: x == item))
 
 
-def occurrences(items: Column) -> Column:
-    """Items tagged with how often they stood before, so that a set intersection counts repeats."""
-    # The inner array binds the sorted items to a name, which keeps the sort out of the lambda.
-    tag = lambda s: F.transform(s, lambda x, i: F.concat(x, F.lit(" "), (i - F.array_position(s, x)).cast("string")))
-    return F.transform(F.array(F.sort_array(items)), tag)[0]
-
-
-def multiset_overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection."""
-    return F.size(F.array_intersect(occurrences(a), occurrences(b)))
-
-
 def ned(label: Column, prediction: Column, uncased: bool = True) -> Column:
     """Levenshtein distance over the longer length; 0 for two empty texts."""
     a, b = (F.lower(label), F.lower(prediction)) if uncased else (label, prediction)
@@ -138,3 +124,28 @@ def word_edits(a: pd.Series, b: pd.Series) -> pd.Series:
 def common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
     """Words of the longest common subsequence of two texts."""
     return pd.Series([_common((x or "").split(), (y or "").split()) for x, y in zip(a, b)])
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def char_edits(labels: pd.Series, prediction: pd.Series) -> pd.Series:
+    """Edit distance in characters of a text from each label; null for a null one."""
+    far = lambda x, y: None if x is None or y is None else _edits(*((x, y) if len(x) >= len(y) else (y, x)))
+    return pd.Series([None if names is None else [far(x, text) for x in names] for names, text in zip(labels, prediction, strict=True)])
+
+
+_BLANK = re.compile(r"[ \t\n\x0b\f\r]+")
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+def gram_overlaps(labels: pd.Series, prediction: pd.Series, order: pd.Series) -> pd.Series:
+    """For each label (shared, of the label, of the text) word n-grams for n = 1, 2, .. one after another; repeats count."""
+
+    def grams(text: str, most: int) -> list[Counter]:
+        words = [w for w in _BLANK.split(text) if w]
+        return [Counter(zip(*(words[k:] for k in range(n)), strict=False)) for n in range(1, most + 1)]
+
+    def row(names, text: str | None, most: int) -> list:
+        own = grams(text or "", most)
+        return [[x for a, b in zip(grams(name or "", most), own, strict=True) for x in ((a & b).total(), a.total(), b.total())] for name in names]
+
+    return pd.Series([row(names if names is not None else (), text, most) for names, text, most in zip(labels, prediction, order, strict=True)])

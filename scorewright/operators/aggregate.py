@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from scorewright.functions.text import multiset_overlap, ngrams, tokens
+from scorewright.functions.text import gram_overlaps, ngrams, tokens
 
 
 def finite(value: Column) -> Column:
@@ -49,11 +49,9 @@ def calibration(df: DataFrame, ordinal: str, confidence: Column, correct: Column
 
 def bleu(df: DataFrame, prediction: Column, reference: Column, order: int = 4) -> DataFrame:
     """Corpus BLEU with one reference: clipped n-gram counts a row, summed, then combined."""
-    rows = df.select(tokens(F.lower(prediction)).alias("p"), tokens(F.lower(reference)).alias("r"))
-    rows = rows.select("p", "r", *[ngrams(F.col(side), n).alias(f"{side}{n}") for side in "pr" for n in range(1, order + 1)])
-    counts = [F.sum(multiset_overlap(F.col(f"p{n}"), F.col(f"r{n}"))).alias(f"m{n}") for n in range(1, order + 1)]
-    totals = [F.sum(F.greatest(F.size("p") - (n - 1), F.lit(0))).alias(f"t{n}") for n in range(1, order + 1)]
-    sums = rows.agg(F.sum(F.size("p")).alias("c"), F.sum(F.size("r")).alias("l"), *counts, *totals)
+    rows = df.select(gram_overlaps(F.array(F.lower(reference)), F.lower(prediction), F.lit(order))[0].alias("x"))
+    part = lambda n, k: F.sum(F.col("x")[3 * (n - 1) + k])
+    sums = rows.agg(part(1, 2).alias("c"), part(1, 1).alias("l"), *[part(n, 0).alias(f"m{n}") for n in range(1, order + 1)], *[part(n, 2).alias(f"t{n}") for n in range(1, order + 1)])
     logs = sum((F.log(F.try_divide(F.col(f"m{n}"), F.col(f"t{n}"))) for n in range(1, order + 1)), F.lit(0.0)) / order
     penalty = F.when(F.col("c") > F.col("l"), 1.0).otherwise(F.exp(1 - F.try_divide(F.col("l"), F.col("c"))))
     return sums.select(*[F.col(f"m{n}") for n in range(1, order + 1)], *[F.col(f"t{n}") for n in range(1, order + 1)], F.coalesce(penalty * F.exp(logs), F.lit(0.0)).alias("bleu"))

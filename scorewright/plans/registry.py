@@ -90,38 +90,42 @@ SELECT category, count(*) AS num_samples, round(avg(pr), 6) AS "precision", roun
 
 @query(_F1)
 def token_f1_by_category(spark, sf_dir):
-    df = records(spark, sf_dir).withColumns({"got": m.squad_tokens(F.col("prediction")), "wanted": F.transform("labels", m.squad_tokens)})
-    scored = df.withColumn("s", m.token_prf(F.col("wanted"), F.col("got")))
+    plain = F.transform("labels", t.squad_normalize)
+    scored = records(spark, sf_dir).withColumn("o", t.gram_overlaps(plain, t.squad_normalize(F.col("prediction")), F.lit(1))).withColumn("s", m.token_prf(F.col("o")))
     return by_category(scored, precision=m.best_field(F.col("s"), "p"), recall=m.best_field(F.col("s"), "r"), f1=m.best_field(F.col("s"), "f"))
 
 
-_NED = "list_min(list_transform(labels, lambda l: CASE WHEN greatest(length(l), length(prediction)) = 0 THEN 0.0 ELSE levenshtein(lower(l), lower(prediction)) / CAST(greatest(length(l), length(prediction)) AS DOUBLE) END))"
-
-
-@query(_means({"ned": _NED, "anls": f"CASE WHEN {_NED} < 0.5 THEN 1 - {_NED} ELSE 0.0 END"}))
+@query()
 def ned_anls_by_category(spark, sf_dir):
-    labels, prediction = F.col("labels"), F.col("prediction")
-    df = records(spark, sf_dir).withColumn("d", m.ned_min(labels, prediction))
+    """Whole documents; no SQL, as its distance is quadratic in their lengths."""
+    longest = lambda x: F.greatest(F.char_length(x), F.char_length("prediction"))
+    df = records(spark, sf_dir).withColumn("e", t.char_edits(F.transform("labels", F.lower), F.lower("prediction")))
+    d = F.array_min(F.zip_with("e", "labels", lambda e, x: F.when(longest(x) == 0, F.lit(0.0)).otherwise(e / longest(x))))
+    df = df.withColumn("d", d)
     return by_category(df, ned=F.col("d"), anls=F.when(F.col("d") < 0.5, 1 - F.col("d")).otherwise(0.0))
 
 
-@query(f"WITH {REC}, e AS (SELECT category, unnest([labels[1], labels[2]]) AS l, prediction, doc_id FROM rec), b AS (SELECT doc_id, category, arg_min(levenshtein(l, prediction), (levenshtein(l, prediction) / CAST(length(l) AS DOUBLE), length(l))) AS d, arg_min(length(l), (levenshtein(l, prediction) / CAST(length(l) AS DOUBLE), length(l))) AS n FROM e WHERE l <> '' GROUP BY doc_id, category) SELECT category, CAST(sum(d) AS BIGINT) AS edits, CAST(sum(n) AS BIGINT) AS chars, round(sum(d) / CAST(sum(n) AS DOUBLE), 6) AS cer FROM b GROUP BY category")
+@query()
 def cer_corpus(spark, sf_dir):
-    """Character error rate: each record's best reference, summed over the corpus."""
-    d = F.levenshtein("l", "prediction")
-    each = records(spark, sf_dir).select("doc_id", "category", "prediction", F.explode("labels").alias("l")).where("l <> ''").select("doc_id", "category", d.alias("d"), F.char_length("l").alias("n"))
-    best = each.groupBy("doc_id", "category").agg(F.min_by(F.struct("d", "n"), F.struct(F.col("d") / F.col("n"), F.col("n"))).alias("b"))
+    """Character error rate of whole documents: each record's best reference, summed over the corpus; no shuffle before that."""
+    labels = F.filter("labels", lambda x: x != "")
+    rows = records(spark, sf_dir).withColumn("l", labels).where(F.size("l") > 0).withColumn("e", t.char_edits("l", "prediction"))
+    best = F.array_min(F.zip_with("e", "l", lambda e, x: F.struct((e / F.char_length(x)).alias("rate"), F.char_length(x).alias("n"), e.alias("d"))))
+    best = rows.select("category", best.alias("b"))
     return best.groupBy("category").agg(F.sum("b.d").cast("long").alias("edits"), F.sum("b.n").cast("long").alias("chars")).withColumn("cer", F.round(F.col("edits") / F.col("chars"), 6))
 
 
-def _jac(n: int) -> str:
-    grams = lambda x: f"list_distinct({x})" if n == 1 else f"list_distinct(list_transform(range(1, len({x})), lambda i: {x}[i] || ' ' || {x}[i + 1]))"
-    sp = lambda x: f"string_split({x}, ' ')"
-    a, b = grams(sp("prediction")), grams(sp("l"))
-    return f"list_min(list_transform(labels, lambda l: CASE WHEN len(list_distinct(list_concat({a}, {b}))) = 0 THEN 1.0 ELSE 1 - len(list_intersect({a}, {b})) / CAST(len(list_distinct(list_concat({a}, {b}))) AS DOUBLE) END))"
+def _jaccard_sql() -> str:
+    """Lists of n-grams are made once a text, as columns of their own."""
+    two = lambda x: f"list_distinct(list_transform(range(1, len({x})), lambda i: {x}[i] || ' ' || {x}[i + 1]))"
+    score = lambda n: f"min(CASE WHEN len(a{n}) + len(b{n}) = 0 THEN 1.0 ELSE 1 - len(list_intersect(a{n}, b{n})) / CAST(len(a{n}) + len(b{n}) - len(list_intersect(a{n}, b{n})) AS DOUBLE) END) AS j{n}"
+    return f"""WITH {REC}, w AS (SELECT doc_id, category, string_split(prediction, ' ') AS p, string_split(unnest(labels), ' ') AS l FROM rec),
+g AS (SELECT doc_id, category, list_distinct(p) AS a1, list_distinct(l) AS b1, {two('p')} AS a2, {two('l')} AS b2 FROM w),
+s AS (SELECT doc_id, category, {score(1)}, {score(2)} FROM g GROUP BY doc_id, category)
+SELECT category, count(*) AS num_samples, round(avg(j1), 6) AS jaccard_1, round(avg(j2), 6) AS jaccard_2 FROM s GROUP BY category"""
 
 
-@query(_means({"jaccard_1": _jac(1), "jaccard_2": _jac(2)}))
+@query(_jaccard_sql())
 def jaccard_uni_bi(spark, sf_dir):
     labels, prediction = F.col("labels"), F.col("prediction")
     return by_category(records(spark, sf_dir), jaccard_1=m.jaccard_distance(labels, prediction, 1), jaccard_2=m.jaccard_distance(labels, prediction, 2))
@@ -132,7 +136,7 @@ def vqa_score(spark, sf_dir):
     return by_category(records(spark, sf_dir), vqa=m.vqa_score(F.col("labels"), F.col("prediction")))
 
 
-@query(_means({"rep_2": f"CASE WHEN len({_toks('prediction')}) < 2 THEN 0.0 ELSE 1 - len(list_distinct(list_transform(range(1, len({_toks('prediction')})), lambda i: {_toks('prediction')}[i] || ' ' || {_toks('prediction')}[i + 1]))) / CAST(len({_toks('prediction')}) - 1 AS DOUBLE) END"}))
+@query(f"WITH {REC}, w AS (SELECT category, {_toks('prediction')} AS t FROM rec), g AS (SELECT category, CASE WHEN len(t) < 2 THEN [] ELSE list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) END AS g FROM w) SELECT category, count(*) AS num_samples, round(avg(CASE WHEN len(g) = 0 THEN 0.0 ELSE 1 - len(list_distinct(g)) / CAST(len(g) AS DOUBLE) END), 6) AS rep_2 FROM g GROUP BY category")
 def repetition_bigrams(spark, sf_dir):
     return by_category(records(spark, sf_dir), rep_2=m.repetition_n(F.col("prediction"), 2))
 
@@ -229,12 +233,11 @@ def _rouge_sql(n: int) -> str:
 @query(f"WITH {REC}, tk AS (SELECT category, {_toks(_squad('prediction'))} AS p, {_toks(_squad('labels[2]'))} AS r FROM rec), g AS (SELECT category, " + ", ".join(f"{_gram_sql('p', n)} AS p{n}, {_gram_sql('r', n)} AS r{n}" for n in (1, 2)) + f" FROM tk) SELECT category, {_rouge_sql(1)}, {_rouge_sql(2)} FROM g GROUP BY category")
 def rouge_1_2(spark, sf_dir):
     """F-measures of unigram and bigram overlap with the second label."""
-    df = records(spark, sf_dir).select("category", m.squad_tokens(F.col("prediction")).alias("p"), m.squad_tokens(F.col("labels")[1]).alias("r"))
-    df = df.select("category", *[t.ngrams(F.col(x), n).alias(f"{x}{n}") for x in "pr" for n in (1, 2)])
+    df = records(spark, sf_dir).select("category", t.gram_overlaps(F.array(t.squad_normalize(F.col("labels")[1])), t.squad_normalize(F.col("prediction")), F.lit(2))[0].alias("x"))
 
     def rouge(n: int) -> Column:
-        both = F.size(f"p{n}") + F.size(f"r{n}")
-        return F.round(F.avg(F.when(both == 0, 0.0).otherwise(2.0 * t.multiset_overlap(F.col(f"p{n}"), F.col(f"r{n}")) / both)), 6).alias(f"rouge_{n}")
+        shared, label, own = (F.col("x")[3 * (n - 1) + k] for k in range(3))
+        return F.round(F.avg(F.when(label + own == 0, 0.0).otherwise(2.0 * shared / (label + own))), 6).alias(f"rouge_{n}")
 
     return df.groupBy("category").agg(rouge(1), rouge(2))
 
@@ -524,10 +527,10 @@ def submission_chart(spark, sf_dir):
     return sub.chart(records(spark, sf_dir), "doc_id")
 
 
-@query(f"WITH {REC} SELECT l.doc_id, l.quality, coalesce(r.prediction, '') AS prediction FROM labels l LEFT JOIN (SELECT * FROM rec WHERE category = 'assistant') r ON r.doc_id = l.doc_id")
+@query(f"WITH {REC} SELECT l.doc_id, l.quality, coalesce(r.prediction, '') AS prediction FROM labels l LEFT JOIN (SELECT * FROM rec WHERE category = 'en') r ON r.doc_id = l.doc_id")
 def submission_template_left_join(spark, sf_dir):
     template = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return sub.fill_template(template, records(spark, sf_dir).where("category = 'assistant'"), "doc_id").select("doc_id", "quality", "prediction")
+    return sub.fill_template(template, records(spark, sf_dir).where("category = 'en'"), "doc_id").select("doc_id", "quality", "prediction")
 
 
 # --- roll-ups

@@ -4,40 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scorewright.functions.text import ascii_only
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _beside_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents, each with a benchmark item."""
+    items = table(spark, sf_dir, "benchmark")
+    n = items.count()
+    docs = table(spark, sf_dir, "documents")
+    return docs.join(items.withColumnRenamed("text", "item"), F.pmod(docs["doc_id"], F.lit(n)) == items["item_id"])
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, category, sub, prediction, labels): every whole turn of a conversation as an answer.
+    """(doc_id, category, sub, prediction, labels): every whole document as an answer.
 
     Its labels are a benchmark item and the answer without some short words.
     """
-    items = table(spark, sf_dir, "benchmark")
-    n = items.count()
-    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.col("role").alias("category"), F.concat(F.lit("turn"), F.col("turn")).alias("sub"), F.col("text").alias("prediction"))
-    both = turns.join(items, F.pmod("doc_id", F.lit(n)) == items["item_id"])
-    return both.select("doc_id", "category", "sub", "prediction", F.array(F.col("text"), F.regexp_replace("prediction", " (de|die|the|el) ", " ")).alias("labels"))
+    labels = F.array("item", F.regexp_replace("text", " (de|die|the|el) ", " "))
+    return _beside_items(spark, sf_dir).select("doc_id", F.col("lang").alias("category"), F.col("source").alias("sub"), F.col("text").alias("prediction"), labels.alias("labels"))
 
 
 def whole_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same columns from whole documents, for queries without an SQL equivalent."""
-    items = table(spark, sf_dir, "benchmark")
-    n = items.count()
-    docs = table(spark, sf_dir, "documents")
-    both = docs.join(items.withColumnRenamed("text", "item"), F.pmod(docs["doc_id"], F.lit(n)) == items["item_id"])
-    return both.select(
-        "doc_id", F.col("lang").alias("category"), F.col("source").alias("sub"), ascii_only(F.col("text")).alias("prediction"),
-        F.array(ascii_only(F.col("item")), ascii_only(F.substr("text", (1 + F.col("doc_id") % 3).cast("int")))).alias("labels"),
-    )
+    """The same columns with the answer without its first characters as second label, for queries without an SQL equivalent."""
+    labels = F.array("item", F.substr("text", (1 + F.col("doc_id") % 3).cast("int")))
+    return _beside_items(spark, sf_dir).select("doc_id", F.col("lang").alias("category"), F.col("source").alias("sub"), F.col("text").alias("prediction"), labels.alias("labels"))
 
 
-REC = r"""rec AS (SELECT c.conv_id * 1000 + c.turn AS doc_id, c.role AS category, 'turn' || CAST(c.turn AS VARCHAR) AS sub, c.text AS prediction,
-    [b.text, regexp_replace(c.text, ' (de|die|the|el) ', ' ', 'g')] AS labels
-    FROM conversations c JOIN benchmark b ON b.item_id = (c.conv_id * 1000 + c.turn) % (SELECT count(*) FROM benchmark))"""
+REC = r"""rec AS (SELECT d.doc_id, d.lang AS category, d.source AS sub, d.text AS prediction, [b.text, regexp_replace(d.text, ' (de|die|the|el) ', ' ', 'g')] AS labels
+    FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))"""
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,12 +47,11 @@ def test_anls_and_jaccard(spark):
 
 
 def test_token_f1(spark):
-    got = m.squad_tokens(F.lit("cat dog"))
-    scores = m.token_prf(F.array(m.squad_tokens(F.lit("cat dog bird"))), got)
+    scores = m.token_prf(t.gram_overlaps(labels("cat dog bird"), F.lit("cat dog"), F.lit(1)))
     p, r, f = (one(spark, m.best_field(scores, k)) for k in "prf")
     assert (p, r, f) == (1, pytest.approx(2 / 3), pytest.approx(0.8))
     assert one(spark, t.squad_normalize(F.lit("The A Cat."))) == "cat"
-    assert one(spark, t.multiset_overlap(labels("a", "a", "b"), labels("a", "a", "a", "c"))) == 2
+    assert one(spark, t.gram_overlaps(labels("a a b", ""), F.lit("a a  a\nc"), F.lit(2))) == [[2, 3, 4, 1, 2, 3], [0, 0, 4, 0, 0, 3]]
 
 
 def test_vqa_and_options(spark):
