@@ -229,7 +229,7 @@ class _ZipReader(DataSourceReader):
             try:
                 with _system(uri)[0].open_input_file(path) as file, zipfile.ZipFile(file) as archive:
                     n = len(archive.infolist())  # the directory at the archive's end
-            except zipfile.BadZipFile:
+            except (zipfile.BadZipFile, ValueError):  # the latter where a file is shorter than an archive can be
                 if not self.skip:
                     raise
                 continue

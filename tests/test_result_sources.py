@@ -102,3 +102,40 @@ def test_later_archives_and_members_count(spark, tmp_path):
     assert results.read_archives(spark, str(tmp_path), skip_damaged="true").count() == 5
     with pytest.raises(Exception):
         results.read_archives(spark, str(tmp_path)).count()
+
+
+# --- records of deep arrays
+
+
+def test_records_equal_a_full_parse(tmp_path, monkeypatch):
+    import io
+
+    from scorewright.sources import json_arrays
+
+    rng = random.Random(7)
+    for size in (1, 3, 17, 1 << 20):
+        monkeypatch.setattr(json_arrays, "PIECE", size)
+        for _ in range(60):
+            records = [random_value(rng) for _ in range(rng.randrange(6))]
+            body = {"a": random_value(rng), "deep": {"x": random_value(rng), "records": records, "y": random_value(rng)}, "runs": [{"records": records[:2]}, random_value(rng), {"records": records[2:]}], "z": 1}
+            raw = json.dumps(body, ensure_ascii=False, indent=rng.choice([None, 2])).encode()
+            read = lambda path: [json.loads(r) for r in json_arrays.records_of(json_arrays._Text(io.BytesIO(raw)), path)]  # noqa: B023, E731
+            assert read(["deep", "records"]) == records == read(["runs", "records"])
+            assert read(["none"]) == [] == read(["z", "records"])
+
+
+def test_nth_record_and_faults(spark, tmp_path):
+    from scorewright.sources.json_arrays import read_json_records
+
+    (tmp_path / "a.json").write_text(json.dumps({"meta": {"records": 5}, "evaluation": {"records": [{"i": i, "t": "é" * i} for i in range(300)]}, "records": [1]}))
+    (tmp_path / "b.json").write_text('{"samples": [{"i": 1}, NaN, {"i"')
+    (tmp_path / "c.json").write_text("")
+    rows = read_json_records(spark, str(tmp_path))
+    by_file = {p.rsplit("/", 1)[-1]: n for p, n in rows.groupBy("path").count().collect()}
+    assert by_file == {"a.json": 300, "b.json": 2}
+    one = read_json_records(spark, str(tmp_path / "a.json"), nth=123).collect()
+    assert [(r.array, r.ordinal, json.loads(r.record)["i"]) for r in one] == [("evaluation.records", 123, 123)]
+    assert read_json_records(spark, str(tmp_path / "a.json"), nth=300).count() == 0
+    assert read_json_records(spark, str(tmp_path / "a.json"), arrays="records").first().record == "1"
+    with pytest.raises(Exception):
+        read_json_records(spark, str(tmp_path / "b.json"), strict="true").count()
