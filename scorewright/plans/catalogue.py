@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from scorewright.functions import edits, trees
+from scorewright.functions import detections, edits, judgements, trees
 from scorewright.plans.registry import query
 from scorewright.plans.views import table
 from scorewright.tasks.catalogue import GENRES, VOCAL_SOUNDS, list_tasks, task_config
@@ -170,6 +170,34 @@ def task_example(spark, sf_dir):
     return _report("example", {"test": rows}, F.concat(S("c_mktsegment"), S("answer")))
 
 
+@query("""WITH j AS (SELECT doc_id % 7 AS judge, doc_id % 4 = 0 AS silent, quality, toxic, doc_id % 10 AS score FROM labels)
+SELECT CAST(judge AS INTEGER) AS judge, count(*) AS n, round(avg(CASE WHEN NOT silent THEN score / 10.0 END), 6) AS fluency, round(avg(CASE WHEN NOT silent THEN (quality + (1 - toxic)) / 2.0 END), 6) AS accuracy FROM j GROUP BY judge""")
+def judgements_by_rubric(spark, sf_dir):
+    """Scores and verdicts by rubric, read from what judges have said."""
+    rows = table(spark, sf_dir, "labels")
+    yes = lambda c, good: F.when(F.col(c) == good, "true").otherwise("false, I fear")
+    said = F.concat(F.lit("**Fluency**: I give "), F.col("doc_id") % 10, F.lit("\n- quality: "), yes("quality", 1), F.lit("\n- safe (no toxic words): "), yes("toxic", 0), F.lit("\n[REASON]: 3, as said"))
+    rows = rows.select((F.col("doc_id") % 7).cast("int").alias("judge"), F.when(F.col("doc_id") % 4 == 0, "I cannot tell.").otherwise(said).alias("said"))
+    fluency = judgements.by_rubric(F.col("said"), ["fluency"], lambda x: judgements.score(x, 10))["fluency"]
+    share = judgements.verdict_share(judgements.by_rubric(F.col("said"), ["quality", "safe (no toxic words)"], judgements.verdict), 2)
+    return rows.groupBy("judge").agg(F.count("*").alias("n"), F.round(F.avg(fluency), 6).alias("fluency"), F.round(F.avg(share), 6).alias("accuracy"))
+
+
+@query("""WITH o AS (SELECT l_orderkey, min(l_linenumber) FILTER (l_returnflag = 'R') AS r, min(l_linenumber) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_returnflag = 'N') AS n FROM lineitem GROUP BY l_orderkey)
+SELECT count(*) AS images, count(*) FILTER (r IS NOT NULL AND a IS NOT NULL AND a > r) AS right_of, count(*) FILTER (r IS NOT NULL AND a IS NOT NULL AND a > r AND n < 2) AS alone FROM o""")
+def detection_clauses(spark, sf_dir):
+    """Lines of an order as objects of an image, side by side: an A to the right of the first R, and at most one N."""
+    at = F.col("l_linenumber").cast("double") * 10
+    seen = F.struct("l_linenumber", F.col("l_returnflag").alias("class"), F.array(at, F.lit(0.0), at + 2, F.lit(2.0)).alias("box"), F.lit(None).cast("string").alias("color"))
+    images = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(seen)).alias("o"))
+    objects = F.transform("o", lambda x: F.struct(x["class"].alias("class"), x["box"].alias("box"), x["color"].alias("color"))).cast(detections.OBJECTS)
+    wanted = F.lit('[{"class": "R", "count": 1}, {"class": "A", "count": 1, "relation": "right of", "other": 0}]')
+    barred = F.lit('[{"class": "N", "count": 2}]')
+    images = images.select(objects.alias("o"), F.from_json(wanted, detections.CLAUSES).alias("a"), F.from_json(barred, detections.CLAUSES).alias("b"))
+    met = images.select(detections.clauses_met(F.col("o"), F.col("a")).alias("x"), detections.clauses_met(F.col("o"), F.col("a"), F.col("b")).alias("y"))
+    return met.agg(F.count("*").alias("images"), F.count_if("x").alias("right_of"), F.count_if("y").alias("alone"))
+
+
 # --- no SQL: word edits, alignments, trees and automata; tested against plain versions
 
 
