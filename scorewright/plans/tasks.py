@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scorewright.functions import messages as msg
 from scorewright.operators import leaderboard as lb, tasks as op
 from scorewright.plans.registry import query
 from scorewright.plans.views import JUDGED, RUNS, judged, runs, table
@@ -35,10 +36,11 @@ string_agg(CASE WHEN role = 'system' THEN NULL WHEN role = 'assistant' THEN 'mod
 count(*) FILTER (role <> 'system') AS contents FROM conversations GROUP BY conv_id""")
 def vendor_messages(spark, sf_dir):
     """Messages as services take them: the system's text apart, answers under the role ``model``."""
-    m = F.col("messages")
-    rest = F.filter(m, lambda x: x["role"] != "system")
-    system = F.array_join(F.transform(F.filter(m, lambda x: x["role"] == "system"), lambda x: x["text"]), "\n")
-    return _messages(spark, sf_dir).select("conv_id", system.alias("system"), F.nullif(F.array_join(F.transform(rest, lambda x: F.when(x["role"] == "assistant", "model").otherwise("user")), ","), F.lit("")).alias("roles"), F.size(rest).cast("long").alias("contents"))
+    content = lambda m: F.array(F.struct(F.lit("text").alias("type"), m["text"].alias("value")))
+    m = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), content(m).alias("content")))
+    shaped = _messages(spark, sf_dir).select("conv_id", msg.model_parts(m).alias("s"))
+    roles = F.transform(F.from_json("s.contents", "array<struct<role:string,parts:array<struct<text:string>>>>"), lambda x: x["role"])
+    return shaped.select("conv_id", F.coalesce("s.system", F.lit("")).alias("system"), F.nullif(F.array_join(roles, ","), F.lit("")).alias("roles"), F.size(roles).cast("long").alias("contents"))
 
 
 @query("""WITH i AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'image' ELSE 'audio' END AS kind, text FROM conversations)
