@@ -613,4 +613,4 @@ def stream_throughput_window(spark, sf_dir):
     return out.select(F.col("w.start").cast("timestamp_ntz").alias("start_ts"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-from scorewright.plans import catalogue, rollups, scores, tasks  # noqa: E402, F401  (they add their queries to this registry)
+from scorewright.plans import answers, catalogue, rollups, scores, tasks  # noqa: E402, F401  (they add their queries to this registry)

@@ -12,8 +12,11 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scorewright.functions import bleu, extract, metrics as m, text as t
+from scorewright.functions.choices import choice
 from scorewright.functions.edits import pier
+from scorewright.functions.grounding import as_text, place
 from scorewright.functions.literals import canonical_literal
+from scorewright.functions.open_answers import discipline_accuracy
 from scorewright.functions.trees import tree_edit_score
 from scorewright.operators import dataset as ds
 from scorewright.tasks import records
@@ -25,8 +28,10 @@ SHORT_FORMS = [("won't", "will not"), ("can't", "can not"), ("let's", "let us"),
 LOANWORDS = "array<struct<Korean:string,English:string>>"
 
 
-def answer_letter(text: Column, letters: str | None = None) -> Column:
-    """Letter of a choice among the record's own options, or among ``letters``."""
+def answer_letter(text: Column, letters: str | None = None, version_name: str | None = None) -> Column:
+    """Letter of a choice among the record's own options, or among ``letters``; a version fixes the scheme of the choices."""
+    if version_name:
+        return choice(text, version=version_name)
     found = extract.multichoice(text, letters or records.LETTERS)
     return found if letters else F.when(F.array_contains("options", found), found)
 
@@ -70,6 +75,7 @@ STEPS: dict[str, Callable[..., Column]] = {
     "code": extract.code_block,
     "asr": spoken,
     "literal": canonical_literal,
+    "spatial_grounding": lambda x, version_name="bbox": as_text(place(x, version_name)),
     "code_switch": code_switched,
 }
 
@@ -98,6 +104,7 @@ METRICS: dict[str, Callable[..., Column]] = {
     "anls": m.anls,
     "vqa": m.vqa_score,
     "mmau_string_match": lambda labels, p: m.option_words_match(F.get(labels, F.lit(0)), p, F.col("option_contents")),
+    "mmmu_accuracy": lambda labels, p: discipline_accuracy(p, labels, F.col("options"), F.col("option_contents"), meta_of("question_type")),
     "mer": mixed_error,
     "pier": lambda labels, p: pier(labels, p)["pier"],
     "tree_edit_score": lambda labels, p, group=None: tree_edit_score(labels, p, F.lit(group).cast("string")),

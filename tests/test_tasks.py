@@ -244,3 +244,17 @@ def test_speech_report_is_that_of_plain_python(spark, sf):
     got = task_librispeech_test_clean(spark, sf).where("whole").first()
     assert got.num_samples >= len(rows)
     assert got.wer == pytest.approx(sum(edits(a.split(), b.split()) for a, b in rows) / sum(len(a.split()) for a, _ in rows), abs=2e-6)
+
+
+def test_steps_of_places_and_versions_and_accuracy_over_disciplines(spark):
+    config = {
+        "task": "places", "record": {"index": "i", "query": "{q}", "label": {"column": "a"}, "meta": ["question_type"]},
+        "postprocess": {"direct": {"pipeline": {"spatial_grounding": {"version_name": "point"}}}, "reasoning": {"pipeline": {"multichoice": {"version_name": "numeric"}}}},
+        "evaluation": {"target_metrics": {"text_evaluator": {"mmmu_accuracy": {}}}},
+    }
+    task = Task(config)
+    samples = spark.createDataFrame([(1, "where?", "3", "open")], "i long, q string, a string, question_type string")
+    rows = task.records({"all": samples}).withColumn("prediction", F.lit("정답은 3번 (1, 2, 3, 4)"))
+    assert [r["answer"] for r in task.answers(rows).collect()] == ["[2.0, 3.0]"]
+    scored = task.scored(task.answers(rows, mode="reasoning")).first()
+    assert (scored["answer"], scored["mmmu_accuracy"]) == ("3", 1.0)
