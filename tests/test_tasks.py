@@ -252,7 +252,7 @@ def test_steps_of_places_and_versions_and_accuracy_over_disciplines(spark):
         "postprocess": {"direct": {"pipeline": {"spatial_grounding": {"version_name": "point"}}}, "reasoning": {"pipeline": {"multichoice": {"version_name": "numeric"}}}},
         "evaluation": {"target_metrics": {"text_evaluator": {"mmmu_accuracy": {}}}},
     }
-    task = Task(config)
+    task = run.Task(config)
     samples = spark.createDataFrame([(1, "where?", "3", "open")], "i long, q string, a string, question_type string")
     rows = task.records({"all": samples}).withColumn("prediction", F.lit("정답은 3번 (1, 2, 3, 4)"))
     assert [r["answer"] for r in task.answers(rows).collect()] == ["[2.0, 3.0]"]
