@@ -6,7 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from scorewright.functions.text import gram_overlaps, ngrams, tokens
+from scorewright.functions.text import gram_overlaps
+from scorewright.operators.cider import gram_cosines
 
 
 def finite(value: Column) -> Column:
@@ -59,14 +60,7 @@ def bleu(df: DataFrame, prediction: Column, reference: Column, order: int = 4) -
 
 def cider(df: DataFrame, key: str, prediction: Column, reference: Column, n: int = 1) -> DataFrame:
     """(key, cider): cosine of TF-IDF n-gram vectors, document frequencies taken over all references."""
-    grams = df.select(key, ngrams(tokens(F.lower(prediction)), n).alias("p"), ngrams(tokens(F.lower(reference)), n).alias("r"))
-    count = lambda side: grams.select(key, F.explode(side).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias(f"n_{side}"))
-    both = count("p").join(count("r"), [key, "gram"], "full").na.fill(0, ["n_p", "n_r"])
-    seen = count("r").groupBy("gram").agg(F.count("*").alias("df"))
-    total = df.agg(F.count("*").alias("total"))
-    weighed = both.join(seen, "gram", "left").join(F.broadcast(total)).withColumn("idf", F.log("total") - F.log(F.greatest(F.coalesce("df", F.lit(0)), F.lit(1))))
-    a, b = F.col("n_p") * F.col("idf"), F.col("n_r") * F.col("idf")
-    return weighed.groupBy(key).agg(F.coalesce(F.try_divide(F.sum(a * b), F.sqrt(F.sum(a * a)) * F.sqrt(F.sum(b * b))), F.lit(0.0)).alias("cider"))
+    return gram_cosines(df, key, prediction, reference, [n]).select(key, F.col("cosines")[0].alias("cider"))
 
 
 def swap_verdict(ab: Column, ba: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from scorewright.functions.text import ngrams, tokens
+from scorewright.operators.cider import gram_cosines
 
 
 def repeated_bigrams(df: DataFrame, key: str, text: Column) -> DataFrame:
@@ -23,26 +24,10 @@ def repeated_bigrams(df: DataFrame, key: str, text: Column) -> DataFrame:
 def cider_orders(df: DataFrame, key: str, prediction: Column, reference: Column, orders: int = 4) -> DataFrame:
     """(key, cider): mean over n = 1..orders of the cosine of TF-IDF n-gram vectors; an order without n-grams counts as 0.
 
-    Document frequencies are taken over all references; one explode serves all orders.
+    Document frequencies are taken over all references.
     """
-
-    def grams(side: Column) -> Column:
-        def tagged(n: int) -> Column:
-            return F.transform(ngrams(tokens(F.lower(side)), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
-
-        return F.flatten(F.array(*[tagged(n) for n in range(1, orders + 1)]))
-
-    def counts(side: Column, name: str) -> DataFrame:
-        return df.select(key, F.explode(grams(side)).alias("g")).groupBy(key, "g.n", "g.gram").agg(F.count("*").alias(name))
-
-    ours, theirs = counts(prediction, "n_p"), counts(reference, "n_r")
-    seen = theirs.groupBy("n", "gram").agg(F.count("*").alias("df"))
-    total = df.agg(F.count("*").alias("total"))  # one row
-    both = ours.join(theirs, [key, "n", "gram"], "full").na.fill(0, ["n_p", "n_r"]).join(seen, ["n", "gram"], "left").join(F.broadcast(total))
-    idf = F.log("total") - F.log(F.greatest(F.coalesce("df", F.lit(0)), F.lit(1)))
-    a, b = F.col("n_p") * F.col("idf"), F.col("n_r") * F.col("idf")
-    by_order = both.withColumn("idf", idf).groupBy(key, "n").agg(F.coalesce(F.try_divide(F.sum(a * b), F.sqrt(F.sum(a * a)) * F.sqrt(F.sum(b * b))), F.lit(0.0)).alias("cosine"))
-    return by_order.groupBy(key).agg((F.sum("cosine") / orders).alias("cider"))
+    scores = gram_cosines(df, key, prediction, reference, list(range(1, orders + 1)))
+    return scores.select(key, (F.aggregate("cosines", F.lit(0.0), lambda a, x: a + x) / orders).alias("cider"))
 
 
 def wups_rollup(df: DataFrame, kind: str, score: str, threshold: float = 0.9, discount: float = 0.1) -> DataFrame:
