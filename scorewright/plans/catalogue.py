@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from scorewright.functions import detections, edits, judgements, trees
 from scorewright.plans.registry import query
-from scorewright.plans.views import table
+from scorewright.plans.views import spread, table
 from scorewright.tasks.catalogue import GENRES, VOCAL_SOUNDS, list_tasks, task_config
 from scorewright.tasks.run import Task
 
@@ -252,7 +252,7 @@ def soft_repetition(spark, sf_dir):
 @query()
 def tree_edit_by_language(spark, sf_dir):
     """Whole pages against themselves with items of lists run together, or without paragraphs."""
-    pages = table(spark, sf_dir, "pages").where("html is not null")
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html").where("html is not null"), "page_id")
     changed = F.when(F.col("page_id") % 2 == 0, F.regexp_replace("html", "</li><li>", " ")).otherwise(F.regexp_replace("html", "<p>", ""))
     rows = pages.select(F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("lang"), trees.tree_edit_score(F.array("html"), changed, F.lit(None).cast("string")).alias("score"))
     return rows.groupBy("lang").agg(F.count("*").alias("num_samples"), F.round(trees.tree_edit_mean(F.col("score")), 6).alias("tree_edit_score"))

@@ -9,27 +9,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _beside_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents, each with a benchmark item."""
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt evenly over tasks by a hash of the key, for queries that take long for a row: files can have few row groups."""
+    n = max(4 * rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())
+    return rows.repartition(n, key)
+
+
+def _beside_items(spark: SparkSession, sf_dir: str, even: bool = False) -> DataFrame:
+    """Whole documents, each with a benchmark item; ``even`` spreads them over tasks."""
     items = table(spark, sf_dir, "benchmark")
     n = items.count()
     docs = table(spark, sf_dir, "documents")
+    docs = spread(docs.select("doc_id", "lang", "source", "text"), "doc_id") if even else docs
     return docs.join(items.withColumnRenamed("text", "item"), F.pmod(docs["doc_id"], F.lit(n)) == items["item_id"])
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def records(spark: SparkSession, sf_dir: str, even: bool = False) -> DataFrame:
     """(doc_id, category, sub, prediction, labels): every whole document as an answer.
 
     Its labels are a benchmark item and the answer without some short words.
     """
     labels = F.array("item", F.regexp_replace("text", " (de|die|the|el) ", " "))
-    return _beside_items(spark, sf_dir).select("doc_id", F.col("lang").alias("category"), F.col("source").alias("sub"), F.col("text").alias("prediction"), labels.alias("labels"))
+    return _beside_items(spark, sf_dir, even).select("doc_id", F.col("lang").alias("category"), F.col("source").alias("sub"), F.col("text").alias("prediction"), labels.alias("labels"))
 
 
-def whole_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def whole_records(spark: SparkSession, sf_dir: str, even: bool = False) -> DataFrame:
     """The same columns with the answer without its first characters as second label, for queries without an SQL equivalent."""
     labels = F.array("item", F.substr("text", (1 + F.col("doc_id") % 3).cast("int")))
-    return _beside_items(spark, sf_dir).select("doc_id", F.col("lang").alias("category"), F.col("source").alias("sub"), F.col("text").alias("prediction"), labels.alias("labels"))
+    return _beside_items(spark, sf_dir, even).select("doc_id", F.col("lang").alias("category"), F.col("source").alias("sub"), F.col("text").alias("prediction"), labels.alias("labels"))
 
 
 REC = r"""rec AS (SELECT d.doc_id, d.lang AS category, d.source AS sub, d.text AS prediction, [b.text, regexp_replace(d.text, ' (de|die|the|el) ', ' ', 'g')] AS labels
