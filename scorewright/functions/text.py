@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
-from collections import Counter
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
+from scorewright.functions.grams import BLANKS, SPACES, Grams, counted, shared, slices
+
 #: Word edges are written out: what \b means differs between Java versions.
 ARTICLES = r"(?<![\p{L}\p{N}_])(a|an|the)(?![\p{L}\p{N}_])"
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
@@ -70,42 +72,112 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-def _trimmed(a: list, b: list) -> tuple[list, list, int]:
-    """Both lists without their common start and end, and the words that went: a best alignment always keeps those."""
+def _same(a: list | str, b: list | str, most: int) -> int:
+    """How many of the first ``most`` places are alike, by comparing ever smaller slices."""
+    at, step = 0, 64
+    while at < most and a[at : at + step] == b[at : at + step]:
+        at, step = at + step, 2 * step
+    if at >= most:
+        return most
+    end = min(at + step, most)
+    while at < end:
+        half = (at + end + 1) // 2
+        if a[at:half] == b[at:half]:
+            at = half
+        else:
+            end = half - 1
+    return at
+
+
+def _trimmed(a: list | str, b: list | str) -> tuple[list | str, list | str, int]:
+    """Both without their common start and end, and how much of that went at the start: a best alignment keeps those."""
+    start = _same(a, b, min(len(a), len(b)))
+    a, b = a[start:], b[start:]
     most = min(len(a), len(b))
-    start = next((i for i in range(most) if a[i] != b[i]), most)
-    end = next((i for i in range(most - start) if a[-1 - i] != b[-1 - i]), most - start)
-    return a[start : len(a) - end], b[start : len(b) - end], start + end
+    end = _same(a[: -most - 1 : -1], b[: -most - 1 : -1], most)
+    return a[: len(a) - end], b[: len(b) - end], start
 
 
-def _places(words: list) -> dict:
+def _places(words: list | str) -> dict:
     """Positions of each word as bits of one number."""
-    places: dict = {}
+    found: dict = {}
     for i, w in enumerate(words):
-        places[w] = places.get(w, 0) | 1 << i
-    return places
-
-
-def _edits(a: list, b: list) -> int:
-    """Edit distance; a column of the table of distances is held as the bits of its rises and falls."""
+        found.setdefault(w, []).append(i)
+    size = len(words) // 8 + 1
+
+    def bits(places: list[int]) -> int:
+        if len(places) == 1:
+            return 1 << places[0]
+        out = bytearray(size)
+        for i in places:
+            out[i >> 3] |= 1 << (i & 7)
+        return int.from_bytes(out, "little")
+
+    return {w: bits(places) for w, places in found.items()}
+
+
+def _within(a: list | str, b: list | str, most: int, columns: list | None = None) -> int:
+    """Edit distance if it is at most ``most``; else some number of edits that does.
+
+    A column of the table of distances (a place in ``b``) is held as the bits of its rises and falls, and only over the
+    rows (places in ``a``) that an alignment of ``most`` edits can reach; these move on in steps.  Cells above them count
+    as one more than the cell before.  ``columns`` gets (first row, rises, falls) of each column.
+    """
+    n, m = len(a), len(b)
+    spare = max(most - abs(n - m), 0) // 2
+    below, above = max(n - m, 0) + spare, max(m - n, 0) + spare
+    step = m if below >= n else max(128, (below + above) // 4)
+    lo = hi = top = rises = falls = 0
+    for j in range(0, m, step):
+        part = b[j : j + step]
+        first, last = min(max(0, j - above), n), min(n, j + len(part) + below)
+        gone = (1 << first - lo) - 1
+        top += (rises & gone).bit_count() - (falls & gone).bit_count()
+        rises, falls = rises >> first - lo | (1 << last - first) - (1 << hi - first), falls >> first - lo
+        lo, hi, every = first, last, (1 << last - first) - 1
+        places = _places(a[lo:hi])
+        for w in part:
+            same = places.get(w, 0)
+            level = (((same & rises) + rises) ^ rises) | same
+            up, down = falls | ~(level | rises) & every, rises & level
+            up, down, same = (up << 1 | 1) & every, down << 1 & every, same | falls
+            rises, falls = down | ~(same | up) & every, up & same
+            if columns is not None:
+                columns.append((lo, rises, falls))
+        top += len(part)
+    return top + rises.bit_count() - falls.bit_count()
+
+
+def _bounded(a: list | str, b: list | str, columns: list | None = None) -> int:
+    """Edit distance of two texts that are not empty, in a band that widens until it holds a best alignment."""
+    apart = abs(len(a) - len(b))
+    most = apart + max(64, min(len(a), len(b)) // 64)
+    while True:
+        if columns is not None:
+            columns.clear()
+        found = _within(a, b, most, columns)
+        if found <= most:
+            return found
+        wider = min(found, apart + 8 * (most - apart))
+        most = len(a) + len(b) if 4 * wider > len(a) else wider  # a wide band costs more than the whole table
+
+
+def _edits(a: list | str, b: list | str) -> int:
+    """Edit distance: without what both begin and end with; where the shorter one lies within the longer one, what is left."""
     a, b, _ = _trimmed(a, b)
-    if not a:
-        return len(b)
-    places, every, last, distance = _places(a), (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
-    rises, falls = every, 0
-    for w in b:
-        same = places.get(w, 0)
-        level = (((same & rises) + rises) ^ rises) | same
-        up, down = falls | ~(level | rises) & every, rises & level
-        distance += (1 if up & last else 0) - (1 if down & last else 0)
-        up, down, same = (up << 1 | 1) & every, down << 1 & every, same | falls
-        rises, falls = down | ~(same | up) & every, up & same
-    return distance
+    if len(a) < len(b):
+        a, b = b, a
+    rest = iter(a)
+    if all(w in rest for w in b):
+        return len(a) - len(b)
+    return _bounded(a, b)
 
 
-def _common(a: list, b: list) -> int:
+def _common(a: list | str, b: list | str) -> int:
     """Length of the longest common subsequence, a row of its table held as bits."""
-    a, b, kept = _trimmed(a, b)
+    whole = len(a)
+    a, b, _ = _trimmed(a, b)
+    kept = whole - len(a)
     places, every = _places(a), (1 << len(a)) - 1
     row = every
     for w in b:
@@ -129,23 +201,50 @@ def common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def char_edits(labels: pd.Series, prediction: pd.Series) -> pd.Series:
     """Edit distance in characters of a text from each label; null for a null one."""
-    far = lambda x, y: None if x is None or y is None else _edits(*((x, y) if len(x) >= len(y) else (y, x)))
+    far = lambda x, y: None if x is None or y is None else _edits(x, y)
     return pd.Series([None if names is None else [far(x, text) for x in names] for names, text in zip(labels, prediction, strict=True)])
 
 
-_BLANK = re.compile(r"[ \t\n\x0b\f\r]+")
-
-
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
 def gram_overlaps(labels: pd.Series, prediction: pd.Series, order: pd.Series) -> pd.Series:
     """For each label (shared, of the label, of the text) word n-grams for n = 1, 2, .. one after another; repeats count."""
+    return pd.Series(_by_slices(labels, prediction, lambda names, texts, most: _overlaps(names, texts, int(most), BLANKS), order))
 
-    def grams(text: str, most: int) -> list[Counter]:
-        words = [w for w in _BLANK.split(text) if w]
-        return [Counter(zip(*(words[k:] for k in range(n)), strict=False)) for n in range(1, most + 1)]
 
-    def row(names, text: str | None, most: int) -> list:
-        own = grams(text or "", most)
-        return [[x for a, b in zip(grams(name or "", most), own, strict=True) for x in ((a & b).total(), a.total(), b.total())] for name in names]
-
-    return pd.Series([row(names if names is not None else (), text, most) for names, text, most in zip(labels, prediction, order, strict=True)])
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+def set_overlaps(labels: pd.Series, prediction: pd.Series, order: pd.Series) -> pd.Series:
+    """For each label (shared, of the label, of the text) different n-grams of a split at each space, as above."""
+    return pd.Series(_by_slices(labels, prediction, lambda names, texts, most: _overlaps(names, texts, int(most), SPACES, once=True), order))
+
+
+def _by_slices(labels: pd.Series, prediction: pd.Series, make: Callable, order: pd.Series) -> list:
+    """Results for rows in slices of bounded size, rows with another order apart."""
+    names = [[x or "" for x in n] if n is not None else [] for n in labels]
+    texts = [t or "" for t in prediction]
+    most = order.to_numpy()
+    out: list = [None] * len(texts)
+    for kind in pd.unique(most):
+        rows = [i for i, k in enumerate(most) if k == kind]
+        for lo, hi in slices([len(texts[i]) + sum(map(len, names[i])) for i in rows]):
+            part = rows[lo:hi]
+            for i, x in zip(part, make([names[i] for i in part], [texts[i] for i in part], kind), strict=True):
+                out[i] = x
+    return out
+
+
+def _overlaps(names: list[list[str]], texts: list[str], most: int, parts: bytes, once: bool = False) -> list[list[list[int]]]:
+    """Numbers of shared and own n-grams of each label and its text; ``once``: different ones only."""
+    out = [[[0] * (3 * most) for _ in n] for n in names]
+    count = lambda c: np.ones(len(c[0]), np.int64) if once else c[2]
+    sides = [(c, own) for hashes, own in Grams(texts, parts).orders(most) for c in [counted(hashes, own)]]
+    for k in range(max(map(len, names), default=0)):
+        rows = [i for i, n in enumerate(names) if len(n) > k]
+        for n, (hashes, own) in enumerate(Grams([names[i][k] for i in rows], parts).orders(most)):
+            own = np.array(rows, np.int64)[own]
+            a, (c, mine) = counted(hashes, own), sides[n]
+            i, j = shared(a, c)
+            both = np.bincount(own[a[1]][i], np.minimum(count(a)[i], count(c)[j]), len(texts))
+            its, ours = np.bincount(own[a[1]], count(a), len(texts)), np.bincount(mine[c[1]], count(c), len(texts))
+            for row in rows:
+                out[row][k][3 * n : 3 * n + 3] = int(both[row]), int(its[row]), int(ours[row])
+    return out
