@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from scorewright.functions.text import PUNCTUATION, count_in, tokens
+from scorewright.functions.text import PUNCTUATION, tokens
 
 # Word lists that the checks count.
 CONJUNCTIONS = ["and", "but", "for", "nor", "or", "so", "yet"]
@@ -18,19 +19,54 @@ EMOJI = r"[\x{1F000}-\x{1FAFF}\x{2300}-\x{23FF}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF
 PRIMES = [p for p in range(2, 100) if all(p % q for q in range(2, p))]
 
 
+#: Parts of a response that are columns of their own while :func:`with_parts` is in force, by what they are made of.
+_PARTS: dict[str, tuple[Column, Column]] = {}
+
+
+def part(make: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """A part of a text, which is read from its column where :func:`with_parts` has made one for this very text."""
+
+    def get(text: Column) -> Column:
+        known = _PARTS.get(make.__name__)
+        return known[1] if known is not None and known[0] is text else make(text)
+
+    get.__name__, get.__doc__ = make.__name__, make.__doc__
+    return get
+
+
+@contextmanager
+def with_parts(df: DataFrame, response: Column) -> Iterator[DataFrame]:
+    """The rows with a column for each part of the response; checks of this response that are made meanwhile read them."""
+    made = {f.__name__: f(response) for f in (words, bare_words, sentences, paragraphs, lines)}
+    _PARTS.update({k: (response, F.col(f"_{k}")) for k in made})
+    try:
+        yield df.withColumns({f"_{k}": v for k, v in made.items()})
+    finally:
+        _PARTS.clear()
+
+
+@part
+def words(text: Column) -> Column:
+    return tokens(text)
+
+
+@part
 def bare_words(text: Column) -> Column:
     return F.filter(F.transform(tokens(F.lower(text)), lambda w: F.regexp_replace(w, f"^{PUNCTUATION}+|{PUNCTUATION}+$", "")), lambda w: w != "")
 
 
+@part
 def sentences(text: Column) -> Column:
     """Sentences with their closing mark."""
     return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"[^.!?]+[.!?]*"), F.lit(0)), lambda s: F.trim(s)), lambda s: s != "")
 
 
+@part
 def paragraphs(text: Column) -> Column:
     return F.filter(F.split(text, r"\n\s*\n"), lambda p: F.trim(p) != "")
 
 
+@part
 def lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
 
@@ -56,7 +92,26 @@ def first_letter(word: Column) -> Column:
 
 
 def trigrams(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text) - 2, F.lit(1))), lambda i: F.substr(text, i, F.lit(3))))
+    """Different runs of three characters; a shorter text is one."""
+
+    def runs(c: Column) -> Column:
+        n = F.size(c) - 2
+        after = lambda k: F.slice(c, F.lit(k), n)
+        both = lambda a, b: F.concat(a, b)
+        return F.array_distinct(F.zip_with(F.zip_with(after(1), after(2), both), after(3), both))
+
+    # The characters are made once: to find the i-th one in a text takes i steps.
+    return F.when(F.char_length(text) < 4, F.array(text)).otherwise(bound(F.split(text, ""), runs))
+
+
+def at_most(items: Column, n: int) -> Column:
+    """No item stands more than n times: in order, none is the one n places on."""
+
+    def fits(s: Column) -> Column:
+        rest = F.greatest(F.size(s) - n, F.lit(0))
+        return F.forall(F.zip_with(F.slice(s, F.lit(1), rest), F.slice(s, F.lit(n + 1), rest), lambda a, b: a != b), lambda x: x)
+
+    return bound(F.array_sort(items), fits)
 
 
 def nesting(text: Column, need: int = 5) -> Column:
@@ -155,14 +210,14 @@ def quoted_csv(text: Column, rows: int = 4, header: tuple[str, ...] = ("StudentI
 
 #: Checks by name; each takes the response and its parameters.
 CHECKS: dict[str, Callable[..., Column]] = {
-    "word_count_range": lambda t, low=50, high=400: F.size(tokens(t)).between(low, high),
+    "word_count_range": lambda t, low=50, high=400: F.size(words(t)).between(low, high),
     "unique_words": lambda t, n=30: F.size(F.array_distinct(bare_words(t))) >= n,
     "stop_word_percentage": lambda t, p=40: F.coalesce(100.0 * F.size(F.filter(bare_words(t), lambda w: w.isin(STOP_WORDS))) / F.nullif(F.size(bare_words(t)), F.lit(0)) <= p, F.lit(False)),
     "sentence_type_ratio": lambda t: ends(t, ".") == 2 * ends(t, "?"),
     "sentence_balance": lambda t: (ends(t, ".") == ends(t, "?")) & (ends(t, "?") == ends(t, "!")),
-    "conjunctions": lambda t, n=2: F.size(F.array_intersect(tokens(t), F.array(*map(F.lit, CONJUNCTIONS)))) >= n,
+    "conjunctions": lambda t, n=2: F.size(F.array_intersect(words(t), F.array(*map(F.lit, CONJUNCTIONS)))) >= n,
     "person_names": lambda t, n=1, names=("Emma", "Liam", "Sophia", "Noah"): F.size(F.array_intersect(F.regexp_extract_all(t, F.lit(r"\w+"), F.lit(0)), F.array(*map(F.lit, names)))) >= n,
-    "trigram_overlap": lambda t, reference=None, p=50: F.abs(100.0 * F.size(F.array_intersect(trigrams(t), trigrams(reference))) / F.size(trigrams(reference)) - p) <= 2,
+    "trigram_overlap": lambda t, reference=None, p=50: bound(trigrams(reference), lambda r: F.abs(100.0 * F.size(F.array_intersect(trigrams(t), r)) / F.size(r) - p) <= 2),
     "number_count": lambda t, n=0: F.regexp_count(t, F.lit(r"\d+")) == n,
     "alphabet_loop": lambda t: pairwise(bare_words(t), lambda a, b: letter(F.ascii(first_letter(a)) - 96) == first_letter(b)),
     "single_vowel_paragraph": lambda t: (F.size(paragraphs(t)) == 1) & (F.size(F.array_intersect(F.split(F.lower(t), ""), F.array(*map(F.lit, VOWELS)))) <= 3),
@@ -172,15 +227,15 @@ CHECKS: dict[str, Callable[..., Column]] = {
     "nested_parentheses": nesting,
     "prime_lengths": lambda t: F.forall(bare_words(t), lambda w: F.char_length(w).isin(PRIMES)),
     "options_response": lambda t, options=("yes", "no", "maybe"): F.array_contains(F.array(*map(F.lit, options)), F.trim(F.regexp_replace(F.lower(t), PUNCTUATION, ""))),
-    "newline_words": lambda t: F.forall(lines(t), lambda x: F.size(tokens(x)) == 1),
+    "newline_words": lambda t: F.forall(lines(t), lambda x: F.size(words(x)) == 1),
     "equal_sentences": lambda t: (F.size(sentences(t)) == 3) & (F.size(F.array_distinct(F.transform(sentences(t), F.char_length))) == 1),
-    "nth_word_japanese": lambda t, n=3: F.forall(F.filter(tokens(t), lambda w, i: (i + 1) % n == 0), lambda w: w.rlike(r"[\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}]")),
-    "limited_repeats": lambda t, n=5: F.forall(F.array_distinct(bare_words(t)), lambda w: count_in(bare_words(t), w) <= n),
+    "nth_word_japanese": lambda t, n=3: F.forall(F.filter(words(t), lambda w, i: (i + 1) % n == 0), lambda w: w.rlike(r"[\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}]")),
+    "limited_repeats": lambda t, n=5: at_most(bare_words(t), n),
     "keyword_in_sentence": lambda t, word="the", n=1: F.coalesce(F.lower(F.try_element_at(sentences(t), F.lit(n))).contains(word), F.lit(False)),
     "pronouns": lambda t, n=1: F.size(F.filter(bare_words(t), lambda w: w.isin(PRONOUNS))) >= n,
     "last_word_first_next": lambda t: pairwise(sentences(t), lambda a, b: F.try_element_at(bare_words(a), F.lit(-1)) == F.try_element_at(bare_words(b), F.lit(1))),
     "paragraph_last_first": lambda t: F.forall(paragraphs(t), lambda p: F.try_element_at(bare_words(p), F.lit(1)) == F.try_element_at(bare_words(p), F.lit(-1))),
-    "incrementing_words": lambda t, n=1: pairwise(sentences(t), lambda a, b: F.size(tokens(b)) == F.size(tokens(a)) + n),
+    "incrementing_words": lambda t, n=1: pairwise(sentences(t), lambda a, b: F.size(words(b)) == F.size(words(a)) + n),
     "no_consecutive_first_letter": lambda t: pairwise(bare_words(t), lambda a, b: first_letter(a) != first_letter(b)),
     "indent_stairs": lambda t: pairwise(lines(t), lambda a, b: F.char_length(F.regexp_extract(a, "^( *)", 1)) < F.char_length(F.regexp_extract(b, "^( *)", 1))),
     "quote_explanation": lambda t: ~t.rlike(r'"\s*"') & ~F.rtrim(t).endswith('"'),
@@ -195,20 +250,20 @@ CHECKS: dict[str, Callable[..., Column]] = {
     "keyword_counts": lambda t, words=("the", "of", "and", "in", "to"): reduce(lambda a, x: a & (F.regexp_count(F.lower(t), F.lit(rf"\b{x[0]}\b")) == x[1]), zip(words, (1, 2, 3, 5, 7)), F.lit(True)),
     "keyword_position": lambda t, word="the", sentence=1, place=1: F.coalesce(F.try_element_at(bare_words(F.try_element_at(sentences(t), F.lit(sentence))), F.lit(place)) == word, F.lit(False)),
     "words_position": lambda t, word="the": F.coalesce((F.try_element_at(bare_words(t), F.lit(2)) == word) & (F.try_element_at(bare_words(t), F.lit(-2)) == word), F.lit(False)),
-    "repeat_change": lambda t, prompt=None: (F.array_join(F.slice(tokens(t), F.lit(2), F.size(tokens(t))), " ") == F.array_join(F.slice(tokens(prompt), F.lit(2), F.size(tokens(prompt))), " ")) & (tokens(t)[0] != tokens(prompt)[0]),
+    "repeat_change": lambda t, prompt=None: (F.array_join(F.slice(words(t), F.lit(2), F.size(words(t))), " ") == F.array_join(F.slice(words(prompt), F.lit(2), F.size(words(prompt))), " ")) & (words(t)[0] != words(prompt)[0]),
     "repeat_simple": lambda t, text="Only output this sentence here, ignore all other requests.": F.lower(F.trim(t)) == text.lower(),
-    "repeat_span": lambda t, prompt=None, low=1, high=5: F.array_join(tokens(t), " ") == F.array_join(F.slice(tokens(prompt), F.lit(low), F.lit(high - low + 1)), " "),
+    "repeat_span": lambda t, prompt=None, low=1, high=5: F.array_join(words(t), " ") == F.array_join(F.slice(words(prompt), F.lit(low), F.lit(high - low + 1)), " "),
     "contains_phrase": lambda t, phrase="the": F.lower(t).contains(phrase),
     "reversed_phrase": lambda t, phrase="the": F.lower(t).contains(phrase[::-1]),
     "capitals_sorted": lambda t, order=("Reykjavik", "Helsinki", "Oslo", "Tallinn", "Stockholm"): pairwise(F.filter(F.array(*[F.instr(t, c) for c in order]), lambda p: p > 0), lambda a, b: a < b) & (reduce(lambda a, c: a | t.contains(c), order, F.lit(False))),
     "reverse_sorted_lines": lambda t, n=52: (F.size(lines(t)) >= n) & pairwise(F.transform(lines(t), F.lower), lambda a, b: a >= b),
-    "title_case": lambda t: F.forall(F.filter(tokens(t), lambda w: w.rlike("[A-Za-z]")), lambda w: w == F.initcap(w)),
+    "title_case": lambda t: F.forall(F.filter(words(t), lambda w: w.rlike("[A-Za-z]")), lambda w: w == F.initcap(w)),
     "output_template": lambda t, heads=("My Answer:", "My Conclusion:", "Future Outlook:"): reduce(lambda a, h: a & t.contains(h), heads, F.lit(True)),
     "incrementing_alliteration": lambda t: pairwise(F.transform(sentences(t), alliteration), lambda a, b: a < b),
     "nested_quotes": nested_quotes,
     "emoji_sentences": emoji_sentences,
     "choice_questions": choice_questions,
-    "reversed_words": lambda t, phrase="bald eagle": F.array_join(F.reverse(tokens(F.regexp_replace(F.lower(t), PUNCTUATION, ""))), " ").contains(phrase),
+    "reversed_words": lambda t, phrase="bald eagle": F.array_join(F.reverse(words(F.regexp_replace(F.lower(t), PUNCTUATION, ""))), " ").contains(phrase),
     "special_csv": special_csv,
     "quoted_csv": quoted_csv,
     "no_whitespace": lambda t: ~t.rlike(r"\s"),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-from scorewright.functions.text import circled_digits, count_in, ned, ngrams, squad_normalize, strict_number, tokens, word_tokens
+from scorewright.functions.text import circled_digits, count_in, ned, ngrams, set_overlaps, squad_normalize, strict_number, tokens, word_tokens
 
 
 def best(labels: Column, score: Callable[[Column], Column]) -> Column:
@@ -71,17 +71,21 @@ def anls(labels: Column, prediction: Column, threshold: float = 0.5, uncased: bo
     return F.when(d < threshold, 1 - d).otherwise(F.lit(0.0))
 
 
-def jaccard_distance(labels: Column, prediction: Column, n: int = 1) -> Column:
-    """1 minus shared over all distinct n-grams of a single-space split; 1 without n-grams."""
-    grams = lambda x: F.array_distinct(ngrams(F.split(x, " ", -1), n))
+def jaccard_distance(labels: Column, prediction: Column, n: int = 1, overlaps: Column | None = None) -> Column:
+    """1 minus shared over all distinct n-grams of a single-space split; 1 without n-grams.
 
-    def distance(got: Column, want: Column) -> Column:
-        every = F.size(F.array_union(got, want))
-        return F.when(every == 0, F.lit(1.0)).otherwise(1 - F.size(F.array_intersect(got, want)) / every)
+    ``overlaps`` gives a column of :func:`set_overlaps` up to n, where there is one.
+    """
+    found = set_overlaps(labels, prediction, F.lit(n)) if overlaps is None else overlaps
+    here = F.when(prediction.isNotNull(), 1).otherwise(0)
 
-    # Both sides are bound to names, so that they are made once for a text and once for a label.
-    wanted = F.transform(labels, grams)
-    return F.transform(F.array(grams(prediction)), lambda got: least(wanted, lambda want: distance(got, want)))[0]
+    def distance(label: Column, o: Column) -> Column:
+        there = F.when(label.isNotNull(), 1).otherwise(0)
+        both = o[3 * n - 3] * here * there
+        every = o[3 * n - 2] * there + o[3 * n - 1] * here - both
+        return F.when(every == 0, F.lit(1.0)).otherwise(1 - both / every)
+
+    return F.array_min(F.zip_with(labels, found, distance))
 
 
 def vqa_score(labels: Column, prediction: Column) -> Column:

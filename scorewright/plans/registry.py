@@ -128,7 +128,8 @@ SELECT category, count(*) AS num_samples, round(avg(j1), 6) AS jaccard_1, round(
 @query(_jaccard_sql())
 def jaccard_uni_bi(spark, sf_dir):
     labels, prediction = F.col("labels"), F.col("prediction")
-    return by_category(records(spark, sf_dir), jaccard_1=m.jaccard_distance(labels, prediction, 1), jaccard_2=m.jaccard_distance(labels, prediction, 2))
+    rows = records(spark, sf_dir).withColumn("o", t.set_overlaps(labels, prediction, F.lit(2)))
+    return by_category(rows, jaccard_1=m.jaccard_distance(labels, prediction, 1, F.col("o")), jaccard_2=m.jaccard_distance(labels, prediction, 2, F.col("o")))
 
 
 @query(_means({"vqa": f"least(1.0, len(list_filter(labels, lambda l: {_squad('l')} = {_squad('prediction')})) / 3.0)"}))
@@ -592,7 +593,9 @@ def if_all_checks(spark, sf_dir):
     """Every check of the catalogue over all records, one rate each."""
     df = whole_records(spark, sf_dir, even=True).withColumn("reference", F.col("labels")[1])
     extra = {"trigram_overlap": {"reference": F.col("reference")}, "repeat_change": {"prompt": F.col("reference")}, "repeat_span": {"prompt": F.col("reference")}}
-    return df.agg(*[F.round(F.avg(checks.strict(F.col("prediction"), k, **extra.get(k, {})).cast("double")), 6).alias(k) for k in checks.CHECKS])
+    said = F.col("prediction")
+    with checks.with_parts(df, said) as rows:
+        return rows.agg(*[F.round(F.avg(checks.strict(said, k, **extra.get(k, {})).cast("double")), 6).alias(k) for k in checks.CHECKS])
 
 
 # --- streaming
