@@ -163,9 +163,12 @@ def choice(text: Column, query: Column | None = None, options: Column | None = N
         if version not in fixed:
             raise ValueError(f"no choices are named {version}; there are {', '.join(fixed)}")
         kind, tokens, allowed = fixed[version]
-        read = stripped(said if kind == "circled" else folded(said))
-        found = _first_valid(_candidates(read, kind), _set(tokens), upper=kind == "letter")
-        return F.coalesce(found, _last_lines(read, _set(tokens), allowed)) if allowed else found
+
+        def told(read: Column) -> Column:
+            found = _first_valid(_candidates(read, kind), _set(tokens), upper=kind == "letter")
+            return F.coalesce(found, _last_lines(read, _set(tokens), allowed)) if allowed else found
+
+        return F.transform(F.array(stripped(said if kind == "circled" else folded(said))), told)[0]
     read, kind = stripped(folded(said)), scheme(query, options, contents)
     given = F.lit(None).cast("array<string>")
     for items in (contents, options):
@@ -173,13 +176,14 @@ def choice(text: Column, query: Column | None = None, options: Column | None = N
             given = F.when(F.size(items) > 0, items).otherwise(given)
     listed = F.coalesce(F.transform(given, lambda x: stripped(x)), F.array().cast("array<string>"))
 
-    def named(name: str, tokens: str) -> Column:
-        valid = F.concat(listed, _set(tokens))
-        found = _first_valid(_candidates(read, name), valid, upper=False)
-        return found if name == "circled" else F.coalesce(found, _last_lines(read, valid, "A-Ja-j1-9"))
+    def named(s: Column, name: str, tokens: str) -> Column:
+        valid = F.concat(s["listed"], _set(tokens))
+        found = _first_valid(_candidates(s["read"], name), valid, upper=False)
+        return found if name == "circled" else F.coalesce(found, _last_lines(s["read"], valid, "A-Ja-j1-9"))
 
-    # The inner array binds the scheme to a name, so that the question is searched once.
-    by_scheme = F.transform(F.array(kind), lambda k: F.when(k == "letter", named("letter", LETTERS)).when(k == "number", named("number", NUMBERS)).when(k == "circled", named("circled", CIRCLED_CHOICES)))[0]
+    # The inner array binds scheme, response and options to names, so that each is made once and not for each pattern.
+    once = F.array(F.struct(kind.alias("kind"), read.alias("read"), listed.alias("listed")))
+    by_scheme = F.transform(once, lambda s: F.when(s["kind"] == "letter", named(s, "letter", LETTERS)).when(s["kind"] == "number", named(s, "number", NUMBERS)).when(s["kind"] == "circled", named(s, "circled", CIRCLED_CHOICES)))[0]
     return F.when(F.char_length(text) == 1, text).otherwise(by_scheme)
 
 

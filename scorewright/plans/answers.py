@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scorewright.functions import benchmarks, choices as ch, grounding, open_answers
 from scorewright.operators import submission as sub
 from scorewright.plans.registry import query
-from scorewright.plans.views import table
+from scorewright.plans.views import spread, table
 
 
 _LETTER = "substr('ABCD', CAST(p_size % 4 + 1 AS INTEGER), 1)"
@@ -32,7 +32,8 @@ def choice_by_scheme(spark, sf_dir):
         .otherwise(F.concat(F.lit("none of "), F.size(F.split("p_name", " "))))
     )
     options = F.when(way == 2, F.array(*map(F.lit, "ABCD")))
-    rows = table(spark, sf_dir, "part").select("p_partkey", question.alias("q"), said.alias("said"), options.alias("o"))
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size"), "p_partkey")
+    rows = parts.select("p_partkey", question.alias("q"), said.alias("said"), options.alias("o"))
     return rows.select("p_partkey", ch.choice(F.col("said"), F.col("q"), F.col("o")).alias("found"), ch.scheme(F.col("q"), F.col("o")).alias("scheme"))
 
 

@@ -11,8 +11,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def spread(rows: DataFrame, key: str) -> DataFrame:
     """Rows dealt evenly over tasks by a hash of the key, for queries that take long for a row: files can have few row groups."""
-    n = max(4 * rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())
-    return rows.repartition(n, key)
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
+def short_batches(spark: SparkSession, most: int = 1000) -> None:
+    """At most so many rows go to a Python worker at once, as whole texts can be long; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= most:
+        spark.conf.set(name, most)
 
 
 def _beside_items(spark: SparkSession, sf_dir: str, even: bool = False) -> DataFrame:
