@@ -8,16 +8,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from scorewright.functions import detections, edits, judgements, trees
 from scorewright.plans.registry import query
-from scorewright.plans.views import spread, table
+from scorewright.plans.views import short_batches, spread, table
 from scorewright.tasks.catalogue import GENRES, VOCAL_SOUNDS, list_tasks, task_config
 from scorewright.tasks.run import Task
 
 
-def _report(name: str, parts: dict[str, DataFrame], prediction: Column, mode: str = "direct", run: int = 0, judgement: Column | None = None) -> DataFrame:
-    """The task's report; the answer is an expression over the sample that a record came from."""
+def _report(name: str, parts: dict[str, DataFrame], prediction: Column, mode: str = "direct", run: int = 0, judgement: Column | None = None, even: bool = False) -> DataFrame:
+    """The task's report; the answer is an expression over the sample that a record came from.
+
+    ``even`` spreads the records over tasks, for metrics that take long for a record.
+    """
 
     def answered(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("prediction", prediction)
+        rows = (spread(rows, "index") if even else rows).withColumn("prediction", prediction)
         return rows if judgement is None else rows.withColumn("judgement", judgement)
 
     out = Task(task_config(name)).evaluate(parts, answered, mode, run)
@@ -209,7 +212,7 @@ def _spoken(spark, sf_dir: str) -> DataFrame:
 
 @query()
 def task_librispeech_test_clean(spark, sf_dir):
-    return _report("librispeech_test_clean", {"test": _spoken(spark, sf_dir)}, S("heard"))
+    return _report("librispeech_test_clean", {"test": _spoken(spark, sf_dir)}, S("heard"), even=True)
 
 
 @query()
@@ -217,7 +220,7 @@ def task_fleurs_en2ko_test(spark, sf_dir):
     """The label is the text of the joined sample of the other language."""
     rows = _spoken(spark, sf_dir).withColumn("transcription", F.concat(F.lit("한국어 "), "text", F.lit(" 끝")))
     said = F.concat(F.lit("한국어 "), F.regexp_replace(S("text"), " (de|die|the|el) ", " "), F.lit(" 끝"))
-    return _report("fleurs_en2ko_test", {"en_us": _spoken(spark, sf_dir), "ko_kr": rows}, said)
+    return _report("fleurs_en2ko_test", {"en_us": _spoken(spark, sf_dir), "ko_kr": rows}, said, even=True)
 
 
 def _tagged(spark, sf_dir: str) -> DataFrame:
@@ -231,7 +234,7 @@ def _tagged(spark, sf_dir: str) -> DataFrame:
 def task_hike_test(spark, sf_dir):
     """Errors on tagged words of whole documents."""
     said = F.concat(F.lit("버그 "), F.regexp_replace(S("text"), "e", "a"))
-    return _report("hike_test", {"test": _tagged(spark, sf_dir)}, said)
+    return _report("hike_test", {"test": _tagged(spark, sf_dir)}, said, even=True)
 
 
 @query()
@@ -245,6 +248,7 @@ def tagged_word_errors(spark, sf_dir):
 @query()
 def soft_repetition(spark, sf_dir):
     """Highest (occurrences - 1) x length of a phrase, over whole documents."""
+    short_batches(spark)
     rows = table(spark, sf_dir, "documents").select("lang", edits.soft_repeat("text").alias("r"))
     return rows.groupBy("lang").agg(F.count("*").alias("num_samples"), F.round(F.avg("r.score"), 6).alias("score"), F.round(F.avg("r.count"), 6).alias("occurrences"), F.max("r.score").alias("highest"))
 

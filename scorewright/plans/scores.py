@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scorewright.functions import metrics as m, scores as s
 from scorewright.operators import scores as op
 from scorewright.plans.registry import query
-from scorewright.plans.views import JUDGED, RUNS, judged, runs, table, whole_records
+from scorewright.plans.views import JUDGED, RUNS, judged, runs, short_batches, table, whole_records
 
 
 def _iou_sql(x1: str, y1: str, x2: str, y2: str) -> str:
@@ -57,6 +57,7 @@ def repeated_bigram_share(spark, sf_dir):
 
 @query()
 def trailing_repetition(spark, sf_dir):
+    short_batches(spark)
     return table(spark, sf_dir, "documents").select("doc_id", s.trailing_repeat("text").alias("words"))
 
 
