@@ -245,12 +245,12 @@ CHECKS: dict[str, Callable[..., Column]] = {
     "some_bullets": lambda t: (F.size(F.filter(lines(t), lambda x: F.trim(x).startswith("*"))) >= 2) & (F.size(sentences(F.split(t, r"(?m)^\s*\*")[0])) >= 2),
     "print_multiples": lambda t: F.regexp_extract_all(t, F.lit(r"\d+"), F.lit(0)) == F.array(*[F.lit(str(7 * k)) for k in range(2, 8)]),
     "sentence_alphabet": lambda t: (F.size(sentences(t)) == 26) & F.forall(F.transform(sentences(t), lambda s, i: first_letter(s) == letter(i)), lambda x: x),
-    "city_csv": lambda t, header="ID,Country,City,Year,Count": (F.size(lines(t)) == 8) & (F.trim(lines(t)[0]) == header) & F.forall(lines(t), lambda x: F.size(F.split(x, ",", -1)) == 5),
+    "city_csv": lambda t, header="ID,Country,City,Year,Count": (F.size(lines(t)) == 8) & (F.trim(F.get(lines(t), F.lit(0))) == header) & F.forall(lines(t), lambda x: F.size(F.split(x, ",", -1)) == 5),
     "date_list": lambda t: F.forall(F.transform(F.split(t, ","), lambda d: F.trim(d)), lambda d: F.coalesce(d.rlike(r"^\d{4}-\d\d-\d\d$") & F.year(F.try_to_timestamp(d, F.lit("yyyy-MM-dd"))).between(1769, 1821), F.lit(False))),
     "keyword_counts": lambda t, words=("the", "of", "and", "in", "to"): reduce(lambda a, x: a & (F.regexp_count(F.lower(t), F.lit(rf"\b{x[0]}\b")) == x[1]), zip(words, (1, 2, 3, 5, 7)), F.lit(True)),
     "keyword_position": lambda t, word="the", sentence=1, place=1: F.coalesce(F.try_element_at(bare_words(F.try_element_at(sentences(t), F.lit(sentence))), F.lit(place)) == word, F.lit(False)),
     "words_position": lambda t, word="the": F.coalesce((F.try_element_at(bare_words(t), F.lit(2)) == word) & (F.try_element_at(bare_words(t), F.lit(-2)) == word), F.lit(False)),
-    "repeat_change": lambda t, prompt=None: (F.array_join(F.slice(words(t), F.lit(2), F.size(words(t))), " ") == F.array_join(F.slice(words(prompt), F.lit(2), F.size(words(prompt))), " ")) & (words(t)[0] != words(prompt)[0]),
+    "repeat_change": lambda t, prompt=None: (F.array_join(F.slice(words(t), F.lit(2), F.size(words(t))), " ") == F.array_join(F.slice(words(prompt), F.lit(2), F.size(words(prompt))), " ")) & ~F.get(words(t), F.lit(0)).eqNullSafe(F.get(words(prompt), F.lit(0))),
     "repeat_simple": lambda t, text="Only output this sentence here, ignore all other requests.": F.lower(F.trim(t)) == text.lower(),
     "repeat_span": lambda t, prompt=None, low=1, high=5: F.array_join(words(t), " ") == F.array_join(F.slice(words(prompt), F.lit(low), F.lit(high - low + 1)), " "),
     "contains_phrase": lambda t, phrase="the": F.lower(t).contains(phrase),
