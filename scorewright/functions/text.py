@@ -217,6 +217,32 @@ def set_overlaps(labels: pd.Series, prediction: pd.Series, order: pd.Series) ->
     return pd.Series(_by_slices(labels, prediction, lambda names, texts, most: _overlaps(names, texts, int(most), SPACES, once=True), order))
 
 
+def _different(values: np.ndarray) -> np.ndarray:
+    """Different values in order."""
+    values.sort()
+    return values[np.concatenate((np.ones(min(len(values), 1), bool), values[1:] != values[:-1]))]
+
+
+def _trigrams(text: str) -> np.ndarray:
+    """Different runs of three characters as numbers, 21 bits a character; a shorter text is one."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    codes = np.concatenate((codes, np.zeros(max(3 - len(codes), 0), np.uint64)))
+    return _different(codes[:-2] << np.uint64(42) | codes[1:-1] << np.uint64(21) | codes[2:])
+
+
+@F.pandas_udf(T.DoubleType())
+def trigram_share(reference: pd.Series, text: pd.Series) -> pd.Series:
+    """Per cent of the different trigrams of a reference that a text holds."""
+
+    def share(x: str | None, y: str | None) -> float | None:
+        if x is None or y is None:
+            return None
+        a, b = _trigrams(x), _trigrams(y)
+        return 100.0 * (len(a) + len(b) - len(_different(np.concatenate((a, b))))) / len(a)
+
+    return pd.Series([share(x, y) for x, y in zip(reference, text, strict=True)], dtype=object)
+
+
 def _by_slices(labels: pd.Series, prediction: pd.Series, make: Callable, order: pd.Series) -> list:
     """Results for rows in slices of bounded size, rows with another order apart."""
     names = [[x or "" for x in n] if n is not None else [] for n in labels]

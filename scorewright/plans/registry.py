@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from scorewright.functions import checks, extract, metrics as m, text as t
 from scorewright.operators import aggregate as agg, dataset as ds, leaderboard as lb, submission as sub
-from scorewright.plans.views import CHOICES, JUDGED, REC, RUNS, choices, judged, records, runs, table, whole_records
+from scorewright.plans.views import CHOICES, JUDGED, REC, RUNS, choices, judged, records, runs, short_batches, table, whole_records
 from scorewright.streaming import live
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -591,10 +591,11 @@ def if_loose_prompt(spark, sf_dir):
 @query()
 def if_all_checks(spark, sf_dir):
     """Every check of the catalogue over all records, one rate each."""
+    short_batches(spark)
     df = whole_records(spark, sf_dir, even=True).withColumn("reference", F.col("labels")[1])
-    extra = {"trigram_overlap": {"reference": F.col("reference")}, "repeat_change": {"prompt": F.col("reference")}, "repeat_span": {"prompt": F.col("reference")}}
-    said = F.col("prediction")
-    with checks.with_parts(df, said) as rows:
+    said, reference = F.col("prediction"), F.col("reference")
+    extra = {"trigram_overlap": {"reference": reference}, "repeat_change": {"prompt": reference}, "repeat_span": {"prompt": reference}}
+    with checks.with_parts(df, said, reference) as rows:
         return rows.agg(*[F.round(F.avg(checks.strict(said, k, **extra.get(k, {})).cast("double")), 6).alias(k) for k in checks.CHECKS])
 
 
