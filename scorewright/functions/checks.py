@@ -217,7 +217,8 @@ def nesting(text: Column, need: int = 5) -> Column:
         opens = c.isin("(", "[", "{")
         partner = F.translate(c, ")]}", "([{")
         fits = F.substr(s["open"], F.greatest(F.char_length(s["open"]), F.lit(1)), F.lit(1)) == partner
-        open_ = F.when(opens, F.concat(s["open"], c)).when(fits, F.substr(s["open"], F.lit(1), F.char_length(s["open"]) - 1)).otherwise("")
+        # Where it is deep enough, the next bracket that closes either fits the last one or starts anew, so more need not be kept.
+        open_ = F.when(opens, F.right(F.concat(s["open"], c), F.lit(need))).when(fits, F.substr(s["open"], F.lit(1), F.char_length(s["open"]) - 1)).otherwise("")
         deepest = F.when(opens, F.greatest(s["deepest"], F.char_length(s["open"]) + 1)).when(fits, s["deepest"]).otherwise(0)
         return F.struct(open_.alias("open"), deepest.alias("deepest"), (s["ok"] | (~opens & fits & (s["deepest"] >= need))).alias("ok"))
 
@@ -237,13 +238,15 @@ def alliteration(sentence: Column) -> Column:
 def nested_quotes(text: Column, need: int = 3) -> Column:
     """Quotes of two kinds nest, and ``need`` levels below the deepest point are closed."""
     marks = F.regexp_extract_all(text, F.lit("[\"']"), F.lit(0))
-    start = F.struct(F.lit("").alias("open"), F.lit(0).alias("deepest"), F.lit(False).alias("ok"))
+    # A quote like the last open one closes it, so the kinds of the open ones take turns: their number and the last one tell all.
+    start = F.struct(F.lit(0).alias("open"), F.lit("").alias("last"), F.lit(0).alias("deepest"), F.lit(False).alias("ok"))
 
     def step(s: Column, c: Column) -> Column:
-        closes = F.right(s["open"], F.lit(1)) == c
-        left = F.when(closes, F.substr(s["open"], F.lit(1), F.char_length(s["open"]) - 1)).otherwise(F.concat(s["open"], c))
-        deepest = F.greatest(s["deepest"], F.char_length(left))
-        return F.struct(left.alias("open"), deepest.alias("deepest"), (s["ok"] | (closes & (s["deepest"] - F.char_length(left) >= need))).alias("ok"))
+        closes = s["last"] == c
+        left = F.when(closes, s["open"] - 1).otherwise(s["open"] + 1)
+        last = F.when(closes & (s["open"] == 1), "").when(closes, F.translate(c, "\"'", "'\"")).otherwise(c)
+        deepest = F.greatest(s["deepest"], left)
+        return F.struct(left.alias("open"), last.alias("last"), deepest.alias("deepest"), (s["ok"] | (closes & (s["deepest"] - left >= need))).alias("ok"))
 
     return F.aggregate(marks, start, step)["ok"]
 

@@ -2,6 +2,7 @@
 
 import re
 import string
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,3 +58,16 @@ def test_share_of_trigrams(spark):
 def test_all_checks_share_their_parts(spark, sf, mark):
     plan = registry.queries()["if_all_checks"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert mark in plan and plan.count("trigram_share(") <= 2
+
+
+def test_nesting_takes_linear_steps(spark):
+    verdict = lambda text, name: spark.range(1).select(checks.strict(text, name).alias("x")).first().x
+    for text, ok in (("{[([(a)])]}", True), ("([{([", False), ("([{([)])]}([{([])])", True), ("((((", False), ("]" + "(" * 9 + ")", True), ("(((((]" + "(" * 4 + ")", False)):
+        assert verdict(F.lit(text), "nested_parentheses") is ok
+    for text, ok in (("\"'\"'a'\"'\"", True), ("\"'\"a\"'", False), ("\"'\"'\"\"'\"", True), ("''\"\"", False)):
+        assert verdict(F.lit(text), "nested_quotes") is ok
+    for text, name, ok in (("(" * 100_000 + ")", "nested_parentheses", True), ("'\"" * 50_000, "nested_quotes", False), ("\n" * 100_000 + "x", "sub_bullets", False)):
+        rows = spark.createDataFrame([(text,)], "said string")
+        began = time.perf_counter()
+        assert rows.select(checks.strict(F.col("said"), name).alias("x")).collect() == [(ok,)]
+        assert time.perf_counter() - began < 15, name  # a copy of what is open for each mark took up to minutes
